@@ -20,6 +20,7 @@ SLOTS, DIM, NONZERO, WINDOW = 1 << 15, 32, 4, 2
 #: Most labelled documents that the network is fitted on, chosen by hash of doc_id.
 MOST_LABELLED = 20_000
 PART = 1 << 16
+SIZE = 2 * DIM + 6
 
 
 def slots(text: bytes) -> Iterator[np.ndarray]:
@@ -88,16 +89,25 @@ def word_vectors(docs: DataFrame, text: str = "text") -> np.ndarray:
 
 
 def pooled(text: bytes | None, vectors: np.ndarray) -> np.ndarray:
-    """Pool a text's word vectors: mean and spread of each dimension, the mean's length, and the log of the length."""
-    n, total, squares = 0, np.zeros(DIM), np.zeros(DIM)
+    """Pool a text's word vectors to SIZE numbers.
+
+    The mean and spread of each dimension, the mean's length, how alike neighbours' vectors are (mean and spread of their
+    products, share of equal ones), the share of distinct ones, and the log of the length.
+    """
+    n, total, squares, near, used = 0, np.zeros(DIM), np.zeros(DIM), np.zeros(3), np.zeros(SLOTS, bool)
     for ids in slots(text or b""):
         rows = vectors[ids]
         n += len(ids)
         total += rows.sum(0, dtype=np.float64)
         squares += np.einsum("ij,ij->j", rows, rows, dtype=np.float64)
+        alike = np.einsum("ij,ij->i", rows[1:], rows[:-1], dtype=np.float64)
+        near += alike.sum(), alike @ alike, (ids[1:] == ids[:-1]).sum()
+        used[ids] = True
     mean = total / max(n, 1)
     spread = np.sqrt(np.maximum(squares / max(n, 1) - mean * mean, 0))
-    return np.concatenate([mean, spread, [np.linalg.norm(mean), np.log1p(n)]])
+    near /= max(n - 1, 1)
+    near[1] = np.sqrt(max(near[1] - near[0] * near[0], 0))
+    return np.concatenate([mean, spread, [np.linalg.norm(mean)], near, [used.sum() / max(n, 1), np.log1p(n)]])
 
 
 class Network:
@@ -160,7 +170,7 @@ class Model:
         self.vectors, self.network = vectors, network
 
     def score(self, texts: list[bytes | None]) -> np.ndarray:
-        return self.network.probability(np.array([pooled(x, self.vectors) for x in texts]).reshape(len(texts), 2 * DIM + 2))
+        return self.network.probability(np.array([pooled(x, self.vectors) for x in texts]).reshape(len(texts), SIZE))
 
 
 def labelled_sample(labels: DataFrame, label: str, most: int, doc_id: str = "doc_id") -> DataFrame:
@@ -178,9 +188,9 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", text: str =
     rows = docs.select("doc_id", F.col(text).alias("text")).join(sample, "doc_id")
     pools = map_text(rows, lambda: lambda texts: {"x": [pooled(t, shared.value).tolist() for t in texts]}, "x array<double>", ["doc_id", "label"])
     got = pools.toPandas().sort_values(["doc_id"], kind="stable")
-    x = np.array(got["x"].tolist()).reshape(len(got), 2 * DIM + 2)
+    x = np.array(got["x"].tolist()).reshape(len(got), SIZE)
     order = np.lexsort((*x.T[:4], got["doc_id"].to_numpy()))  # repeated ids: an order that doesn't depend on tasks
-    return Model(vectors, Network(2 * DIM + 2).fit(x[order], got["label"].to_numpy()[order]))
+    return Model(vectors, Network(SIZE).fit(x[order], got["label"].to_numpy()[order]))
 
 
 def classify(docs: DataFrame, model: Model, carry: list[str], text: str = "text", threshold: float = 0.3) -> DataFrame:

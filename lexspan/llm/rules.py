@@ -175,7 +175,7 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
         covers = conditions[0] and holds(conditions[0])
         for c in conditions[1:]:
             covers = covers & holds(c)
-        tally = left.filter(covers).agg(F.count_if("grow and y = 0"), F.count_if("grow and y <> 0"), F.count_if("not grow and y = 0"), F.count_if("not grow and y <> 0")).first()
+        tally = left.filter(covers).agg(F.count_if(F.expr("grow and y = 0")), F.count_if(F.expr("grow and y <> 0")), F.count_if(F.expr("not grow and y = 0")), F.count_if(F.expr("not grow and y <> 0"))).first()
         if tally[0] + tally[1] < support or tally[0] < precision * (tally[0] + tally[1]) or tally[2] < precision * (tally[2] + tally[3]):
             break
         rules.append(Rule(tuple(conditions), sum(tally), (tally[0] + tally[2]) / sum(tally)))

@@ -16,7 +16,7 @@ TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
 #: The feature space; weights that L1 leaves are at most this many, so the broadcast is at most 4 MB.
 SPACE_BITS = 19
 #: Most labelled documents that the weights are fitted on, chosen by hash of doc_id.
-MOST_LABELLED = 8_000
+MOST_LABELLED = 12_000
 PART = 1 << 16
 
 
@@ -41,10 +41,13 @@ def features(text: bytes | None, keep: np.ndarray | None = None) -> np.ndarray:
 
 
 class Ftrl:
-    """Weights of FTRL-proximal (McMahan et al., KDD 2013): per-coordinate rates, exact zeros by L1."""
+    """Weights of FTRL-proximal (McMahan et al., KDD 2013): per-coordinate rates, exact zeros by L1.
 
-    def __init__(self, alpha: float = 0.3, beta: float = 1.0, l1: float = 1.0, l2: float = 0.1):
-        self.alpha, self.beta, self.l1, self.l2 = alpha, beta, l1, l2
+    ``weight`` multiplies the gradient of the rarer label 1.
+    """
+
+    def __init__(self, alpha: float = 1.0, beta: float = 1.0, l1: float = 16.0, l2: float = 0.1, weight: float = 3.0):
+        self.alpha, self.beta, self.l1, self.l2, self.weight = alpha, beta, l1, l2, weight
         self.z, self.n = np.zeros(1 + (1 << SPACE_BITS)), np.zeros(1 + (1 << SPACE_BITS))  # the last one is the bias
 
     def weights(self, at) -> np.ndarray:
@@ -54,7 +57,7 @@ class Ftrl:
     def learn(self, at: np.ndarray, label: float) -> None:
         at = np.append(at, len(self.z) - 1)
         w = self.weights(at)
-        g = 1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label
+        g = (1 / (1 + np.exp(-np.clip(w.sum(), -30, 30))) - label) * (self.weight if label else 1)
         n = self.n[at]
         self.z[at] += g - (np.sqrt(n + g * g) - np.sqrt(n)) / self.alpha * w
         self.n[at] += g * g
@@ -78,7 +81,7 @@ class Model:
         return work
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", most: int = MOST_LABELLED, epochs: int = 4, seed: int = 3) -> Model:
+def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "text", most: int = MOST_LABELLED, epochs: int = 8, seed: int = 3) -> Model:
     """Learn from at most ``most`` labelled rows, in an order given by ``seed``.
 
     Features are computed where the texts are; the driver gets hashed features of the bounded sample only.
