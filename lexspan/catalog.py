@@ -1,4 +1,11 @@
 """Registered queries of the engine and their SQL."""
 
+from __future__ import annotations
+
+from .plans import coding, texts
+
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
+for _plan in (coding, texts):
+    QUERIES |= _plan.QUERIES
+    ORACLE_SQL |= _plan.ORACLE_SQL
