@@ -15,14 +15,14 @@ ORPHAN, REPEATED = "no longer in the indexes", "repeated document: team columns
 
 def split_sectors(raw, candidates: list[str]) -> tuple[Column, Column]:
     """(subjects, candidates) of a ; list: parts that hold one of the given terms are candidates; distinct, in order."""
-    parts = F.array_distinct(F.filter(F.transform(F.split(col(raw), ";"), F.trim), lambda p: p != ""))
+    parts = F.array_distinct(F.filter(F.transform(F.split(col(raw), ";"), lambda p: F.trim(p)), lambda p: p != ""))
     hit = lambda p: F.exists(F.array(*map(F.lit, candidates)), lambda t: F.contains(F.lower(p), t))
     return F.filter(parts, lambda p: ~hit(p)), F.filter(parts, hit)
 
 
 def split_chain(raw) -> tuple[Column, Column]:
     """(structured, unresolved) references of an alteration chain."""
-    parts = F.filter(F.transform(F.split(col(raw), "[;\n]"), F.trim), lambda p: p != "")
+    parts = F.filter(F.transform(F.split(col(raw), "[;\n]"), lambda p: F.trim(p)), lambda p: p != "")
     good = lambda p: p.rlike(r"^[A-Z][A-Z-]*\.\d{8}\.\d+/\d{4}$")
     return F.filter(parts, good), F.filter(parts, lambda p: ~good(p))
 

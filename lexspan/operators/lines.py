@@ -139,9 +139,9 @@ def forward_fill(rows: DataFrame, key: list[str], order: str, value: Column, nam
     return rows.withColumn(name, F.last(value, ignorenulls=True).over(Window.partitionBy(*key).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)))
 
 
-def number_jumps(rows: DataFrame, key: list[str], order: str, number: str) -> DataFrame:
+def number_jumps(rows: DataFrame, key: list[str], order: list[str], number: str) -> DataFrame:
     """How often a number isn't the one before plus 1: (key, jumps)."""
-    before = F.lag(number).over(Window.partitionBy(*key).orderBy(order))
+    before = F.lag(number).over(Window.partitionBy(*key).orderBy(*order))
     return rows.withColumn("__j", F.when(before.isNotNull() & (F.col(number) != before + 1), 1).otherwise(0)).groupBy(*key).agg(F.sum("__j").alias("jumps"))
 
 

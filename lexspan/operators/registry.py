@@ -156,7 +156,7 @@ def is_union(name) -> Column:
 
 def parties(signatories, title=None) -> Column:
     """Signatories as an array: split at ; or line breaks, else the two sides that the title names."""
-    split = F.filter(F.transform(F.split(col(signatories), "[;\n]"), F.trim), lambda p: p != "")
+    split = F.filter(F.transform(F.split(col(signatories), "[;\n]"), lambda p: F.trim(p)), lambda p: p != "")
     if title is None:
         return split
     flat = F.regexp_replace(col(title), r"\s+", " ")
