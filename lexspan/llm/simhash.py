@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from functools import partial
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from pyspark.sql import functions as F
 from .common import components, map_text, materialize, union_min
 
 BITS, BLOCKS = 64, 4
+#: Rows that a task joins at a time.
+PART = 1 << 16
 
 
 def fingerprint(text: bytes | None, words: int = 3, seed: int = 42) -> int:
@@ -42,41 +45,52 @@ def fingerprints(docs: DataFrame, carry: list[str], text: str = "text", words: i
     return map_text(docs, start, "fp long", carry, text)
 
 
-def trie_pairs(keys: np.ndarray, budget: int, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
-    """Index pairs i < j of distinct sorted keys that differ in at most ``budget`` of ``bits`` bits.
+#: A pair of trie nodes with this many key pairs or fewer is finished by popcounts.
+LEAF = 64
 
-    The sorted keys are a binary trie: a node is a range that shares its first bits. Pairs of nodes go down
-    together from (root, root), one bit a level; a pair's differing bits add up and the pair is dropped once
-    they exceed the budget. A pair of nodes with one key each is finished by a popcount.
+
+def trie_pairs(keys: np.ndarray, budget: int, starts: np.ndarray | None = None, bits: int = BITS) -> tuple[np.ndarray, np.ndarray]:
+    """Index pairs i < j of distinct keys that differ in at most ``budget`` of ``bits`` bits.
+
+    Sorted keys are a binary trie: a node is a range that shares its first bits. Pairs of nodes go down together from
+    (root, root), one bit a level; a pair's differing bits add up and the pair is dropped once they exceed the
+    budget. A pair of small nodes is a leaf and is finished by popcounts. ``starts`` are the first places of several tries that lie
+    one after another in ``keys``; keys are paired within their own trie, and all tries go down at the same time.
     """
-    found: list[tuple[np.ndarray, np.ndarray]] = []
     n = len(keys)
-    todo = [] if n < 2 else [(np.array([0]), np.array([n]), np.array([0]), np.array([n]), np.array([0]), 0)]
+    starts = np.zeros(min(n, 1), int) if starts is None else starts
+    ends = np.append(starts[1:], n)
+    found: list[tuple[np.ndarray, np.ndarray]] = []
+    wide = ends - starts > 1
+    todo = [(starts[wide], ends[wide], starts[wide], ends[wide], np.zeros(wide.sum(), int), 0)]
     while todo:
         lo1, hi1, lo2, hi2, cost, depth = todo.pop()
-        single = (hi1 - lo1 == 1) & (hi2 - lo2 == 1)
-        if single.any():
-            i, j = lo1[single], lo2[single]
-            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
-            found.append((i[near], j[near]))
-            lo1, hi1, lo2, hi2, cost = (x[~single] for x in (lo1, hi1, lo2, hi2, cost))
-        if not len(lo1) or depth == bits:
+        if not len(lo1):
             continue
-        if len(lo1) > 1 << 18:  # depth first in parts: memory stays bounded
+        if len(lo1) > 1 << 17:  # in parts: memory stays bounded
             half = len(lo1) // 2
-            for part in (slice(None, half), slice(half, None)):
-                todo.append((*(x[part] for x in (lo1, hi1, lo2, hi2, cost)), depth))
+            todo += [(*(x[part] for x in (lo1, hi1, lo2, hi2, cost)), depth) for part in (slice(None, half), slice(half, None))]
             continue
+        n1, n2 = hi1 - lo1, hi2 - lo2
+        leaf = (n1 * n2 <= LEAF) | (depth == bits)
+        if leaf.any():
+            count = (n1 * n2)[leaf]
+            of = np.repeat(np.flatnonzero(leaf), count)
+            k = np.arange(len(of)) - np.repeat(np.cumsum(count) - count, count)
+            i, j = lo1[of] + k // n2[of], lo2[of] + k % n2[of]
+            near = (i < j) & (np.bitwise_count(keys[i] ^ keys[j]) <= budget)
+            found.append((i[near], j[near]))
+            lo1, hi1, lo2, hi2, cost = (x[~leaf] for x in (lo1, hi1, lo2, hi2, cost))
+            if not len(lo1):
+                continue
         bit = np.uint64(bits - 1 - depth)
         mid1, mid2 = split(keys, lo1, hi1, bit), split(keys, lo2, hi2, bit)
-        same = (lo1 == lo2) & (hi1 == hi2)
+        same = lo1 == lo2
         parts = []
         for a, (l1, h1) in enumerate(((lo1, mid1), (mid1, hi1))):
             for b, (l2, h2) in enumerate(((lo2, mid2), (mid2, hi2))):
                 new = cost + (a != b)
-                go = (h1 > l1) & (h2 > l2) & (new <= budget)
-                go &= ~same | (a <= b)  # a node with itself: each pair of its children once
-                go &= ~((l1 == l2) & (h1 == h2) & (h1 - l1 == 1))
+                go = (h1 > l1) & (h2 > l2) & (new <= budget) & (~same | (a <= b))  # a node with itself: each pair of its children once
                 parts.append((l1[go], h1[go], l2[go], h2[go], new[go]))
         todo.append((*(np.concatenate(x) for x in zip(*parts)), depth + 1))
     if not found:
@@ -139,15 +153,36 @@ def links(points: DataFrame, budget: int = 3, most: int = 2000) -> DataFrame:
     again = counted(deal(turned, "turned", 12, "bucket"))
     tasks = salted(first.filter(F.col("n") <= most).select("fp", "bucket", "n").unionByName(again.select("fp", "bucket", "n")), most)
 
-    def join(group: pd.DataFrame) -> pd.DataFrame:
-        keys = np.unique(group["fp"].to_numpy().astype(np.int64).view(np.uint64))
-        i, j = trie_pairs(keys, budget)
+    def forest(keys: np.ndarray, starts: np.ndarray) -> pa.RecordBatch:
+        i, j = trie_pairs(keys, budget, starts)
         root = union_min(len(keys), i, j)
         child = np.flatnonzero(root != np.arange(len(keys)))
         signed = keys.view(np.int64)
-        return pd.DataFrame({"a": signed[child], "b": signed[root[child]]})
-
-    return tasks.groupBy("bucket", "i", "j").applyInPandas(join, "a long, b long")
+        return pa.RecordBatch.from_arrays([pa.array(signed[child]), pa.array(signed[root[child]])], names=["a", "b"])
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows come sorted by task and fingerprint; tasks are joined many at a time, whole ones only."""
+        held: list[tuple[np.ndarray, np.ndarray]] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            task, fp = (np.concatenate(x) for x in zip(*held))
+            first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+            upto = len(task) if last else first[-1]
+            held[:] = [] if last else [(task[upto:], fp[upto:])]
+            if upto:
+                yield forest(fp[:upto].view(np.uint64), first[first < upto])
+
+        for batch in batches:
+            held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy()))
+            if sum(len(t) for t, _ in held) > PART:
+                yield from flush(False)
+        if held:
+            yield from flush(True)
+
+    # one 64-bit number for a task; two tasks with the same number would only be joined together
+    keyed = tasks.select(F.xxhash64("bucket", "i", "j").alias("task"), "fp").repartition("task")
+    # unsigned order of fingerprints within a task
+    return keyed.sortWithinPartitions("task", F.expr("fp ^ (-9223372036854775807 - 1)")).mapInArrow(join, "a long, b long")
 
 
 def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, budget: int = 3) -> DataFrame:
