@@ -13,7 +13,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: A word is a run of characters other than ASCII white space.
@@ -58,6 +58,46 @@ def discard(df: DataFrame) -> None:
     path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def fetch(df: DataFrame):
+    """The rows of a small result as a pandas frame, by Arrow (Row objects would take ten times the memory)."""
+    return df.toArrow().to_pandas()
+
+
+def trim_memory() -> None:
+    """Give freed memory back to the system; Python workers live on between tasks."""
+    import ctypes
+    import gc
+
+    gc.collect()
+    if hasattr(libc := ctypes.CDLL(None), "malloc_trim"):
+        libc.malloc_trim(0)
+
+
+def worker_cache(name: str) -> dict:
+    """A dict of that name which lives as long as the Python worker, so that tasks that follow one another can share it."""
+    import sys
+    import types
+
+    held = sys.modules.setdefault("_lexspan_worker", types.ModuleType("_lexspan_worker"))
+    return held.__dict__.setdefault(name, {})
+
+
+def least_count(counts: DataFrame, most: int, n: str = "n", entries: Column | None = None) -> int:
+    """The smallest t such that rows with n >= t have ``most`` entries (rows, unless given) or fewer in all.
+
+    Found from a histogram of at most a few thousand classes (exact up to 255, then steps of 2 %), so no sort and no row
+    goes to the driver; what lies in one class stays or goes together.
+    """
+    step = F.when(F.col(n) < 256, F.col(n)).otherwise(F.floor(256 * F.pow(F.lit(1.02), F.floor(F.log(1.02, F.col(n) / 256)))))
+    classes = counts.groupBy(step.cast("long").alias("least")).agg((F.count("*") if entries is None else F.sum(entries)).alias("n")).orderBy(F.desc("least")).collect()
+    upto = 0
+    for r in classes:
+        upto += r["n"]
+        if upto > most:
+            return r["least"] + 1 if r["least"] < 256 else int((r["least"] + 1) * 1.02) + 1
+    return 0
+
+
 def fold(column: str = "doc_id", modulus: int = 5):
     """crc32 of the decimal text of an id, modulo ``modulus`` (null ids: null)."""
     return F.crc32(F.col(column).cast("string").cast("binary")) % F.lit(modulus)
@@ -90,6 +130,8 @@ def map_text(df: DataFrame, start: Callable[[], Callable[[list[bytes | None]], d
         for batch in batches:
             made = work(utf8(batch.column(len(carry))))
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *[pa.array(made[f.name], f.type) for f in types]], names=[*carry, *new])
+        del work
+        trim_memory()
 
     return source.mapInArrow(run, out)
 

@@ -7,7 +7,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, materialize, union_min
+from .common import components, fetch, materialize, union_min
 
 #: Code length, tables (a code's bytes) and most vectors that the rotation is fitted on, chosen by hash.
 BITS, TABLES, MOST_FITTED = 64, 8, 20_000
@@ -86,7 +86,7 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, most: int = 150
     ok = ok & (F.size("embedding") == common["d"])
     classes = rows.filter(ok).groupBy("label", "embedding").agg(F.min("vec_id").alias("rep"), F.count("*").alias("n")).withColumn("cls", F.monotonically_increasing_id())
     classes = materialize(classes)
-    sample = np.array(classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(fitted).toPandas()["embedding"].tolist(), np.float64)
+    sample = np.array(fetch(classes.select("embedding").orderBy(F.xxhash64("embedding"), "embedding").limit(fitted))["embedding"].tolist(), np.float64)
     quantiser = spark.sparkContext.broadcast(Quantiser(unit(sample)))
 
     def code(frames):

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from . import ctw, embeddings, html_text, langid, mixing, packing, quality, rules, simhash, toxicity
-from .common import fold, materialize, table
+from .common import fold, table
 
 
 def tokenizer_path(name: str = "word_bpe_49k.json") -> str:
@@ -49,7 +49,7 @@ def op6_language(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op7_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, labels = table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels")
-    counted = materialize(rules.statistics(docs, ["doc_id"]))
+    counted = rules.statistics(docs, ["doc_id"])
     found = rules.learn(counted, labels)
     return rules.judge(counted, found).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 

@@ -32,7 +32,8 @@ def statistics(docs: DataFrame, carry: list[str], text: str = "text", window: in
     ``n_repeat_words`` is the number of words in windows of five words that are found twice or more in the text, the
     first included. Windows are compared by 64-bit hashes. Their number of distinct ones is found with a hash set; only a text
     that repeats one has its windows sorted, so a text of n words costs n log n at most and nothing leaves its row.
-    Input columns named like the counts are replaced.
+    Input columns named like the counts are replaced. The counts are written once: a filter on them, pushed into these
+    expressions, would evaluate them again for each element.
     """
 
     def left(pattern: str) -> Column:
@@ -65,7 +66,7 @@ def statistics(docs: DataFrame, carry: list[str], text: str = "text", window: in
         "n_capitals": left("[^A-Z]+"),
         "n_digits": left("[^0-9]+"),
     }
-    return steps.select(*held, *[made[c].cast("long").alias(c) for c in COUNTS])
+    return materialize(steps.select(*held, *[made[c].cast("long").alias(c) for c in COUNTS]))
 
 
 @dataclass(frozen=True)
@@ -101,7 +102,7 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
 
     Two thirds of the labelled rows, by hash of doc_id, grow a rule: the condition with the largest information gain is added until only
     label 0 is covered or ``most_conditions`` are used. The other third prunes it: conditions fall off the end while
-    (p - n) / (p + n) doesn't fall. A rule that keeps ``precision`` on at least ``support`` rows of either part is emitted, what it covers is taken
+    (p - n) / (p + n) doesn't fall. A rule that doesn't keep ``precision`` is dropped, and the next begins with another feature. One that keeps ``precision`` on at least ``support`` rows of either part is emitted, what it covers is taken
     away, and the next is grown. Rows that fail the base rule aren't used, for the list isn't asked about them.
 
     Every step is one aggregation of binned features over all labelled rows; the driver sees at most
@@ -142,8 +143,8 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
         return p * (math.log2(p / (p + n)) - math.log2(p0 / (p0 + n0))) if p else -1.0
 
     rules: list[Rule] = []
-    left = binned
-    while len(rules) < most_rules:
+    left, refused = binned, set()
+    while len(rules) < most_rules and len(refused) < len(FEATURES):
         conditions: list[Condition] = []
         rows, found = left, counts(left)
         trail = [total(found, False)]  # on the pruning part, after each condition
@@ -152,7 +153,7 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
             if not p0 or not n0:
                 break
             best = (1e-9, None)
-            for f in FEATURES:
+            for f in FEATURES if conditions else [f for f in FEATURES if f not in refused]:
                 cells = found.get((True, f), {})
                 for k, edge in enumerate(edges[f]):
                     above = [sum(x[i] for place, x in cells.items() if place > k) for i in (0, 1)]
@@ -177,7 +178,9 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
             covers = covers & holds(c)
         tally = left.filter(covers).agg(F.count_if(F.expr("grow and y = 0")), F.count_if(F.expr("grow and y <> 0")), F.count_if(F.expr("not grow and y = 0")), F.count_if(F.expr("not grow and y <> 0"))).first()
         if tally[0] + tally[1] < support or tally[0] < precision * (tally[0] + tally[1]) or tally[2] < precision * (tally[2] + tally[3]):
-            break
+            refused.add(conditions[0].feature)  # another beginning may do better
+            continue
+        refused.clear()
         rules.append(Rule(tuple(conditions), sum(tally), (tally[0] + tally[2]) / sum(tally)))
         left = left.filter(~covers)
     return rules

@@ -9,7 +9,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize
+from .common import fetch, map_text, materialize
 from .quality import labelled_sample
 
 TOKEN = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -89,7 +89,8 @@ def fit(docs: DataFrame, labels: DataFrame, label: str = "toxic", text: str = "t
     """
     sample = F.broadcast(materialize(labelled_sample(labels, label, most)))
     rows = docs.select("doc_id", F.col(text).alias("text")).join(sample, "doc_id")
-    got = map_text(rows, lambda: lambda texts: {"x": [features(t) for t in texts]}, "x array<int>", ["doc_id", "label"]).toPandas()
+    got = map_text(rows, lambda: lambda texts: {"x": [features(t) for t in texts]}, "x array<int>", ["doc_id", "label"])
+    got = fetch(got)
     got = got.iloc[np.lexsort((got["x"].map(len), got["doc_id"]))]
     x, y, model = [np.asarray(v, np.int64) for v in got["x"]], got["label"].to_numpy(float), Ftrl()
     r = np.random.default_rng(seed)
