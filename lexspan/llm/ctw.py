@@ -11,11 +11,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize, utf8
+from .common import fetch, least_count, map_text, materialize, trim_memory, utf8
 
-#: Bytes of context; most context-and-byte counts in the model, over all depths (those with the highest
-#: counts); most words whose counts are broadcast. The model's arrays are below 100 MB at these bounds.
-DEPTH, MOST_GRAMS, MOST_WORDS = 5, 700_000, 250_000
+#: Bytes of context; most context-and-byte counts in the model, over all depths (of the contexts that occur
+#: most); most words whose counts are broadcast. The model's arrays are below 70 MB at these bounds.
+DEPTH, MOST_GRAMS, MOST_WORDS = 5, 400_000, 100_000
 END = b"\n"
 U = np.uint64
 
@@ -51,7 +51,7 @@ def add_up(keys: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return keys[first], np.add.reduceat(n, first) if len(first) else n
 
 
-def corpus_counts(docs: DataFrame, depth: int, text: str = "text", part: int = 4 << 20, most: int = 2_000_000) -> DataFrame:
+def corpus_counts(docs: DataFrame, depth: int, text: str = "text", part: int = 1 << 20, most: int = 1_000_000) -> DataFrame:
     """(word, gram, n) over whole texts: a row has a word (binary; the end byte for ends) or a gram, and how often it occurs.
 
     A task adds up what it reads in bounded memory; one shuffle sums the tasks' counts.
@@ -100,15 +100,16 @@ def corpus_counts(docs: DataFrame, depth: int, text: str = "text", part: int = 4
                 if rows > most // 2:
                     yield from emit_grams()
                     rows = 0
-            if len(words) > 300_000:
+            if len(words) > 150_000:
                 yield from emit_words()
         count()
         if words:
             yield from emit_words()
         if done:
             yield from emit_grams()
+        trim_memory()
 
-    return docs.select(F.col(text)).mapInArrow(run, "word binary, gram long, n long").groupBy("word", "gram").agg(F.sum("n").alias("n"))
+    return docs.select(F.col(text)).mapInArrow(run, "word binary, gram long, n long").repartition("word", "gram").groupBy("word", "gram").agg(F.sum("n").alias("n"))
 
 
 class Table:
@@ -150,6 +151,11 @@ def node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return (U(depth) << U(60)) | (context << U(8)) | prefix
 
 
+def gram_key(depth: int, key: np.ndarray) -> np.ndarray:
+    """One number for a depth and the bytes there."""
+    return (U(depth + 1) << U(56)) | key
+
+
 LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
 
 
@@ -202,34 +208,49 @@ class Tree:
             below = (key, a, b, log_w)
         key, one, stop, last = (np.concatenate(x) for x in zip(*parts))
         self.nodes, self.one, self.stop, self.last = Table(key), one.astype(np.float32), stop.astype(np.float32), last.astype(np.float32)
-        deepest = counts[self.depth][0]
-        self.grams, self.known = Table(deepest), self.compute(deepest).astype(np.float32)
-
-    def compute(self, keys: np.ndarray) -> np.ndarray:
-        """log10 probability of the last byte of every key after its context, by the mixture over all depths."""
+        # what the mixture gives for every known (context, byte), as if the context were the deepest one on its path
+        full = [(d, keys) for d, (keys, _) in enumerate(counts)]
+        self.grams = Table(np.concatenate([gram_key(d, k) for d, k in full]))
+        self.known = np.concatenate([self.compute(k, d) for d, k in full]).astype(np.float32)
+        self.contexts = Table(np.concatenate([np.unique(gram_key(d, k >> U(8))) for d, k in full]))
+
+    def compute(self, keys: np.ndarray, deepest: int | None = None) -> np.ndarray:
+        """log10 probability of the last byte of every key after its context, by the mixture over all depths up to ``deepest``."""
         total = np.zeros(len(keys))
         byte = keys & U(255)
         for b in range(8):
             prefix, bit = (U(1) << U(b)) | (byte >> U(8 - b)), ((byte >> U(7 - b)) & U(1)).astype(bool)
             p = np.full(len(keys), np.nan)
-            for d in range(self.depth, -1, -1):
+            for d in range(self.depth if deepest is None else deepest, -1, -1):
                 at = self.nodes.find(node_key(d, (keys >> U(8)) & U((1 << (8 * d)) - 1), prefix))
-                own = self.stop[at].astype(np.float64) * self.one[at]
-                p = np.where(at < 0, p, np.where(np.isnan(p), self.last[at], own + (1 - self.stop[at].astype(np.float64)) * p)) if len(self.one) else p
+                if len(self.one):
+                    own = self.stop[at].astype(np.float64) * self.one[at]
+                    p = np.where(at < 0, p, np.where(np.isnan(p), self.last[at], own + (1 - self.stop[at].astype(np.float64)) * p))
             p = np.where(np.isnan(p), 0.5, p)
             total += np.log10(np.where(bit, p, 1 - p))
         return total
 
     def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of every stream."""
+        """log10 probability of every stream.
+
+        A byte that its deepest context knows takes its value from a table; the mixture is computed for the others, once for each
+        different (context, byte).
+        """
         if not streams:
             return np.zeros(0)
         keys = grams(streams, self.depth)
-        at = self.grams.find(keys)
-        value = self.known[at].astype(np.float64) if len(self.known) else np.zeros(len(keys))
-        if len(lost := np.flatnonzero(at < 0)):
-            new, place = np.unique(keys[lost], return_inverse=True)
-            value[lost] = self.compute(new)[place]
+        value, left, new = np.zeros(len(keys)), np.arange(len(keys)), []
+        for d in range(self.depth, -1, -1):
+            at = self.grams.find(gram_key(d, keys[left] & U((1 << (8 * (d + 1))) - 1)))
+            hit = at >= 0
+            value[left[hit]] = self.known[at[hit]]
+            left = left[~hit]
+            inside = self.contexts.find(gram_key(d, (keys[left] >> U(8)) & U((1 << (8 * d)) - 1))) >= 0
+            new.append(left[inside])
+            left = left[~inside]
+        if len(lost := np.concatenate([*new, left])):
+            what, place = np.unique(keys[lost], return_inverse=True)
+            value[lost] = self.compute(what)[place]
         ends = np.cumsum([len(s) for s in streams])
         return np.add.reduceat(value, np.r_[0, ends[:-1]])
 
@@ -247,28 +268,23 @@ class Model:
 def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH, most_grams: int = MOST_GRAMS, most_words: int = MOST_WORDS) -> tuple[Model, DataFrame]:
     """A model of all texts of ``docs`` (null: empty) and the table (word, n) of all words' counts.
 
-    The deepest counts are summed over the whole corpus, shallower ones from these. The tree holds the entries with the
-    highest counts, ``most_grams`` at most; a shallower entry counts as much as any below it, so the tree has no
-    holes. With an empty table the model gives every bit probability 1/2.
+    The deepest counts are summed over the whole corpus, shallower ones from these. The tree holds the contexts that occur most,
+    each with all its bytes, ``most_grams`` entries at most; a context occurs as often as any longer one that ends in it, so
+    the tree has no holes. With an empty table the model gives every bit probability 1/2.
     """
     counts = materialize(corpus_counts(docs, depth, text))
     words = counts.filter("word is not null").select("word", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
     shallow = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct(d.alias("d"), F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit((1 << (8 * (k + 1))) - 1) for k in range(depth + 1)]), d + 1)).alias("gram")))
     levels = counts.filter("gram is not null").select("n", F.explode(shallow).alias("x")).groupBy("x.d", "x.gram").agg(F.sum("n").alias("n"))
-    levels = materialize(levels)
-    # the bound on counts that leaves most_grams entries at most, from a histogram of a few hundred classes
-    classes = levels.groupBy(F.when(F.col("n") < 256, F.col("n")).otherwise(F.floor(256 * F.pow(F.lit(1.05), F.floor(F.log(1.05, F.col("n") / 256))))).cast("long").alias("least")).count().orderBy(F.desc("least")).collect()
-    upto, least = 0, 1
-    for r in classes:
-        upto += r["count"]
-        if upto > most_grams:
-            least = r["least"] + 1 if r["least"] < 256 else int(r["least"] * 1.06) + 1
-            break
-    kept = levels.filter(F.col("n") >= least).select(F.col("d").cast("int").alias("d"), "gram", "n").toPandas().sort_values(["d", "gram"])
+    # a context with its bytes is a row of at most 256 entries
+    contexts = materialize(levels.groupBy("d", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("entries"), F.collect_list(F.struct("gram", "n")).alias("x")))
+    least = least_count(contexts, most_grams, "total", F.col("entries"))
+    kept = contexts.filter(F.col("total") >= least).select(F.col("d").cast("int").alias("d"), F.explode("x").alias("x")).select("d", "x.gram", "x.n")
+    kept = fetch(kept).sort_values(["d", "gram"])
     tree = Tree([(part["gram"].to_numpy().astype(np.int64).view(U), part["n"].to_numpy().astype(np.int64)) for d in range(depth + 1) for part in [kept[kept["d"] == d]]])
-    top = words.orderBy(F.desc("n"), "word").limit(most_words).toPandas()
-    return Model(tree, dict(zip(map(bytes, top["word"]), top["n"].tolist())), int(total[0]), int(total[1])), words
+    top = fetch(words.filter(F.col("n") >= least_count(words, most_words)))
+    return Model(tree, dict(zip(top["word"], top["n"].tolist())), int(total[0]), int(total[1])), words
 
 
 def score(docs: DataFrame, model: Model, words: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
@@ -280,7 +296,7 @@ def score(docs: DataFrame, model: Model, words: DataFrame, carry: list[str], tex
     token alone. Repeated rows are scored each. Input columns named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    most = 1 << 22
+    most = 1 << 20
 
     def start():
         m = shared.value
