@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import math
 import re
+import uuid
 from collections import Counter
 from collections.abc import Iterator
 
@@ -12,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize, utf8
+from .common import fetch, least_count, map_text, materialize, utf8, worker_cache
 
 LETTER = re.compile(rb"[A-Za-z]")
 SCHEMA = "lang_pred string, score double"
@@ -57,83 +58,131 @@ class Model:
     """
 
     def __init__(self, langs: list[str], words: dict[str, np.ndarray], grams: dict[str, np.ndarray], longest: int):
-        self.langs, self.words, self.grams, self.longest = langs, words, grams, longest
-
-    def unseen(self, word: str) -> np.ndarray:
-        """Score of a word that isn't known: at each place the longest known n-gram that starts there, else shorter ones.
-
-        The units that were used are averaged, so a long word weighs no more than a known one.
-        """
-        marked, total, used, at = f"<{word[:60]}>", np.zeros(len(self.langs)), 0, 0
-        while at < len(marked):
-            for n in range(min(self.longest, len(marked) - at), 0, -1):
-                if (row := self.grams.get(marked[at : at + n])) is not None:
-                    total, used = total + row, used + 1
+        self.langs, self.longest, self.name = langs, longest, uuid.uuid4().hex
+        width = max(len(langs), 1)
+        self.words = {w.encode(): k for k, w in enumerate(words)}
+        self.grams = {g: k for k, g in enumerate(grams)}
+        self.word_rows = np.array([*words.values()], np.float64).reshape(-1, width)
+        self.gram_rows = np.array([*grams.values()], np.float64).reshape(-1, width)
+
+    def units(self, word: str) -> list[int]:
+        """The n-grams that stand for an unknown word: at each place the longest known one that starts there, else shorter ones."""
+        marked, found, get = f"<{word[:60]}>", [], self.grams.get
+        for at in range(len(marked)):
+            for end in range(min(at + self.longest, len(marked)), at, -1):
+                if (k := get(marked[at:end])) is not None:
+                    found.append(k)
                     break
-            at += 1
-        return total / used if used else total
+        return found
 
-    def start(self):
-        """A function from texts to predictions; keeps a bounded cache of words met."""
-        known = {w.encode(): row for w, row in self.words.items()}
-        rows, index = [np.zeros(len(self.langs))], {}
-        table = np.zeros((0, len(self.langs)))
+    def unseen(self, words: list[str]) -> np.ndarray:
+        """Scores of unknown words: the mean of their units, so a long word weighs no more than a known one; zeros without any."""
+        parts = [self.units(w) for w in words]
+        n = np.array([len(p) for p in parts])
+        flat = np.fromiter((k for p in parts for k in p), np.int64, int(n.sum()))
+        total = np.zeros((len(words), max(len(self.langs), 1)))
+        np.add.at(total, np.repeat(np.arange(len(words)), n), self.gram_rows[flat])
+        return total / np.maximum(n, 1)[:, None]
 
-        def number(word: bytes) -> int:
-            row = known.get(word)
-            index[word] = at = len(rows)
-            rows.append(self.unseen(word.decode("utf-8", "ignore")) if row is None else row)
-            return at
+    def start(self):
+        """A function from texts to predictions; words met are kept in a cache of bounded size that a worker's tasks share."""
+        held = worker_cache("langid")
+        if held.get("name") != self.name:
+            held.clear()
+            held.update(name=self.name, index=dict(self.words), rows=self.word_rows)
+        width = len(self.langs)
+
+        def numbers(words: list[bytes]) -> list[int]:
+            index = held["index"]
+            new = [w for w in set(words) if w not in index]
+            if new:
+                if len(index) + len(new) > len(self.words) + 400_000:
+                    held.update(index=(index := dict(self.words)), rows=self.word_rows)
+                    new = [w for w in set(words) if w not in index]
+                index.update(zip(new, range(len(held["rows"]), len(held["rows"]) + len(new))))
+                held["rows"] = np.concatenate([held["rows"], self.unseen([w.decode("utf-8", "ignore") for w in new])])
+            return [*map(index.__getitem__, words)]
 
         def work(texts: list[bytes | None]) -> dict[str, list]:
-            nonlocal table
-            langs, scores = [], []
-            for text in texts:
-                if not self.langs or not has_letter(text):
-                    langs.append("und")
-                    scores.append(0.0)
-                    continue
-                words = text.lower().split()
-                if len(rows) > 300_000:
-                    index.clear()
-                    del rows[1:]
-                    table = table[:0]
-                total = np.zeros(len(self.langs))
-                for i in range(0, len(words), 1 << 16):
-                    part = words[i : i + (1 << 16)]
-                    ids = [index.get(w) or number(w) for w in part]
-                    if len(rows) > len(table):
-                        table = np.concatenate([table, np.array(rows[len(table) :])])
-                    total += table[ids].sum(0)
-                # natural logs, tempered by the root of the length: words of a text aren't independent
-                odds = total / math.sqrt(len(words)) * math.log(10)
-                odds = np.exp(odds - odds.max())
-                langs.append(self.langs[int(odds.argmax())])
-                scores.append(float(odds.max() / odds.sum()))
-            return {"lang_pred": langs, "score": scores}
+            # words of several texts are looked up together, in parts of bounded size
+            totals, lengths = np.zeros((len(texts), max(width, 1))), np.zeros(len(texts), np.int64)
+            words: list[bytes] = []
+            owner: list[tuple[int, int]] = []
+
+            def flush() -> None:
+                if words:
+                    rows = held["rows"][ids] if (ids := numbers(words)) else None
+                    np.add.at(totals, [k for k, _ in owner], np.add.reduceat(rows, np.cumsum([0] + [n for _, n in owner[:-1]]), axis=0))
+                words.clear()
+                owner.clear()
+
+            known = [bool(width) and has_letter(t) for t in texts]
+            for k, text in enumerate(texts):
+                found = text.lower().split() if known[k] else []
+                lengths[k] = len(found)
+                for i in range(0, len(found), 1 << 17):
+                    part = found[i : i + (1 << 17)]
+                    words += part
+                    owner.append((k, len(part)))
+                    if len(words) > 1 << 17:
+                        flush()
+            flush()
+            # natural logs, tempered by the root of the length: words of a text aren't independent
+            odds = totals / np.sqrt(np.maximum(lengths, 1))[:, None] * math.log(10)
+            odds = np.exp(odds - odds.max(axis=1, keepdims=True, initial=-np.inf)) if len(texts) else odds
+            best = odds.argmax(axis=1) if len(texts) else []
+            return {
+                "lang_pred": [self.langs[b] if ok else "und" for b, ok in zip(best, known)],
+                "score": [float(o.max() / o.sum()) if ok else 0.0 for o, ok in zip(odds, known)],
+            }
 
         return work
 
 
+def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFrame:
+    """(lang, unit, n): all character n-grams up to ``longest`` of marked words (60 characters of each), weighted by the words' counts."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: dict[str, dict[str, int]] = {}
+
+        def emit() -> Iterator[pa.RecordBatch]:
+            for name, units in seen.items():
+                yield pa.RecordBatch.from_arrays([pa.array([name] * len(units), pa.string()), pa.array([*units], pa.string()), pa.array([*units.values()], pa.int64())], names=["lang", "unit", "n"])
+            seen.clear()
+
+        for batch in batches:
+            for name, word, n in zip(*(c.to_pylist() for c in batch.columns)):
+                marked, units = f"<{word[:60]}>", seen.setdefault(name, {})
+                get, size = units.get, len(marked)
+                for at in range(size):
+                    for end in range(at + 1, min(at + longest, size) + 1):
+                        unit = marked[at:end]
+                        units[unit] = get(unit, 0) + n
+            if sum(map(len, seen.values())) > flush:
+                yield from emit()
+        yield from emit()
+
+    return words.select("lang", "word", "n").mapInArrow(run, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+
+
 def fit(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, add: float = 0.5) -> Model:
     """Count words and n-grams by language over all of ``docs`` and keep the most frequent ones as a model.
 
     ``most_words`` and ``most_grams`` bound the model that is broadcast (a few MB); words outside of it are
     scored by their n-grams. Counts cover every row with a text and a language. Without such rows the model knows
-    no language and predicts ``und``. Ties at the bounds go by code point.
+    no language and predicts ``und``. Units with equal counts stay or go together at the bounds.
     """
     counts = materialize(word_counts(docs, text, lang))
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, {}, longest)
-    marked = counts.select("lang", "n", F.concat(F.lit("<"), F.expr("left(word, 60)"), F.lit(">")).alias("w"))
-    every = F.flatten(F.array(*[F.transform(F.sequence(F.lit(1), F.greatest(F.length("w") - (n - 1), F.lit(1))), lambda i, n=n: F.when(F.length("w") >= n, F.substr(F.col("w"), i, F.lit(n)))) for n in range(1, longest + 1)]))
-    grams = marked.select("lang", "n", F.explode(every).alias("unit")).filter("unit is not null").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
+    grams = gram_counts(counts, longest)
 
     def best(units: DataFrame, most: int) -> dict[str, np.ndarray]:
         wide = units.groupBy("unit").agg(*[F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(langs)], F.sum("n").alias("all"))
-        kept = wide.orderBy(F.desc("all"), "unit").limit(most).toPandas()
+        wide = materialize(wide)
+        kept = fetch(wide.filter(F.col("all") >= least_count(wide, most, "all"))).sort_values("unit")
         table = kept[[f"n{k}" for k in range(len(langs))]].fillna(0).to_numpy(float) + add
         table = np.log10(table / table.sum(0))
         return dict(zip(kept["unit"], table.astype(np.float64)))
