@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_text, materialize
+from .common import map_text, materialize, worker_cache
 
 CAPACITY = 4096
 
@@ -18,27 +18,63 @@ CAPACITY = 4096
 class Encoder:
     """Token ids of whole texts by a public tokenizer, as little-endian unsigned 32-bit integers.
 
-    The tokenizer drops white space and splits on it, so a text is the sequence of its words' ids; words are encoded once
-    and kept in a cache of bounded size.
+    The tokenizer lower-cases, drops white space and splits on it, so a text is the sequence of its words' ids, and a word the
+    sequence of the ids of its parts (a run of letters, a digit, a run of other characters). Parts are encoded once, many in one
+    call with a special token between; words are put together from them. Both caches are bounded and live as long as the worker.
     """
 
-    def __init__(self, path: str, most: int = 400_000):
+    MARK = "<|startoftext|>"
+    PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+
+    def __init__(self, path: str, most: int = 500_000):
+        import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most, self.cache = Tokenizer.from_file(path), most, {}
+        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.split = regex.compile(self.PART).findall
+        self.mark = self.tokenizer.token_to_id(self.MARK)
+        cache = worker_cache(f"encoder {path}")
+        self.words, self.parts = cache.setdefault("words", {}), cache.setdefault("parts", {})
+
+    def ids(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def learn_parts(self, new: list[str]) -> None:
+        if len(self.parts) + len(new) > self.most:
+            self.parts.clear()
+        for i in range(0, len(new), 4000):
+            some = new[i : i + 4000]
+            got = np.array(self.tokenizer.encode(self.MARK.join(some), add_special_tokens=False).ids, "<u4")
+            ends = np.append(np.flatnonzero(got == self.mark), len(got))
+            starts = np.append(0, ends[:-1] + 1)
+            self.parts.update(zip(some, (got[a:b].tobytes() for a, b in zip(starts, ends))))
+
+    def learn(self, new: list[bytes]) -> None:
+        if len(self.words) + len(new) > self.most:
+            self.words.clear()
+        # only words whose parts are sure to be the tokenizer's own: ASCII and Latin letters that no normalisation changes
+        plain, odd = [], []
+        for word in new:
+            text = word.decode("utf-8", "replace")
+            (odd if "<|" in text or not (text.isascii() or all(c < "\u0250" and c == c.lower() for c in text)) else plain).append((word, text))
+        parts = [self.split(text) for _, text in plain]
+        if missing := [*{p for found in parts for p in found if p not in self.parts}]:
+            self.learn_parts(missing)
+        get = self.parts.get
+        for (word, text), found in zip(plain, parts):
+            ids = [get(p) for p in found]
+            self.words[word] = b"".join(ids) if None not in ids else self.ids(text)
+        for word, text in odd:
+            self.words[word] = self.ids(text)
 
     def encode(self, text: bytes) -> bytes:
-        words, cache = text.split(), self.cache
-        new = [w for w in set(words) if w not in cache]
-        if new:
-            if len(cache) + len(new) > self.most:
-                cache.clear()
-                new = list(set(words))
-            for i in range(0, len(new), 10_000):
-                part = new[i : i + 10_000]
-                for word, got in zip(part, self.tokenizer.encode_batch_fast([w.decode("utf-8", "replace") for w in part], add_special_tokens=False)):
-                    cache[word] = np.array(got.ids, "<u4").tobytes()
-        return b"".join(map(cache.__getitem__, words))
+        words = text.lower().split()
+        if new := [w for w in set(words) if w not in self.words]:
+            before = len(self.words)
+            self.learn(new)
+            if len(self.words) < before:  # the cache was emptied: the text's other words are needed again
+                self.learn([w for w in set(words) if w not in self.words])
+        return b"".join(map(self.words.__getitem__, words))
 
 
 def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY, end: int = 1, text: str = "text") -> DataFrame:
