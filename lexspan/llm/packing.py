@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import zlib
 from bisect import bisect_left, insort
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -15,66 +16,72 @@ from .common import map_text, materialize, worker_cache
 CAPACITY = 4096
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in a byte-level vocabulary: printable Latin-1 bytes stand for themselves, the others follow from 256."""
+    own = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    rest = iter(range(256, 512))
+    return [chr(b) if b in own else chr(next(rest)) for b in range(256)]
+
+
 class Encoder:
     """Token ids of whole texts by a public tokenizer, as little-endian unsigned 32-bit integers.
 
     The tokenizer lower-cases, drops white space and splits on it, so a text is the sequence of its words' ids, and a word the
-    sequence of the ids of its parts (a run of letters, a digit, a run of other characters). Parts are encoded once, many in one
-    call with a special token between; words are put together from them. Both caches are bounded and live as long as the worker.
+    sequence of the ids of its parts (a run of letters, a digit, a run of other characters). The model tokenizes each part once;
+    words that normalisation could change go through the whole tokenizer. Both caches are bounded and live as long as the worker.
     """
 
-    MARK = "<|startoftext|>"
     PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 500_000):
+    def __init__(self, path: str, most: int = 500_000, chunk: int = 2 << 20):
         import regex
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.most = Tokenizer.from_file(path), most
+        self.tokenizer, self.most, self.chunk = Tokenizer.from_file(path), most, chunk
+        self.tokenize = self.tokenizer.model.tokenize
         self.split = regex.compile(self.PART).findall
-        self.mark = self.tokenizer.token_to_id(self.MARK)
+        self.letters = byte_letters()
         cache = worker_cache(f"encoder {path}")
         self.words, self.parts = cache.setdefault("words", {}), cache.setdefault("parts", {})
 
-    def ids(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-
-    def learn_parts(self, new: list[str]) -> None:
-        if len(self.parts) + len(new) > self.most:
-            self.parts.clear()
-        for i in range(0, len(new), 4000):
-            some = new[i : i + 4000]
-            got = np.array(self.tokenizer.encode(self.MARK.join(some), add_special_tokens=False).ids, "<u4")
-            ends = np.append(np.flatnonzero(got == self.mark), len(got))
-            starts = np.append(0, ends[:-1] + 1)
-            self.parts.update(zip(some, (got[a:b].tobytes() for a, b in zip(starts, ends))))
-
-    def learn(self, new: list[bytes]) -> None:
-        if len(self.words) + len(new) > self.most:
-            self.words.clear()
-        # only words whose parts are sure to be the tokenizer's own: ASCII and Latin letters that no normalisation changes
-        plain, odd = [], []
-        for word in new:
-            text = word.decode("utf-8", "replace")
-            (odd if "<|" in text or not (text.isascii() or all(c < "\u0250" and c == c.lower() for c in text)) else plain).append((word, text))
-        parts = [self.split(text) for _, text in plain]
-        if missing := [*{p for found in parts for p in found if p not in self.parts}]:
-            self.learn_parts(missing)
-        get = self.parts.get
-        for (word, text), found in zip(plain, parts):
-            ids = [get(p) for p in found]
-            self.words[word] = b"".join(ids) if None not in ids else self.ids(text)
-        for word, text in odd:
-            self.words[word] = self.ids(text)
-
-    def encode(self, text: bytes) -> bytes:
-        words = text.lower().split()
-        if new := [w for w in set(words) if w not in self.words]:
-            before = len(self.words)
-            self.learn(new)
-            if len(self.words) < before:  # the cache was emptied: the text's other words are needed again
-                self.learn([w for w in set(words) if w not in self.words])
-        return b"".join(map(self.words.__getitem__, words))
+    def part(self, text: str) -> bytes:
+        """Ids of a part; only of lower-case Latin text, which stays as it is when normalised."""
+        if (ids := self.parts.get(text)) is None:
+            shown = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
+            self.parts[text] = ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenize(shown))
+        return ids
+
+    def word(self, word: bytes) -> bytes:
+        text = word.decode("utf-8", "replace")
+        if "<|" in text or not (text.isascii() or all(c < "\u0250" and c == c.lower() for c in text)):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+        return b"".join(map(self.part, self.split(text)))
+
+    def encode(self, texts: list[bytes]) -> Iterator[bytes]:
+        """The ids of every text. Words of several texts are looked up together, so memory is bounded by the longest text."""
+        held: list[list[bytes]] = []
+        size = 0
+
+        def flush() -> Iterator[bytes]:
+            if len(self.parts) > self.most:
+                self.parts.clear()
+            if len(self.words) > self.most:
+                self.words.clear()
+            known, word = self.words, self.word
+            for found in held:
+                for w in found:
+                    if w not in known:
+                        known[w] = word(w)
+                yield b"".join(map(known.__getitem__, found))
+            held.clear()
+
+        for text in texts:
+            held.append(text.lower().split())
+            size += len(text)
+            if size > self.chunk:
+                yield from flush()
+                size = 0
+        yield from flush()
 
 
 def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY, end: int = 1, text: str = "text") -> DataFrame:
@@ -89,8 +96,8 @@ def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY,
 
         def work(texts: list[bytes | None]) -> dict[str, list]:
             out = []
-            for text in texts:
-                ids = encoder.encode(text or b"") + tail
+            for ids in encoder.encode([t or b"" for t in texts]):
+                ids += tail
                 out.append([{"piece": i // step, "start": i // 4, "length": min(step, len(ids) - i) // 4, "ids_crc32": zlib.crc32(ids[i : i + step])} for i in range(0, len(ids), step)])
             return {"p": out}
 
