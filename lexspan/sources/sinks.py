@@ -16,7 +16,7 @@ from ..operators import lines, lookup
 
 NAMESPACE = "urn:QDA-XML:project:1.0"
 #: The root of code identifiers; they follow from a code's path alone.
-CODES = uuid.uuid5(uuid.NAMESPACE_URL, "crl-cct-pipeline")
+CODES = uuid.uuid5(uuid.NAMESPACE_URL, "lexspan-codes")
 
 
 def write_catalogue(rows: DataFrame, path: str, columns: list[str], order: list[str]) -> None:
