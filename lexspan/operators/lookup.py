@@ -88,11 +88,11 @@ def earlier_matches(events: DataFrame, notices: DataFrame, key: list[str], when:
 
 def parents(nodes: DataFrame, node: str, parent: str, label: str, depth: int = 4) -> DataFrame:
     """Append ``chain``: the labels from the root down to each node's parent, joined by ``>``, by at most ``depth`` equi-joins."""
-    up = nodes.select(F.col(node).alias("__id"), F.col(parent).alias("__up"), F.col(label).alias("__lab"))
+    up = nodes.select(F.col(node).alias("__of_node"), F.col(parent).alias("__of_parent"), F.col(label).alias("__of_label"))
     out = nodes.withColumn("__at", F.col(parent)).withColumn("__chain", F.expr("cast(array() as array<string>)"))
     for _ in range(depth):
-        out = out.join(up, F.col("__at") == F.col("__id"), "left")
-        out = out.withColumn("__chain", F.when(F.col("__id").isNull(), F.col("__chain")).otherwise(F.concat(F.array("__lab"), "__chain"))).withColumn("__at", F.col("__up")).drop("__id", "__up", "__lab")
+        out = out.join(up, F.col("__at") == F.col("__of_node"), "left")
+        out = out.withColumn("__chain", F.when(F.col("__of_node").isNull(), F.col("__chain")).otherwise(F.concat(F.array("__of_label"), "__chain"))).withColumn("__at", F.col("__of_parent")).drop("__of_node", "__of_parent", "__of_label")
     return out.withColumn("chain", F.array_join("__chain", " > ")).drop("__at", "__chain")
 
 
