@@ -34,9 +34,9 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates: the one with the smallest doc_id."""
+    """One document of each group that shares 0.8 or more of its five-word shingles: the one with the smallest doc_id."""
     session(spark)
-    kept = simhash.near_duplicates(docs, words=5, budget=3).filter("kept").select("doc_id")
+    kept = simhash.similar_documents(docs, words=5, similarity=0.8).filter("kept").select("doc_id")
     return docs.join(materialize(kept), "doc_id", "left_semi").select(*docs.columns)
 
 

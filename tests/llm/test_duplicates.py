@@ -153,3 +153,38 @@ def test_quantiser_is_balanced():
     bits = embeddings.Quantiser(x).codes(x).view(np.uint64)
     share = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).mean(0)
     assert (np.abs(share - 0.5) < 0.2).all()
+
+
+def jaccard(a, b, n=5):
+    def shingles(t):
+        w = t.lower().split()
+        return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+    x, y = shingles(a), shingles(b)
+    return len(x & y) / len(x | y)
+
+
+@pytest.mark.parametrize("most", [5, 2000])
+def test_similar_documents(spark, odd, empty, most):
+    r = random.Random(9)
+    vocabulary = [f"w{k}" for k in range(900)]
+    rows, base = [], [r.choices(vocabulary, k=200) for _ in range(12)]
+    for k in range(90):
+        w = list(base[k % 12])
+        for _ in range(k % 5 * 2):
+            w[r.randrange(len(w))] = r.choice(vocabulary)
+        rows.append((k, " ".join(w)))
+    rows += [(100 + k, " ".join(r.choices(vocabulary, k=150))) for k in range(20)]
+    out = {x["doc_id"]: x for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
+    near = np.array([[jaccard(a, b) for _, b in rows] for _, a in rows])
+    sure = union_min(len(rows), *np.nonzero(near >= 0.9))
+    ids = [k for k, _ in rows]
+    for k, root in enumerate(sure):
+        assert out[ids[k]]["component_id"] == out[ids[root]]["component_id"]
+    loose = union_min(len(rows), *np.nonzero(near >= 0.65))
+    for k in range(len(rows)):
+        assert loose[ids.index(out[ids[k]]["component_id"])] == loose[k]
+    assert all(x["kept"] == (x["component_id"] == x["doc_id"]) for x in out.values())
+    got = simhash.similar_documents(odd).collect()
+    assert len(got) == 12 and simhash.similar_documents(empty).count() == 0
+    assert {x["component_id"] for x in got if x["doc_id"] in (1, 2, 3)} == {1}
