@@ -206,7 +206,6 @@ def test_pipeline_stages_keep_columns_and_take_effect(spark, corpus, tmp_path):
     import corpus_pipeline
 
     docs, labels = corpus
-    from conftest import DOCS  # noqa: F401
 
     plain = docs.select("doc_id", "text", "lang", "source", "n_chars")
     more = spark.createDataFrame([(900, "12345 678 !!", "en", "s1", 12), (901, plain.first()["text"], "en", "s1", 5), (902, None, None, None, None)], plain.schema)
