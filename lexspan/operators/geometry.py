@@ -140,3 +140,57 @@ def admitted(files: DataFrame, most_bytes: int = 100 << 20, most_pages: int = 50
         reason = reason.when(F.col("n_pages") > most_pages, "too many pages")
     marked = files.withColumn("reason", reason)
     return marked.filter("reason is null").drop("reason"), marked.filter("reason is not null")
+
+
+def turned_majority(glyphs: DataFrame, area: list[str]) -> DataFrame:
+    """(area, turned): whether most glyphs of an area are turned."""
+    return glyphs.groupBy(*area).agg((F.avg((F.col("direction") != "upright").cast("double")) > 0.5).alias("turned"))
+
+
+def strokes_across(strokes: DataFrame, page: list[str], gutter: Column, height: Column, least: int = 2) -> DataFrame:
+    """Pages where two or more grid strokes cross the gutter, outside of a tenth of the height at either end."""
+    inside_ = (F.col("x0") < gutter) & (F.col("x1") > gutter) & (F.col("top") > 0.1 * height) & (F.col("bottom") < 0.9 * height)
+    return strokes.groupBy(*page).agg(F.count_if(inside_).alias("n")).filter(F.col("n") >= least).select(*page)
+
+
+def tables_across(boxes: DataFrame, page: list[str], gutter: Column) -> DataFrame:
+    """Pages with a table box over the gutter."""
+    return boxes.filter((F.col("x0") < gutter) & (F.col("x1") > gutter)).select(*page).distinct()
+
+
+def columns_of_boxes(boxes: DataFrame, page: list[str], width: Column, least: int = 8) -> DataFrame:
+    """Pages whose boxes (eight or more) leave the middle free: under 5 % cross it, a quarter or more on either side."""
+    b = boxes.withColumn("__m", width / 2)
+    n = b.groupBy(*page).agg(F.count("*").alias("n"), F.count_if((F.col("x0") < F.col("__m")) & (F.col("x1") > F.col("__m"))).alias("c"), F.count_if(F.col("x1") <= F.col("__m")).alias("l"), F.count_if(F.col("x0") >= F.col("__m")).alias("r"))
+    return n.filter((F.col("n") >= least) & (F.col("c") < 0.05 * F.col("n")) & (F.col("l") >= 0.25 * F.col("n")) & (F.col("r") >= 0.25 * F.col("n"))).select(*page)
+
+
+def gap_runs_on(words: DataFrame, line: list[str], gutter: Column) -> DataFrame:
+    """(line, runs_on): a line goes on over the gutter if the gap there is at most 1.2 times its largest other gap."""
+    w = Window.partitionBy(*line).orderBy("x0")
+    g = words.withColumn("__p", F.lag("x1").over(w)).filter("__p is not null").withColumn("__g", F.col("x0") - F.col("__p")).withColumn("__at", (F.col("__p") <= gutter) & (F.col("x0") >= gutter))
+    return g.groupBy(*line).agg((F.max(F.when(F.col("__at"), F.col("__g"))) <= 1.2 * F.coalesce(F.max(F.when(~F.col("__at"), F.col("__g"))), F.lit(0.0))).alias("runs_on"))
+
+
+def span_cells(cells_: DataFrame, table: list[str]) -> DataFrame:
+    """One cell per span: the places that a merged cell covers, after its first, go."""
+    return cells_.filter((F.col("row_no") == F.col("span_row")) & (F.col("column_no") == F.col("span_column")))
+
+
+def page_text(parts: DataFrame, page: list[str], mark: str = "\x01") -> DataFrame:
+    """(page, text): text parts of a page in order of band, column and height, a mark between columns of a band."""
+    order = Window.partitionBy(*page).orderBy("band", "column", "top")
+    new = (F.lag("band").over(order) == F.col("band")) & (F.lag("column").over(order) != F.col("column"))
+    marked = parts.withColumn("__t", F.when(new, F.concat(F.lit(f"{mark}\n"), F.col("text"))).otherwise(F.col("text"))).withColumn("__n", F.row_number().over(order))
+    return marked.groupBy(*page).agg(F.array_sort(F.collect_list(F.struct("__n", "__t"))).alias("x")).select(*page, F.array_join(F.transform("x", lambda r: r["__t"]), "\n").alias("text"))
+
+
+def upside_down_last(glyphs: DataFrame) -> DataFrame:
+    """Reading order keys: upright glyphs by top and x, then those turned half round from the bottom right."""
+    half = F.col("direction") == "half"
+    return glyphs.withColumn("order_key", F.struct(half, F.when(half, -F.col("bottom")).otherwise(F.col("top")), F.when(half, -F.col("x1")).otherwise(F.col("x0"))))
+
+
+def clean_item(text: Column) -> Column:
+    """An item's text without soft hyphens at line ends and blanks at its ends; null if nothing is left."""
+    return F.nullif(F.trim(F.regexp_replace(F.regexp_replace(text, "­\\s*\n\\s*", ""), "­", "")), F.lit(""))
