@@ -74,11 +74,14 @@ def trim_memory() -> None:
 
 
 def worker_cache(name: str) -> dict:
-    """A dict of that name which lives as long as the Python worker, so that tasks that follow one another can share it."""
+    """A dict of that name which tasks of a Python worker that follow one another share; another operator's is emptied first."""
     import sys
     import types
 
     held = sys.modules.setdefault("_lexspan_worker", types.ModuleType("_lexspan_worker"))
+    for key, other in held.__dict__.items():
+        if isinstance(other, dict) and key != name:
+            other.clear()
     return held.__dict__.setdefault(name, {})
 
 

@@ -33,7 +33,7 @@ class Encoder:
 
     PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
 
-    def __init__(self, path: str, most: int = 500_000, chunk: int = 2 << 20):
+    def __init__(self, path: str, most: int = 400_000, chunk: int = 1 << 20):
         import regex
         from tokenizers import Tokenizer
 
@@ -63,7 +63,7 @@ class Encoder:
         size = 0
 
         def flush() -> Iterator[bytes]:
-            if len(self.parts) > self.most:
+            if len(self.parts) > self.most // 4:
                 self.parts.clear()
             if len(self.words) > self.most:
                 self.words.clear()
