@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import difflib
+from bisect import bisect_left
+from collections.abc import Sequence
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -98,6 +99,46 @@ def top_words(differences: DataFrame, key: list[str], what: str, most: int = 25)
     return differences.filter(F.col(what) > 0).withColumn("rank", rank).filter(F.col("rank") <= most).select(*key, "rank", "word", what)
 
 
+def matched(a: Sequence, b: Sequence, autojunk: bool = True) -> int:
+    """Elements in difflib's matching blocks of a and b: the sum of their sizes, without building them.
+
+    The same blocks as ``SequenceMatcher(None, a, b, autojunk)``. Only places of a that can start a match are looked at, and of b only
+    those in range, which spares most steps where the frequent elements are junk. Memory follows the lengths, not their product.
+    """
+    if a == b:
+        return len(a)
+    places: dict = {}
+    for j, x in enumerate(b):
+        places.setdefault(x, []).append(j)
+    if autojunk and len(b) >= 200:
+        places = {x: js for x, js in places.items() if len(js) <= len(b) // 100 + 1}
+    at = [i for i, x in enumerate(a) if x in places]
+    total, todo = 0, [(0, len(a), 0, len(b))]
+    while todo:
+        alo, ahi, blo, bhi = todo.pop()
+        i, j, size, before, run = alo, blo, 0, -2, {}
+        for k in range(bisect_left(at, alo), bisect_left(at, ahi)):
+            now, js, new = at[k], places[a[at[k]]], {}
+            if now != before + 1:
+                run = {}
+            for y in js if blo == 0 and bhi == len(b) else js[bisect_left(js, blo) : bisect_left(js, bhi)]:
+                n = new[y] = run.get(y - 1, 0) + 1
+                if n > size:
+                    i, j, size = now - n + 1, y - n + 1, n
+            before, run = now, new
+        while i > alo and j > blo and a[i - 1] == b[j - 1]:
+            i, j, size = i - 1, j - 1, size + 1
+        while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:
+            size += 1
+        if size:
+            total += size
+            if alo < i and blo < j:
+                todo.append((alo, i, blo, j))
+            if i + size < ahi and j + size < bhi:
+                todo.append((i + size, ahi, j + size, bhi))
+    return total
+
+
 def order_ratio(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     """(key, order_ratio, similarity): matched words in order over the reference's words (without junk heuristics), and difflib's ratio of the whole texts."""
     schema = pairs.select(*key).schema.add("order_ratio", "double").add("similarity", "double")
@@ -108,10 +149,10 @@ def order_ratio(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
         for frame in frames:
             order, alike = [], []
             for x, y in zip(frame["__a"], frame["__b"]):
-                u, v = re.findall(r"\w+", x or ""), re.findall(r"\w+", y or "")
-                match = difflib.SequenceMatcher(None, u, v, autojunk=False)
-                order.append(sum(m.size for m in match.get_matching_blocks()) / len(u) if u and v else 1.0)
-                alike.append(difflib.SequenceMatcher(None, x or "", y or "").ratio())
+                x, y = x or "", y or ""
+                u, v = re.findall(r"\w+", x), re.findall(r"\w+", y)
+                order.append(matched(u, v, autojunk=False) / len(u) if u and v else 1.0)
+                alike.append(2.0 * matched(x, y) / (len(x) + len(y)) if x or y else 1.0)
             yield pd.concat([frame[key].reset_index(drop=True), pd.DataFrame({"order_ratio": order, "similarity": alike})], axis=1)
 
     return pairs.select(*key, F.col(a).alias("__a"), F.col(b).alias("__b")).mapInPandas(run, schema)
