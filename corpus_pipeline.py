@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -34,10 +35,18 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group that shares 0.8 or more of its five-word shingles: the one with the smallest doc_id."""
+    """One row of each group that shares 0.8 or more of its five-word shingles: the one with the smallest doc_id, and of equal or only null ids one of them.
+
+    A row is told by its file and its place there, so doc_ids may be null or repeated.
+    """
     session(spark)
-    kept = simhash.similar_documents(docs, words=5, similarity=0.8).filter("kept").select("doc_id")
-    return docs.join(materialize(kept), "doc_id", "left_semi").select(*docs.columns)
+    try:
+        docs.select("_metadata.row_index")
+    except AnalysisException:
+        docs = materialize(docs)
+    rows = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
+    kept = simhash.similar_documents(rows, words=5, similarity=0.8, row="__row").filter("kept").select("__row")
+    return rows.join(materialize(kept), "__row", "left_semi").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

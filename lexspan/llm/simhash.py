@@ -231,14 +231,16 @@ def sketch(text: bytes | None, words: int = 5, seed: int = 42) -> tuple[int, lis
     return fingerprint(text, words, seed), keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, budget: int = 20, most: int = 2000) -> DataFrame:
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, budget: int = 20, most: int = 2000, row: str | None = None) -> DataFrame:
     """(doc_id, component_id, kept) by a similarity of word shingles, where a few differing bits are too strict.
 
     Texts that share ``similarity`` of their shingles differ in up to about ``budget`` of the 64 bits, too many to deal fingerprints by equal blocks. So
     documents meet in buckets by bands of two min-hashes (at 0.8 one of six bands agrees in 99.8 % of pairs); in a bucket the fingerprints' trie is joined with itself within ``budget``,
     and pairs that the traversal finds link if ``similarity`` of their sketches' 128 min-hashes agree (standard error 0.035, so 0.02 is granted). Equal sketches are one
     node; buckets over ``most`` nodes are shared out as pairs of salts; a task emits a spanning forest. Null, empty and blank texts are one group.
-    Rows with a null doc_id link but name nothing. ``kept`` marks the smallest doc_id of each component.
+    The graph's nodes are rows, named by the long column ``row``, which must be unique and the same at every reading and is returned too; without it rows
+    are numbered here. ``component_id`` is the smallest doc_id of a component (null if it has none); ``kept`` marks exactly one row of each, the first by
+    doc_id (null ids last) and then by row.
     """
 
     def start():
@@ -248,8 +250,11 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
         return work
 
-    prints = materialize(map_text(docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text")), start, "fp long, bands array<long>, sk binary", ["doc_id"]))
-    nodes = materialize(prints.filter("doc_id is not null").groupBy("fp", "sk").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
+    prints = map_text(read, start, "fp long, bands array<long>, sk binary", ["doc_id", "row"] if row else ["doc_id"])
+    prints = materialize(prints if row else prints.withColumn("row", F.monotonically_increasing_id()))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = materialize(prints.groupBy("fp", "sk").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.first("bands").alias("bands")))
     dealt = nodes.select("rep", "fp", F.explode(F.array_distinct("bands")).alias("bucket"))
     sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
     shares = F.ceil(F.col("n") / most).cast("int")
@@ -303,6 +308,8 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
 
     links_ = tasks.repartition("task").sortWithinPartitions("task", F.expr("fp ^ (-9223372036854775807 - 1)")).mapInArrow(join, "a long, b long")
     roots = materialize(components(links_).withColumnRenamed("node", "rep"))
-    of = materialize(nodes.join(roots, "rep", "left").select("fp", "sk", F.coalesce("root", "rep").alias("component_id")))
-    out = prints.select("doc_id", "fp", "sk").join(of, ["fp", "sk"], "left")
-    return out.select("doc_id", "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
+    of = materialize(nodes.join(roots, "rep", "left").select("fp", "sk", "first", F.coalesce("root", "rep").alias("root")))
+    least = materialize(of.groupBy("root").agg(F.min("first").alias("least")))
+    final = materialize(of.join(least, "root").select("fp", "sk", "least"))
+    out = prints.select("doc_id", "row", "fp", "sk").join(final, ["fp", "sk"])
+    return out.select("doc_id", *([F.col("row").alias(row)] if row else []), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))
