@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import random
 import zlib
 from bisect import bisect_left, insort
 from collections.abc import Iterator
@@ -28,7 +29,8 @@ class Encoder:
 
     The tokenizer lower-cases, drops white space and splits on it, so a text is the sequence of its words' ids, and a word the
     sequence of the ids of its parts (a run of letters, a digit, a run of other characters). The model tokenizes each part once;
-    words that normalisation could change go through the whole tokenizer. Both caches are bounded and live as long as the worker.
+    words that normalisation could change, and words that may hold a special token, go through the whole tokenizer as they are
+    written (special tokens are found before letters are lower-cased). Both caches are bounded and live as long as the worker.
     """
 
     PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
@@ -42,7 +44,8 @@ class Encoder:
         self.split = regex.compile(self.PART).findall
         self.letters = byte_letters()
         cache = worker_cache(f"encoder {path}")
-        self.words, self.parts = cache.setdefault("words", {}), cache.setdefault("parts", {})
+        self.words, self.parts = cache.setdefault("words", Words()), cache.setdefault("parts", {})
+        self.words.encode = self.word
 
     def part(self, text: str) -> bytes:
         """Ids of a part; only of lower-case Latin text, which stays as it is when normalised."""
@@ -58,30 +61,28 @@ class Encoder:
         return b"".join(map(self.part, self.split(text)))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
-        """The ids of every text. Words of several texts are looked up together, so memory is bounded by the longest text."""
-        held: list[list[bytes]] = []
-        size = 0
-
-        def flush() -> Iterator[bytes]:
-            if len(self.parts) > self.most // 4:
-                self.parts.clear()
-            if len(self.words) > self.most:
-                self.words.clear()
-            known, word = self.words, self.word
-            for found in held:
-                for w in found:
-                    if w not in known:
-                        known[w] = word(w)
-                yield b"".join(map(known.__getitem__, found))
-            held.clear()
-
+        """The ids of every text; beside the caches, memory is bounded by the longest text."""
+        met = 0
         for text in texts:
-            held.append(text.lower().split())
-            size += len(text)
-            if size > self.chunk:
-                yield from flush()
-                size = 0
-        yield from flush()
+            if met > self.chunk:
+                met = 0
+                if len(self.parts) > self.most // 4:
+                    self.parts.clear()
+                if len(self.words) > self.most:
+                    self.words.clear()
+            met += len(text)
+            found = text.lower().split() if b"<|" not in text else [w if b"<|" in w else w.lower() for w in text.split()]
+            yield b"".join(map(self.words.__getitem__, found))
+
+
+class Words(dict):
+    """Ids by word; a word that isn't there is encoded."""
+
+    encode = None
+
+    def __missing__(self, word: bytes) -> bytes:
+        self[word] = ids = self.encode(word)
+        return ids
 
 
 def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY, end: int = 1, text: str = "text") -> DataFrame:
@@ -107,11 +108,11 @@ def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY,
     return made.select(*[c for c in carry if c != "p"], F.explode("p").alias("p")).select(*[c for c in carry if c not in ("p", "piece", "start", "length", "ids_crc32")], "p.*")
 
 
-def best_fit(sizes: np.ndarray, items: list[int], bins: list[list[int]], free: list[int], capacity: int) -> None:
-    """Put items (largest first) into the fullest bin that takes them, else into a new one; changes bins and free."""
+def best_fit(sizes: list[int], items: list[int], bins: list[list[int]], free: list[int], capacity: int) -> None:
+    """Put items, in their order, into the fullest bin that takes them, else into a new one; changes bins and free."""
     order = sorted((room, b) for b, room in enumerate(free) if room)
-    for item in sorted(items, key=lambda i: (-sizes[i], i)):
-        size = int(sizes[item])
+    for item in items:
+        size = sizes[item]
         at = bisect_left(order, (size, -1))
         if at < len(order):
             room, b = order.pop(at)
@@ -131,79 +132,127 @@ def fitness(free: list[int], capacity: int) -> float:
     return float((fill * fill).mean()) if len(fill) else 1.0
 
 
+def lower_bound(sizes: np.ndarray, capacity: int) -> int:
+    """No packing has fewer bins (Martello and Toth's L2): items over half a bin don't share one, and what they leave only takes so much of the rest."""
+    sizes = np.sort(np.asarray(sizes, np.int64))
+    upto = np.concatenate([[0], np.cumsum(sizes)])
+    over = np.searchsorted(sizes, capacity // 2, "right")
+    least = np.concatenate([[0], np.unique(sizes[:over])])
+    alone = np.searchsorted(sizes, capacity - least, "right")  # from here on items leave no room for a small one
+    alone = np.maximum(alone, over)
+    small = upto[over] - upto[np.searchsorted(sizes, least, "left")]
+    room = (alone - over) * capacity - (upto[alone] - upto[over])
+    return int((len(sizes) - over + np.maximum(0, -(-(small - room) // capacity))).max(initial=0))
+
+
 class Island:
-    """A population of packings of the same items; a packing is a list of bins (lists of item numbers)."""
+    """A population of packings of the same items; a packing is a list of bins (lists of item numbers) and the room left in each.
+
+    It begins with packings of random orders, each item in the fullest bin that takes it. A child takes whole bins that the father filled
+    best and keeps the mother's bins that share no item with them; what that displaces is first exchanged for smaller items of bins that
+    it fills better, and the rest is placed by best fit, largest first.
+    """
 
     def __init__(self, sizes: np.ndarray, capacity: int, seed: int, population: int, start: list[list[list[int]]] = ()):
-        self.sizes, self.capacity, self.r = sizes, capacity, np.random.default_rng(seed)
-        self.people = [self.scored(bins) for bins in start]
-        n = len(sizes)
-        while len(self.people) < population:
-            bins, free = [], []
-            if not self.people:
-                best_fit(sizes, list(range(n)), bins, free, capacity)  # best-fit decreasing
-            else:  # some random items open a bin each, so that packings differ
-                picked = self.r.permutation(n)
-                some = min(n, max(1, self.least() // 4))
-                bins += [[i] for i in picked[:some].tolist()]
-                free += [capacity - int(sizes[i]) for i in picked[:some]]
-                best_fit(sizes, picked[some:].tolist(), bins, free, capacity)
-            self.people.append((fitness(free, capacity), bins))
-        self.people.sort(key=lambda p: -p[0])
+        self.sizes, self.capacity, self.r = [int(x) for x in sizes], capacity, random.Random(seed)
+        self.least = lower_bound(sizes, capacity)
+        self.people = [self.scored(bins, self.free(bins)) for bins in start]
+        while len(self.people) < population and not self.done():
+            order, bins, free = list(range(len(self.sizes))), [], []
+            self.r.shuffle(order)
+            best_fit(self.sizes, order, bins, free, capacity)
+            self.people.append(self.scored(bins, free))
+            self.people.sort(key=lambda p: p[:2])
 
     def free(self, bins: list[list[int]]) -> list[int]:
-        return [self.capacity - int(self.sizes[b].sum()) for b in bins]
-
-    def scored(self, bins: list[list[int]]) -> tuple[float, list[list[int]]]:
-        return fitness(self.free(bins), self.capacity), bins
-
-    def cross(self, mother: list[list[int]], father: list[list[int]]) -> tuple[float, list[list[int]]]:
-        """Inject some of the father's best-filled bins whole; the mother's bins that share an item go, and what they lose is placed by best fit."""
-        free = np.array(self.free(father))
-        order = np.argsort(free + self.r.random(len(free)) * self.capacity * 0.02, kind="stable")
-        injected = [list(father[b]) for b in order[: max(1, len(father) // 3)]]
-        inside = {i for b in injected for i in b}
-        bins, loose = injected, []
-        for b in mother:
+        return [self.capacity - sum(self.sizes[i] for i in b) for b in bins]
+
+    def scored(self, bins: list[list[int]], free: list[int]) -> tuple[int, float, list[list[int]], list[int]]:
+        return len(bins), -fitness(free, self.capacity), bins, free
+
+    def done(self) -> bool:
+        return bool(self.people) and self.people[0][0] <= self.least
+
+    def cross(self, mother: tuple, father: tuple, share: float = 0.1) -> tuple:
+        """Inject a share of the father's bins, the best filled ones with a little chance; drop the mother's bins that share an item."""
+        _, _, theirs, room = father
+        noise = self.capacity * 0.02
+        order = sorted(range(len(theirs)), key=lambda b: room[b] + self.r.random() * noise)
+        chosen = order[: max(1, int(len(theirs) * share * 2 * self.r.random()))]
+        inside = {i for b in chosen for i in theirs[b]}
+        bins, free, loose = [theirs[b] for b in chosen], [room[b] for b in chosen], []
+        for b, f in zip(mother[2], mother[3]):
             if inside.isdisjoint(b):
-                bins.append(list(b))
+                bins.append(b)
+                free.append(f)
             else:
                 loose += [i for i in b if i not in inside]
-        return self.placed(bins, loose)
-
-    def mutate(self, bins: list[list[int]]) -> tuple[float, list[list[int]]]:
-        """Empty the least-filled bins and a few others, then place their items by best fit."""
-        free = np.array(self.free(bins))
-        gone = set(np.argsort(-free, kind="stable")[: max(1, len(bins) // 20)].tolist()) | set(self.r.choice(len(bins), max(1, len(bins) // 20), replace=False).tolist())
-        return self.placed([list(b) for k, b in enumerate(bins) if k not in gone], [i for k in gone for i in bins[k]])
-
-    def placed(self, bins: list[list[int]], loose: list[int]) -> tuple[float, list[list[int]]]:
-        free = self.free(bins)
-        best_fit(self.sizes, loose, bins, free, self.capacity)
-        return fitness(free, self.capacity), bins
-
-    def least(self) -> int:
-        """No packing has fewer bins."""
-        return -(-int(self.sizes.sum()) // self.capacity)
-
-    def evolve(self, generations: int) -> None:
-        size = len(self.people)
+        return self.placed(bins, free, loose)
+
+    def mutate(self, one: tuple, share: float = 0.05) -> tuple:
+        """Empty the least-filled bins and a few others."""
+        _, _, bins, free = one
+        n = max(1, int(len(bins) * share))
+        gone = set(sorted(range(len(bins)), key=lambda b: -free[b])[:n]) | set(self.r.sample(range(len(bins)), n))
+        keep = [b for b in range(len(bins)) if b not in gone]
+        return self.placed([bins[b] for b in keep], [free[b] for b in keep], [i for b in gone for i in bins[b]])
+
+    def placed(self, bins: list[list[int]], free: list[int], loose: list[int]) -> tuple:
+        """Bins are shared between packings, so they are copied before they change."""
+        sizes, room = self.sizes, sorted((self.sizes[i], i) for i in loose)
+        order = [b for b, f in enumerate(free) if f]
+        self.r.shuffle(order)
+        for b in order:  # an item, or two, give way to a displaced one that fills the bin better
+            f, held = free[b], bins[b]
+            best = None
+            n = len(held)
+            for x in range(n):
+                s = sizes[held[x]]
+                at = bisect_left(room, (s + f + 1, -1)) - 1
+                if at >= 0 and room[at][0] > s and (best is None or room[at][0] - s > best[0]):
+                    best = (room[at][0] - s, at, (x,))
+                for y in range(x + 1, min(n, x + 6)):
+                    t = s + sizes[held[y]]
+                    at = bisect_left(room, (t + f + 1, -1)) - 1
+                    if at >= 0 and room[at][0] > t and (best is None or room[at][0] - t > best[0]):
+                        best = (room[at][0] - t, at, (x, y))
+                if best is not None and best[0] == f:
+                    break
+            if best is not None:
+                gain, at, out = best
+                item = room.pop(at)[1]
+                bins[b] = [i for x, i in enumerate(held) if x not in out] + [item]
+                free[b] = f - gain
+                for x in out:
+                    insort(room, (sizes[held[x]], held[x]))
+        bins = [list(b) for b in bins]
+        best_fit(sizes, [i for _, i in reversed(room)], bins, free, self.capacity)
+        return self.scored(bins, free)
+
+    def evolve(self, generations: int) -> list[int]:
+        """Bins of the best packing after every generation; ends early once it meets the lower bound."""
+        history, size = [], len(self.people)
         for _ in range(generations):
-            if len(self.people[0][1]) <= self.least():
-                return
-            a, b = self.r.choice(size, 2, replace=False) if size > 1 else (0, 0)
-            child = self.cross(self.people[min(a, b)][1], self.people[max(a, b)][1])
-            self.people += [child, self.mutate(self.people[0][1] if self.r.random() < 0.5 else child[1])]
-            self.people.sort(key=lambda p: (len(p[1]), -p[0]))
-            del self.people[size:]
-
-
-def pack(pieces: DataFrame, key: list[str], block: int = 4096, islands: int = 2, rounds: int = 2, generations: int = 3, population: int = 3, capacity: int = CAPACITY) -> DataFrame:
+            if self.done():
+                break
+            mother, father = (min(self.r.sample(range(size), min(2, size))) for _ in range(2))
+            child = self.cross(self.people[mother], self.people[father])
+            made = [child, self.mutate(self.people[0] if self.r.random() < 0.5 else child)]
+            self.people = sorted(self.people + made, key=lambda p: p[:2])
+            self.people = [p for k, p in enumerate(self.people) if k == 0 or p[:2] != self.people[k - 1][:2]][:size]
+            size = len(self.people)
+            history.append(self.people[0][0])
+        return history
+
+
+def pack(pieces: DataFrame, key: list[str], block: int = 4096, islands: int = 2, rounds: int = 3, generations: int = 12, population: int = 6, capacity: int = CAPACITY) -> DataFrame:
     """Append (sequence_id, offset) to pieces with a ``length`` of at most ``capacity``.
 
     Pieces of full length are sequences by themselves. The others are dealt by hash of ``key`` into blocks of about
     ``block`` pieces, so no task gets more whatever the input, and a block wastes part of one sequence at most. A block is evolved on
-    several islands; between rounds each island's best packing moves to the next island of its block, and in the end the best island's packing is taken.
+    several islands, ``generations`` of two children each in a round; between rounds each island's best packing moves to the next island of its block, and in
+    the end the best island's packing is taken. An island stops when its best packing meets the lower bound.
+    Pieces of equal length are ordered by the hash of ``key``.
     Rows are sorted by length and hash of ``key`` (which must be unique) within a block first, so a repeated task packs alike. An empty table gives an empty result.
     """
     short = pieces.filter(F.col("length") < capacity)
@@ -214,6 +263,7 @@ def pack(pieces: DataFrame, key: list[str], block: int = 4096, islands: int = 2,
     # an island's rows are the sizes of its block: a position in the block's order stands for the piece
     sizes = short.groupBy("__b").agg(F.sort_array(F.collect_list(F.struct(F.lit(-1) * F.col("length"), hashed))).alias("rows"))
     world = sizes.select("__b", F.transform("rows", lambda x: -x["col1"]).alias("sizes"))
+    tasks = min(blocks * islands, 64 * pieces.sparkSession.sparkContext.defaultParallelism)
     world = world.withColumn("island", F.explode(F.sequence(F.lit(0), F.lit(islands - 1)))).withColumn("elites", F.expr("cast(array() as array<array<int>>)"))
     for turn in range(rounds):
 
@@ -225,11 +275,11 @@ def pack(pieces: DataFrame, key: list[str], block: int = 4096, islands: int = 2,
                     start = [decode(np.array(e)) for e in row.elites]
                     island = Island(lengths, capacity, 1000 * turn + row.island, population, start)
                     island.evolve(generations)
-                    best = island.people[0][1]
+                    best = island.people[0][2]
                     out.append((row.b, row.island, row.sizes, len(best), code(best, len(lengths))))
                 yield pd.DataFrame(out, columns=["__b", "island", "sizes", "n", "best"])
 
-        lived = world.select(F.col("__b").alias("b"), "island", "sizes", "elites").repartition("b", "island").mapInPandas(live, "__b long, island int, sizes array<long>, n int, best array<int>")
+        lived = world.select(F.col("__b").alias("b"), "island", "sizes", "elites").repartition(tasks, "b", "island").mapInPandas(live, "__b long, island int, sizes array<long>, n int, best array<int>")
         lived = materialize(lived)
         if turn + 1 < rounds:
             guests = lived.select("__b", F.pmod(F.col("island") + 1, F.lit(islands)).alias("island"), F.col("best").alias("guest"))
@@ -273,8 +323,8 @@ def decode(numbers: np.ndarray) -> list[list[int]]:
 def best_fit_packing(docs: DataFrame, path: str, carry: list[str] = ("doc_id",), capacity: int = CAPACITY, end: int = 1, text: str = "text") -> DataFrame:
     """Tokenize, cut and pack whole documents: one row per piece with its sequence and place.
 
-    ``ids_crc32`` is the checksum of the piece's ids as little-endian unsigned 32-bit integers. Rows with null or
-    repeated doc_ids are packed like others. Input columns named like the result's own are replaced.
+    ``ids_crc32`` is the checksum of the piece's ids as little-endian unsigned 32-bit integers. Null and empty texts are one piece of the end
+    token; very long ones are cut into full pieces, sequences by themselves, and a rest. Rows with null or repeated doc_ids are packed like others. Input columns named like the result's own are replaced.
     """
     pieces = materialize(cut(docs, path, list(carry), capacity, end, text).withColumn("__row", F.monotonically_increasing_id()))
     return pack(pieces, ["__row"], capacity=capacity).drop("__row")
