@@ -13,12 +13,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetch, least_count, map_text, materialize, utf8, worker_cache
+from .common import fetch, map_text, materialize, utf8, worker_cache
 
 LETTER = re.compile(rb"[A-Za-z]")
 SCHEMA = "lang_pred string, score double"
-#: Longest n-gram and size bounds of the model: words and n-grams kept, by count over the whole training set.
-LONGEST, MOST_WORDS, MOST_GRAMS = 5, 60_000, 60_000
+#: Longest n-gram; the share of its words (of its n-grams) that a unit must make up in a language to be known there. Shares add up
+#: to one, so a language knows at most 1 / share units, at any size of the corpus and however small the language is.
+LONGEST, LEAST_WORD, LEAST_GRAM = 5, 1e-5, 1e-5
 
 
 def has_letter(text: bytes | None) -> bool:
@@ -33,6 +34,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", flush:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, Counter] = {}
+        unbroken = 0
 
         def emit() -> Iterator[pa.RecordBatch]:
             for name, words in seen.items():
@@ -42,9 +44,12 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", flush:
 
         for batch in batches:
             for name, body in zip(batch.column(0).to_pylist(), utf8(batch.column(1))):
-                seen.setdefault(name, Counter()).update(body.lower().split())
-            if sum(map(len, seen.values())) > flush:
+                found = body.lower().split()
+                seen.setdefault(name, Counter()).update(found)
+                unbroken += len(body) if len(body) > 64 * len(found) else 0
+            if sum(map(len, seen.values())) > flush or unbroken > 1 << 25:  # few words may be long ones
                 yield from emit()
+                unbroken = 0
         yield from emit()
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
@@ -67,7 +72,7 @@ class Model:
 
     def units(self, word: str) -> list[int]:
         """The n-grams that stand for an unknown word: at each place the longest known one that starts there, else shorter ones."""
-        marked, found, get = f"<{word[:60]}>", [], self.grams.get
+        marked, found, get = f"<{word}>", [], self.grams.get
         for at in range(len(marked)):
             for end in range(min(at + self.longest, len(marked)), at, -1):
                 if (k := get(marked[at:end])) is not None:
@@ -89,16 +94,18 @@ class Model:
         held = worker_cache("langid")
         if held.get("name") != self.name:
             held.clear()
-            held.update(name=self.name, index=dict(self.words), rows=self.word_rows)
+            held.update(name=self.name, index=dict(self.words), rows=self.word_rows, size=0)
         width = len(self.langs)
 
         def numbers(words: list[bytes]) -> list[int]:
             index = held["index"]
             new = [w for w in set(words) if w not in index]
             if new:
-                if len(index) + len(new) > len(self.words) + 400_000:
+                held["size"] += sum(map(len, new))
+                if len(index) + len(new) > len(self.words) + 400_000 or held["size"] > 1 << 25:
                     held.update(index=(index := dict(self.words)), rows=self.word_rows)
                     new = [w for w in set(words) if w not in index]
+                    held["size"] = sum(map(len, new))
                 index.update(zip(new, range(len(held["rows"]), len(held["rows"]) + len(new))))
                 held["rows"] = np.concatenate([held["rows"], self.unseen([w.decode("utf-8", "ignore") for w in new])])
             return [*map(index.__getitem__, words)]
@@ -140,7 +147,7 @@ class Model:
 
 
 def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFrame:
-    """(lang, unit, n): all character n-grams up to ``longest`` of marked words (60 characters of each), weighted by the words' counts."""
+    """(lang, unit, n): all character n-grams up to ``longest`` of whole marked words, weighted by the words' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: dict[str, dict[str, int]] = {}
@@ -152,12 +159,16 @@ def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFra
 
         for batch in batches:
             for name, word, n in zip(*(c.to_pylist() for c in batch.columns)):
-                marked, units = f"<{word[:60]}>", seen.setdefault(name, {})
+                marked, units = f"<{word}>", seen.setdefault(name, {})
                 get, size = units.get, len(marked)
                 for at in range(size):
                     for end in range(at + 1, min(at + longest, size) + 1):
                         unit = marked[at:end]
                         units[unit] = get(unit, 0) + n
+                    if at % 65_536 == 65_535 and len(units) > flush:  # a word may be a whole text without spaces
+                        yield from emit()
+                        units = seen.setdefault(name, {})
+                        get = units.get
             if sum(map(len, seen.values())) > flush:
                 yield from emit()
         yield from emit()
@@ -165,29 +176,33 @@ def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFra
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
 
-def fit(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, most_words: int = MOST_WORDS, most_grams: int = MOST_GRAMS, add: float = 0.5) -> Model:
-    """Count words and n-grams by language over all of ``docs`` and keep the most frequent ones as a model.
+def fit(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int = LONGEST, least_word: float = LEAST_WORD, least_gram: float = LEAST_GRAM, add: float = 0.5) -> Model:
+    """Count words and n-grams by language over all of ``docs`` and keep as a model what is known to a language.
 
-    ``most_words`` and ``most_grams`` bound the model that is broadcast (a few MB); words outside of it are
-    scored by their n-grams. Counts cover every row with a text and a language. Without such rows the model knows
-    no language and predicts ``und``. Units with equal counts stay or go together at the bounds.
+    A word is known if it makes up ``least_word`` of a language's words in one language at least, an n-gram likewise with ``least_gram`` of its
+    n-grams; a unit that is known anywhere has its counts in all languages. So the model that is broadcast has at most 1 / share units for each
+    language, a frequent language doesn't crowd out a rare one, and the rule is the same at every size. Other words are scored by their n-grams.
+    Counts cover every row with a text and a language, and whole words of any length. Without such rows the model knows
+    no language and predicts ``und``. Rows are one number per language: tags are expected to be language codes, not free text.
     """
     counts = materialize(word_counts(docs, text, lang))
     sizes = {r["lang"]: r["n"] for r in counts.groupBy("lang").agg(F.sum("n").alias("n")).orderBy("lang").collect()}
     langs = sorted(sizes)
     if not langs:
         return Model([], {}, {}, longest)
-    grams = gram_counts(counts, longest)
-
-    def best(units: DataFrame, most: int) -> dict[str, np.ndarray]:
-        wide = units.groupBy("unit").agg(*[F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(langs)], F.sum("n").alias("all"))
-        wide = materialize(wide)
-        kept = fetch(wide.filter(F.col("all") >= least_count(wide, most, "all"))).sort_values("unit")
+    grams = materialize(gram_counts(counts, longest))
+    gram_sizes = {r["lang"]: r["n"] for r in grams.groupBy("lang").agg(F.sum("n").alias("n")).collect()}
+
+    def best(units: DataFrame, totals: dict[str, int], least: float) -> dict[str, np.ndarray]:
+        need = F.create_map(*[F.lit(x) for name in langs for x in (name, float(max(totals.get(name, 0), 1)) * least)])
+        known = units.withColumn("known", F.col("n") >= F.element_at(need, F.col("lang")))
+        wide = known.groupBy("unit").agg(*[F.sum(F.when(F.col("lang") == name, F.col("n"))).alias(f"n{k}") for k, name in enumerate(langs)], F.max("known").alias("known"))
+        kept = fetch(wide.filter("known")).sort_values("unit")
+        # a unit that is not kept isn't missing: frequencies are over all of a language's units
         table = kept[[f"n{k}" for k in range(len(langs))]].fillna(0).to_numpy(float) + add
-        table = np.log10(table / table.sum(0))
-        return dict(zip(kept["unit"], table.astype(np.float64)))
+        return dict(zip(kept["unit"], np.log10(table / (np.array([totals.get(name, 0) for name in langs], float) + add * max(len(kept), 1)))))
 
-    return Model(langs, best(counts.withColumnRenamed("word", "unit"), most_words), best(grams, most_grams), longest)
+    return Model(langs, best(counts.withColumnRenamed("word", "unit"), sizes, least_word), best(grams, gram_sizes, least_gram), longest)
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:

@@ -3,6 +3,7 @@
 import zlib
 
 import numpy as np
+import pytest
 
 from lexspan.llm import langid, quality, toxicity
 from lexspan.llm.common import fold
@@ -130,3 +131,62 @@ def test_fit_on_nothing(spark, empty, odd):
 def test_labels_with_nulls_and_contradictions(spark):
     labels = spark.createDataFrame([(1, 1), (1, 1), (2, 0), (2, 1), (3, None), (None, 1), (4, 0)], "doc_id long, quality int")
     assert sorted((r["doc_id"], r["label"]) for r in quality.labelled_sample(labels, "quality", 10).collect()) == [(1, 1), (4, 0)]
+
+
+def slow_language(train, text, least_word, least_gram, add=0.5):
+    """(language, score) by the definition: one word after the other, over whole words."""
+    from collections import Counter
+
+    words, grams = {}, {}
+    for body, lang in train:
+        for w in body.lower().split():
+            words.setdefault(lang, Counter())[w] += 1
+            m = f"<{w}>"
+            grams.setdefault(lang, Counter()).update(m[a:b] for a in range(len(m)) for b in range(a + 1, min(a + 5, len(m)) + 1))
+    langs = sorted(words)
+
+    def table(counts, least):
+        total = {x: sum(counts[x].values()) for x in langs}
+        known = {u for x in langs for u, n in counts[x].items() if n >= total[x] * least}
+        return {u: np.array([np.log10((counts[x][u] + add) / (total[x] + add * len(known))) for x in langs]) for u in known}
+
+    words, grams = table(words, least_word), table(grams, least_gram)
+    odds, found = np.zeros(len(langs)), text.lower().split()
+    for w in found:
+        if w in words:
+            odds += words[w]
+            continue
+        m = f"<{w}>"
+        units = [next((m[a:b] for b in range(min(a + 5, len(m)), a, -1) if m[a:b] in grams), None) for a in range(len(m))]
+        units = [grams[u] for u in units if u]
+        odds += sum(units) / len(units) if units else 0
+    odds = odds / np.sqrt(len(found)) * np.log(10)
+    odds = np.exp(odds - odds.max())
+    return langs[int(odds.argmax())], odds.max() / odds.sum()
+
+
+@pytest.mark.parametrize("least", [(1e-5, 1e-5), (0.004, 0.002)])
+def test_predictions_match_brute_force(spark, corpus, least):
+    docs = corpus[0].filter("doc_id < 60")
+    train = [(r["text"], r["lang"]) for r in docs.collect()]
+    model = langid.fit(docs, least_word=least[0], least_gram=least[1])
+    texts = ["th er on", "schein unddie zzz", "x" * 300 + "schein", "qq", "e e e d"] + [t for t, _ in train[:10]]
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(texts)], "doc_id long, text string")
+    for r in langid.predict(rows, model, ["doc_id"]).collect():
+        lang, score = slow_language(train, texts[r["doc_id"]], *least)
+        assert r["lang_pred"] == lang and r["score"] == pytest.approx(score, rel=1e-6), texts[r["doc_id"]][:40]
+
+
+def test_a_rare_language_and_texts_without_spaces(spark):
+    """A hot language's many words don't crowd out a small one; an unbroken text is judged by all of it."""
+    hot = [(k, " ".join(f"w{k}x{j}" for j in range(200)), "aa") for k in range(200)]
+    docs = spark.createDataFrame([*hot, (500, "ñandu ñoño " * 3, "bb"), (501, "q" * 200 + "\u65e5\u672c" * 400, "cc")], "doc_id long, text string, lang string")
+    model = langid.fit(docs)
+    texts = spark.createDataFrame([(1, "ñandu ñoño"), (2, "ñoñu"), (3, "q" * 100 + "\u65e5\u672c" * 900), (4, "w3x7 w9x9")], "doc_id long, text string")
+    assert {r["doc_id"]: r["lang_pred"] for r in langid.predict(texts, model, ["doc_id"]).collect()} == {1: "bb", 2: "bb", 3: "cc", 4: "aa"}
+
+
+def test_ties_go_to_the_first_language(spark):
+    docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
+    out = langid.predict(docs, langid.fit(docs), ["doc_id"]).collect()
+    assert {(r["lang_pred"], round(r["score"], 6)) for r in out} == {("a", 0.5)}
