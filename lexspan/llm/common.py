@@ -132,7 +132,7 @@ def map_text(df: DataFrame, start: Callable[[], Callable[[list[bytes | None]], d
         work = start()
         for batch in batches:
             made = work(utf8(batch.column(len(carry))))
-            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *[pa.array(made[f.name], f.type) for f in types]], names=[*carry, *new])
+            yield pa.RecordBatch.from_arrays([*batch.columns[: len(carry)], *[made[f.name].cast(f.type) if isinstance(made[f.name], pa.Array) else pa.array(made[f.name], f.type) for f in types]], names=[*carry, *new])
         del work
         trim_memory()
 

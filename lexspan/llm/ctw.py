@@ -13,9 +13,9 @@ from pyspark.sql import functions as F
 
 from .common import fetch, least_count, map_text, materialize, trim_memory, utf8
 
-#: Bytes of context; most context-and-byte counts in the model, over all depths (of the contexts that occur
-#: most); most words whose counts are broadcast. The model's arrays are below 70 MB at these bounds.
-DEPTH, MOST_GRAMS, MOST_WORDS = 5, 400_000, 100_000
+#: Bytes of context; most bytes-in-context whose probabilities, and most words whose counts, are broadcast (the most frequent ones: at most
+#: 25 MB; all others come from the whole tables by joins, so neither bound changes a result); depth at which the tree is dealt to tasks.
+DEPTH, MOST_GRAMS, MOST_WORDS, ROOT = 5, 400_000, 100_000, 2
 END = b"\n"
 U = np.uint64
 
@@ -151,148 +151,212 @@ def node_key(depth: int, context: np.ndarray, prefix: np.ndarray) -> np.ndarray:
     return (U(depth) << U(60)) | (context << U(8)) | prefix
 
 
-def gram_key(depth: int, key: np.ndarray) -> np.ndarray:
-    """One number for a depth and the bytes there."""
-    return (U(depth + 1) << U(56)) | key
+SMALL = 1 << 16
+HALF = np.concatenate([[0.0], np.cumsum(np.log(np.arange(SMALL - 1) + 0.5))])
+WHOLE = np.concatenate([[0.0], np.cumsum(np.log(np.arange(SMALL - 1) + 1.0))])
 
 
-LGAMMA = np.frompyfunc(math.lgamma, 1, 1)
+def log_gamma(table: np.ndarray, n: np.ndarray, shift: float) -> np.ndarray:
+    """log(gamma(n + shift) / gamma(shift)): from a table, and for large n from Stirling's series."""
+    out = table[np.minimum(n, SMALL - 1)]
+    if (big := n >= SMALL).any():
+        x = n[big] + shift
+        out[big] = (x - 0.5) * np.log(x) - x + 0.5 * math.log(2 * math.pi) + 1 / (12 * x) - math.lgamma(shift)
+    return out
 
 
 def kt_log(a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Log of the Krichevsky-Trofimov probability of a zeros and b ones in any one order."""
-    size = int(max((a + b).max(initial=0), 0)) + 2
-    if size <= 1 << 22:
-        half, whole = np.zeros(size), np.zeros(size)
-        half[1:] = np.cumsum(np.log(np.arange(size - 1) + 0.5))
-        whole[1:] = np.cumsum(np.log(np.arange(size - 1) + 1.0))
-        return half[a] + half[b] - whole[a + b]
-    out = LGAMMA(a + 0.5) + LGAMMA(b + 0.5) - 2 * math.lgamma(0.5) - LGAMMA(a + b + 1.0)
-    return np.asarray(out, float)
-
-
-class Tree:
-    """A context tree: at every depth d <= D, nodes (d context bytes, bits of the coded byte so far).
-
-    ``counts[d]`` has keys (d + 1 bytes) and occurrences. A node's probability of a one is
-    w * KT + (1 - w) * deeper, where w is the posterior weight of stopping at the node; what a node has seen in contexts
-    that the tree doesn't hold acts as one more child.
-    """
+    return log_gamma(HALF, a, 0.5) + log_gamma(HALF, b, 0.5) - log_gamma(WHOLE, a + b, 1.0)
+
+
+def summed(keys: np.ndarray, *values: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Sorted distinct keys and the sums of their values."""
+    order = np.argsort(keys, kind="stable")
+    keys = keys[order]
+    first = np.flatnonzero(np.r_[True, keys[1:] != keys[:-1]]) if len(keys) else np.zeros(0, int)
+    return keys[first], *[np.add.reduceat(v[order], first) if len(first) else v[:0] for v in values]
+
+
+def above(key: np.ndarray, depth: int) -> np.ndarray:
+    """The keys of the nodes one byte of context shorter, of nodes at ``depth``."""
+    return node_key(depth - 1, ((key & U((1 << 60) - 1)) >> U(8)) & U((1 << (8 * (depth - 1))) - 1), key & U(255))
+
+
+class Nodes:
+    """Binary nodes (d context bytes, bits of the coded byte so far) of some depths, with the probability of a one in the node alone and
+    the posterior weight of stopping there."""
+
+    def __init__(self, parts: list[tuple[np.ndarray, np.ndarray, np.ndarray]]):
+        key, self.one, self.stop = (np.concatenate(x) for x in zip(*parts)) if parts else (np.zeros(0, U), np.zeros(0), np.zeros(0))
+        self.table = Table(key)
 
-    def __init__(self, counts: list[tuple[np.ndarray, np.ndarray]]):
-        self.depth = len(counts) - 1
-        levels = []
-        for d, (keys, n) in enumerate(counts):
-            context, byte = keys >> U(8), keys & U(255)
-            nodes = np.concatenate([node_key(d, context, (U(1) << U(b)) | (byte >> U(8 - b))) for b in range(8)])
-            ones = np.concatenate([(byte >> U(7 - b)) & U(1) for b in range(8)])
-            key, place = np.unique(nodes, return_inverse=True)
-            weight = np.tile(n, 8)
-            one = np.bincount(place, weights=weight * ones, minlength=len(key)).astype(np.int64)
-            levels.append([key, np.bincount(place, weights=weight, minlength=len(key)).astype(np.int64) - one, one])
-        parts, below = [], None
-        for d in range(self.depth, -1, -1):
-            key, a, b = levels[d]
-            own = kt_log(a, b)
-            ka, kb, kids = np.zeros(len(key), np.int64), np.zeros(len(key), np.int64), np.zeros(len(key))
-            if below is not None and len(below[0]):
-                up = np.searchsorted(key, node_key(d, (below[0] & U((1 << 60) - 1)) >> U(8) & U((1 << (8 * d)) - 1), below[0] & U(255)))
-                for total, value in ((ka, below[1]), (kb, below[2]), (kids, below[3])):
-                    np.add.at(total, up, value)
-            rest_a, rest_b = a - ka, b - kb
-            other = kids + kt_log(rest_a, rest_b)
-            log_w = own if d == self.depth else np.logaddexp(own, other) - math.log(2)
-            stop = np.ones(len(key)) if d == self.depth else 1 / (1 + np.exp(np.clip(other - own, -50, 50)))
-            one = (b + 0.5) / (a + b + 1.0)
-            parts.append((key, one, stop, stop * one + (1 - stop) * (rest_b + 0.5) / (rest_a + rest_b + 1.0)))
-            below = (key, a, b, log_w)
-        key, one, stop, last = (np.concatenate(x) for x in zip(*parts))
-        self.nodes, self.one, self.stop, self.last = Table(key), one.astype(np.float32), stop.astype(np.float32), last.astype(np.float32)
-        # what the mixture gives for every known (context, byte), as if the context were the deepest one on its path
-        full = [(d, keys) for d, (keys, _) in enumerate(counts)]
-        self.grams = Table(np.concatenate([gram_key(d, k) for d, k in full]))
-        self.known = np.concatenate([self.compute(k, d) for d, k in full]).astype(np.float32)
-        self.contexts = Table(np.concatenate([np.unique(gram_key(d, k >> U(8))) for d, k in full]))
-
-    def compute(self, keys: np.ndarray, deepest: int | None = None) -> np.ndarray:
-        """log10 probability of the last byte of every key after its context, by the mixture over all depths up to ``deepest``."""
-        total = np.zeros(len(keys))
-        byte = keys & U(255)
-        for b in range(8):
-            prefix, bit = (U(1) << U(b)) | (byte >> U(8 - b)), ((byte >> U(7 - b)) & U(1)).astype(bool)
-            p = np.full(len(keys), np.nan)
-            for d in range(self.depth if deepest is None else deepest, -1, -1):
-                at = self.nodes.find(node_key(d, (keys >> U(8)) & U((1 << (8 * d)) - 1), prefix))
-                if len(self.one):
-                    own = self.stop[at].astype(np.float64) * self.one[at]
-                    p = np.where(at < 0, p, np.where(np.isnan(p), self.last[at], own + (1 - self.stop[at].astype(np.float64)) * p))
-            p = np.where(np.isnan(p), 0.5, p)
-            total += np.log10(np.where(bit, p, 1 - p))
-        return total
-
-    def score(self, streams: list[bytes]) -> np.ndarray:
-        """log10 probability of every stream.
-
-        A byte that its deepest context knows takes its value from a table; the mixture is computed for the others, once for each
-        different (context, byte).
-        """
-        if not streams:
-            return np.zeros(0)
-        keys = grams(streams, self.depth)
-        value, left, new = np.zeros(len(keys)), np.arange(len(keys)), []
-        for d in range(self.depth, -1, -1):
-            at = self.grams.find(gram_key(d, keys[left] & U((1 << (8 * (d + 1))) - 1)))
-            hit = at >= 0
-            value[left[hit]] = self.known[at[hit]]
-            left = left[~hit]
-            inside = self.contexts.find(gram_key(d, (keys[left] >> U(8)) & U((1 << (8 * d)) - 1))) >= 0
-            new.append(left[inside])
-            left = left[~inside]
-        if len(lost := np.concatenate([*new, left])):
-            what, place = np.unique(keys[lost], return_inverse=True)
-            value[lost] = self.compute(what)[place]
-        ends = np.cumsum([len(s) for s in streams])
-        return np.add.reduceat(value, np.r_[0, ends[:-1]])
+
+def weighed(a: np.ndarray, b: np.ndarray, below: np.ndarray | None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(probability of a one, weight of stopping, log of the weighted probability) of nodes that saw a zeros and b ones; ``below`` is what
+    their children give for the same bits, None at the greatest depth."""
+    own = kt_log(a, b)
+    one = (b + 0.5) / (a + b + 1.0)
+    if below is None:
+        return one, np.ones(len(own)), own
+    return one, 1 / (1 + np.exp(np.clip(below - own, -500, 500))), np.logaddexp(own, below) - math.log(2)
+
+
+def grow(keys: np.ndarray, n: np.ndarray, depth: int, root: int = 0) -> tuple[Nodes, tuple[np.ndarray, ...]]:
+    """The whole subtrees, from ``depth`` up to ``root``, over counts n of keys (``depth`` context bytes and the coded byte).
+
+    Also returns (key, zeros, ones, log of the weighted probability) of the nodes at ``root``.
+    """
+    context, byte = keys >> U(8), keys & U(255)
+    nodes = np.concatenate([node_key(depth, context, (U(1) << U(b)) | (byte >> U(8 - b))) for b in range(8)])
+    ones = np.concatenate([(byte >> U(7 - b)) & U(1) for b in range(8)]).astype(np.int64)
+    weight = np.tile(n, 8)
+    key, a, b = summed(nodes, weight * (1 - ones), weight * ones)
+    below, parts = None, []
+    for d in range(depth, root - 1, -1):
+        one, stop, log_w = weighed(a, b, below)
+        parts.append((key, one, stop))
+        if d > root:
+            key, a, b, below = summed(above(key, d), a, b, log_w)
+    return Nodes(parts), (key, a, b, log_w)
+
+
+def mixture(keys: np.ndarray, depth: int, deep: Nodes, top: Nodes | None = None, root: int = 0) -> np.ndarray:
+    """log10 probability of the last byte of every key after its context: all depths mixed, from the deepest up.
+
+    Nodes above ``root`` are in ``top``. A context that wasn't seen knows nothing and gives one half.
+    """
+    total, byte, context = np.zeros(len(keys)), keys & U(255), keys >> U(8)
+    for b in range(8):
+        prefix, bit = (U(1) << U(b)) | (byte >> U(8 - b)), ((byte >> U(7 - b)) & U(1)).astype(bool)
+        p = np.full(len(keys), 0.5)
+        for d in range(depth, -1, -1):
+            nodes = deep if d >= root else top
+            at = nodes.table.find(node_key(d, context & U((1 << (8 * d)) - 1), prefix))
+            if (hit := np.flatnonzero(at >= 0)).size:
+                stop = nodes.stop[at[hit]]
+                p[hit] = stop * nodes.one[at[hit]] + (1 - stop) * p[hit]
+        total += np.log10(np.where(bit, p, 1 - p))
+    return total
 
 
 class Model:
-    """The tree, the counts of the most frequent words, and the corpus totals."""
+    """What every task gets: the top of the tree, values of the most frequent bytes in context, counts of the most frequent words, the totals."""
 
-    def __init__(self, tree: Tree, words: dict[bytes, int], n: int, v: int):
-        self.tree, self.words, self.n, self.v = tree, words, n, v
+    def __init__(self, depth: int, root: int, top: Nodes, n: int, v: int):
+        self.depth, self.root, self.top, self.n, self.v = depth, root, top, n, v
+        self.words: dict[bytes, int] = {}
+        self.known, self.value = Table(np.zeros(0, U)), np.zeros(0)
 
     def base(self, c: np.ndarray) -> np.ndarray:
         return np.log10((c + 0.5) / (self.n + 0.5 * (self.v + 1)))
 
 
+def by_subtree(grams: DataFrame, root: int, work, schema: str, most: int = 200_000) -> DataFrame:
+    """``work`` (arrays gram, n -> record batches) over whole subtrees at ``root``, many small ones at a time.
+
+    Rows are dealt by the last ``root`` context bytes. A subtree's rows are different grams, already summed, so its size is bounded by the alphabet
+    and not by how often a context occurs.
+    """
+    dealt = grams.withColumn("sub", F.shiftright("gram", 8).bitwiseAND((1 << (8 * root)) - 1)).select("sub", "gram", "n")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, ...]] = []
+
+        def flush(last: bool) -> Iterator[pa.RecordBatch]:
+            sub, gram, n = (np.concatenate(x) for x in zip(*held))
+            upto = len(sub) if last else int(np.flatnonzero(np.r_[True, sub[1:] != sub[:-1]])[-1])
+            held[:] = [] if last else [(sub[upto:], gram[upto:], n[upto:])]
+            if upto:
+                yield from work(gram[:upto].view(U), n[:upto])
+
+        rows = 0
+        for batch in batches:
+            held.append(tuple(c.to_numpy() for c in batch.columns))
+            rows += batch.num_rows
+            if rows > most:
+                yield from flush(False)
+                rows = sum(len(h[0]) for h in held)
+        if held:
+            yield from flush(True)
+        trim_memory()
+
+    return dealt.repartition("sub").sortWithinPartitions("sub").mapInArrow(run, schema)
+
+
+def tree_top(grams: DataFrame, depth: int, root: int) -> Nodes:
+    """The nodes above ``root``, at most 255 for each context of ``root`` - 1 bytes: sums of what the subtrees give."""
+    if not root:
+        return Nodes([])
+
+    def work(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        key, a, b, log_w = grow(gram, n, depth, root)[1]
+        yield pa.RecordBatch.from_arrays([pa.array(x) for x in (above(key, root).view(np.int64), a, b, log_w)], names=["key", "a", "b", "w"])
+
+    sums = by_subtree(grams, root, work, "key long, a long, b long, w double")
+    # decimals add up alike in any order
+    found = fetch(sums.groupBy("key").agg(F.sum("a").alias("a"), F.sum("b").alias("b"), F.sum(F.col("w").cast("decimal(30,9)")).cast("double").alias("w")))
+    key, a, b, below = summed(found["key"].to_numpy().astype(np.int64).view(U), *(found[c].to_numpy() for c in ("a", "b", "w")))
+    parts = []
+    for d in range(root - 1, -1, -1):
+        one, stop, log_w = weighed(a, b, below)
+        parts.append((key, one, stop))
+        if d:
+            key, a, b, below = summed(above(key, d), a, b, log_w)
+    return Nodes(parts)
+
+
+def values(grams: DataFrame, wanted: DataFrame, model: Model) -> DataFrame:
+    """(gram, value): the log10 probability of every ``wanted`` gram's last byte by the whole tree, each in its subtree's task."""
+    shared = grams.sparkSession.sparkContext.broadcast((model.depth, model.root, model.top))
+
+    def work(gram: np.ndarray, n: np.ndarray) -> Iterator[pa.RecordBatch]:
+        depth, root, top = shared.value
+        asked = n < 0
+        if not asked.any():
+            return
+        subs = gram >> U(8) & U((1 << (8 * root)) - 1)
+        held = ~asked & np.isin(subs, np.unique(subs[asked]))
+        deep, want = grow(gram[held], n[held], depth, root)[0], gram[asked]
+        for i in range(0, len(want), 1 << 16):
+            part = want[i : i + (1 << 16)]
+            yield pa.RecordBatch.from_arrays([pa.array(part.view(np.int64)), pa.array(mixture(part, depth, deep, top, root))], names=["gram", "value"])
+
+    both = grams.select("gram", "n").unionByName(wanted.select("gram", F.lit(-1).cast("long").alias("n")))
+    return by_subtree(both, model.root, work, "gram long, value double")
+
+
 def fit(docs: DataFrame, text: str = "text", depth: int = DEPTH, most_grams: int = MOST_GRAMS, most_words: int = MOST_WORDS) -> tuple[Model, DataFrame]:
-    """A model of all texts of ``docs`` (null: empty) and the table (word, n) of all words' counts.
+    """A model of all texts of ``docs`` (null: empty) and the table (word, gram, n) of all words' and all bytes-in-context's counts.
 
-    The deepest counts are summed over the whole corpus, shallower ones from these. The tree holds the contexts that occur most,
-    each with all its bytes, ``most_grams`` entries at most; a context occurs as often as any longer one that ends in it, so
-    the tree has no holes. With an empty table the model gives every bit probability 1/2.
+    The tree holds every context of the corpus, so it grows with it: it stays a written table of its deepest counts, dealt to tasks by subtree. Only its
+    top (at most 255 * 257 nodes) is collected. ``most_grams`` and ``most_words`` bound what is broadcast to spare joins in scoring.
+    With an empty table the model gives every bit probability 1/2.
     """
     counts = materialize(corpus_counts(docs, depth, text))
-    words = counts.filter("word is not null").select("word", "n")
+    words, grams = counts.filter("word is not null").select("word", "n"), counts.filter("gram is not null").select("gram", "n")
     total = words.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).first()
-    shallow = F.transform(F.sequence(F.lit(0), F.lit(depth)), lambda d: F.struct(d.alias("d"), F.col("gram").bitwiseAND(F.element_at(F.array(*[F.lit((1 << (8 * (k + 1))) - 1) for k in range(depth + 1)]), d + 1)).alias("gram")))
-    levels = counts.filter("gram is not null").select("n", F.explode(shallow).alias("x")).groupBy("x.d", "x.gram").agg(F.sum("n").alias("n"))
-    # a context with its bytes is a row of at most 256 entries
-    contexts = materialize(levels.groupBy("d", F.shiftright("gram", 8).alias("context")).agg(F.sum("n").alias("total"), F.count("*").alias("entries"), F.collect_list(F.struct("gram", "n")).alias("x")))
-    least = least_count(contexts, most_grams, "total", F.col("entries"))
-    kept = contexts.filter(F.col("total") >= least).select(F.col("d").cast("int").alias("d"), F.explode("x").alias("x")).select("d", "x.gram", "x.n")
-    kept = fetch(kept).sort_values(["d", "gram"])
-    tree = Tree([(part["gram"].to_numpy().astype(np.int64).view(U), part["n"].to_numpy().astype(np.int64)) for d in range(depth + 1) for part in [kept[kept["d"] == d]]])
+    root = min(ROOT, depth)
+    model = Model(depth, root, tree_top(grams, depth, root), int(total[0]), int(total[1]))
+    frequent = fetch(values(grams, grams.filter(F.col("n") >= least_count(grams, most_grams)), model))
+    model.known, model.value = Table(frequent["gram"].to_numpy().astype(np.int64).view(U)), frequent["value"].to_numpy()
     top = fetch(words.filter(F.col("n") >= least_count(words, most_words)))
-    return Model(tree, dict(zip(top["word"], top["n"].tolist())), int(total[0]), int(total[1])), words
+    model.words = dict(zip(top["word"], top["n"].tolist()))
+    return model, counts
 
 
-def score(docs: DataFrame, model: Model, words: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
+def per_text(owner: np.ndarray, texts: int, *columns: pa.Array, names: list[str]) -> pa.ListArray:
+    """For every text the list of its rows; ``owner`` is sorted."""
+    starts = np.searchsorted(owner, np.arange(texts + 1)).astype(np.int32)
+    return pa.ListArray.from_arrays(pa.array(starts), pa.StructArray.from_arrays(list(columns), names=names))
+
+
+def score(docs: DataFrame, model: Model, counts: DataFrame, carry: list[str], text: str = "text") -> DataFrame:
     """Append (n_tokens, n_known, train_tokens, base_score, score, bits_per_byte) to every row.
 
     ``score`` is the log10 probability of the text's stream by the tree, ``base_score`` that of its tokens by smoothed word
-    counts. Counts of frequent words are broadcast; all other words of a text, if any, get theirs by a join on the word
-    with the full table, one row per text and word, so every count is exact at any vocabulary. A null or empty text is the end
+    counts. Values of frequent bytes in context and counts of frequent words are broadcast; all others of a text, if any, come by joins with the whole
+    tables, one row per text and different gram or word, so both scores are those of the whole model at any size. A null or empty text is the end
     token alone. Repeated rows are scored each. Input columns named like the new ones are replaced.
     """
     shared = docs.sparkSession.sparkContext.broadcast(model)
@@ -302,41 +366,80 @@ def score(docs: DataFrame, model: Model, words: DataFrame, carry: list[str], tex
         m = shared.value
         known = m.words
 
+        def by_tree(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+            """Sums of broadcast values; and (text, gram, times) of the grams that are to be joined."""
+            keys = grams(streams, m.depth)
+            at = m.known.find(keys)
+            hit = at >= 0
+            value = np.zeros(len(keys))
+            value[hit] = m.value[at[hit]]
+            sizes = np.array([len(s) for s in streams])
+            sums = np.add.reduceat(value, np.cumsum(sizes) - sizes)
+            far = np.flatnonzero(~hit)
+            owner, key = np.repeat(np.arange(len(streams)), sizes)[far], keys[far]
+            order = np.lexsort((key, owner))
+            owner, key = owner[order], key[order]
+            first = np.flatnonzero(np.r_[True, (key[1:] != key[:-1]) | (owner[1:] != owner[:-1])]) if len(key) else np.zeros(0, int)
+            return sums, owner[first], key[first].view(np.int64), np.diff(np.r_[first, len(key)])
+
         def work(texts: list[bytes | None]) -> dict[str, list]:
-            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "score", "bytes", "rare")}
-            held, size = [], 0
-            for text in texts:
+            out: dict[str, list] = {k: [] for k in ("n_tokens", "n_known", "base", "bytes")}
+            held, size, done, made = [], 0, 0, []
+            rare, times, of = [], [], []
+
+            def flush() -> None:
+                nonlocal held, size, done
+                if held:
+                    sums, owner, key, n = by_tree(held)
+                    made.append((sums, owner + done, key, n))
+                    done += len(held)
+                held, size = [], 0
+
+            for k, text in enumerate(texts):
                 found = tokens(text)
                 held.append(stream(found))
+                out["bytes"].append(len(held[-1]))
                 size += len(held[-1])
                 if size > most:
-                    out["score"].extend(m.tree.score(held))
-                    held, size = [], 0
+                    flush()
                 seen = Counter(found)
                 seen[END] += 1
                 c = np.fromiter((known.get(w, 0) for w in seen), np.int64, len(seen))
-                times = np.fromiter(seen.values(), np.int64, len(seen))
+                n = np.fromiter(seen.values(), np.int64, len(seen))
                 hit = c > 0
                 out["n_tokens"].append(len(found) + 1)
-                out["n_known"].append(int(times[hit].sum()))
-                out["base"].append(float((times[hit] * m.base(c[hit])).sum()))
-                out["bytes"].append(len(stream(found)))
-                out["rare"].append([{"word": w, "times": t} for w, t, h in zip(seen, seen.values(), hit.tolist()) if not h])
-            out["score"].extend(m.tree.score(held))
+                out["n_known"].append(int(n[hit].sum()))
+                out["base"].append(float((n[hit] * m.base(c[hit])).sum()))
+                if not hit.all():
+                    lost = [w for w, h in zip(seen, hit.tolist()) if not h]
+                    rare += lost
+                    times.append(n[~hit])
+                    of.append(np.full(len(lost), k))
+            flush()
+            sums, owner, key, n = (np.concatenate(x) for x in zip(*made)) if made else (np.zeros(0), *[np.zeros(0, np.int64)] * 3)
+            out["score"] = sums
+            out["far"] = per_text(owner, len(texts), pa.array(key), pa.array(n.astype(np.int64)), names=["gram", "times"])
+            times, of = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (times, of))
+            out["rare"] = per_text(of, len(texts), pa.array(rare, pa.binary()), pa.array(times), names=["word", "times"])
             return out
 
         return work
 
-    new = "n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:binary,times:long>>"
+    new = "n_tokens long, n_known long, base double, score double, bytes long, rare array<struct<word:binary,times:long>>, far array<struct<gram:long,times:long>>"
     names = {"n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte"}
     made = map_text(docs, start, new, [c for c in carry if c not in names], text).withColumn("__row", F.monotonically_increasing_id())
     made = materialize(made)
+    words, every = counts.filter("word is not null").select("word", "n"), counts.filter("gram is not null").select("gram", "n")
+    far = made.select("__row", F.explode("far").alias("r")).select("__row", "r.gram", "r.times")
+    value = materialize(values(every, far.select("gram").distinct(), model))
+    by_gram = far.join(value, "gram").select("__row", F.lit(0).cast("long").alias("known"), F.lit(0.0).alias("base"), (F.col("times") * F.col("value")).alias("tree"))
     rare = made.select("__row", F.explode("rare").alias("r")).select("__row", "r.word", "r.times")
     base = lambda c: F.log10((c + F.lit(0.5)) / F.lit(model.n + 0.5 * (model.v + 1)))
     c = F.coalesce(F.col("n"), F.lit(0))
-    rest = rare.join(words, "word", "left").groupBy("__row").agg(F.sum(F.when(c > 0, F.col("times")).otherwise(0)).alias("__known"), F.sum(F.col("times") * base(c)).alias("__base"))
-    out = made.join(rest, "__row", "left")
-    held = [c for c in made.columns if c not in ("n_tokens", "n_known", "base", "score", "bytes", "rare", "__row")]
+    by_word = rare.join(words, "word", "left").select("__row", F.when(c > 0, F.col("times")).otherwise(0).alias("known"), (F.col("times") * base(c)).alias("base"), F.lit(0.0).alias("tree"))
+    rest = by_gram.unionByName(by_word).groupBy("__row").agg(F.sum("known").alias("__known"), F.sum("base").alias("__base"), F.sum("tree").alias("__tree"))
+    out = made.drop("rare", "far").join(rest, "__row", "left").withColumn("score", F.col("score") + F.coalesce("__tree", F.lit(0.0)))
+    held = [c for c in made.columns if c not in ("n_tokens", "n_known", "base", "score", "bytes", "rare", "far", "__row")]
     return out.select(
         *[F.col(f"`{c}`") for c in held], "n_tokens", (F.col("n_known") + F.coalesce("__known", F.lit(0))).alias("n_known"), F.lit(model.n).cast("long").alias("train_tokens"),
         (F.col("base") + F.coalesce("__base", F.lit(0.0))).alias("base_score"), "score", (-F.col("score") / math.log10(2) / F.col("bytes")).alias("bits_per_byte"),

@@ -60,8 +60,8 @@ def op8_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op9_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
-    model, words = ctw.fit(docs.filter(fold("doc_id", 5) != 1))
-    return ctw.score(docs, model, words, ["doc_id"]).select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
+    model, counts = ctw.fit(docs.filter(fold("doc_id", 5) != 1))
+    return ctw.score(docs, model, counts, ["doc_id"]).select("doc_id", (fold("doc_id", 5) == 1).alias("held_out"), "n_tokens", "n_known", "train_tokens", "base_score", "score", "bits_per_byte")
 
 
 def op10_html(spark: SparkSession, sf_dir: str) -> DataFrame:
