@@ -207,109 +207,177 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
 
-#: Min-hashes of a sketch (a byte of each is kept) and bands of two that make bucket keys.
-SKETCH, BANDS = 128, 6
+#: Min-hashes of a sketch (a byte of each is kept), and bands of so many of them that make bucket keys.
+SKETCH, BANDS, BAND = 64, 12, 3
+SEEDS, ODD = np.random.default_rng(11).integers(0, 1 << 64, (2, SKETCH), np.uint64) | np.array([[0], [1]], np.uint64)
+#: Pairs of documents compared at a time, and bytes of shingle hashes that a task holds for a share of a group.
+BATCH, SHARE = 1 << 16, 1 << 24
 
 
-def sketch(text: bytes | None, words: int = 5, seed: int = 42) -> tuple[int, list[int], bytes]:
-    """(fingerprint, band keys, SKETCH bytes) of a text's distinct word shingles; an empty text has zeros."""
+def shingles(text: bytes | None, words: int = 5, seed: int = 42) -> np.ndarray:
+    """The sorted distinct XXH64 of a text's word shingles, A-Z lower-cased; of a text with fewer words one, of a blank or null one none."""
     tokens = text.lower().split() if text else []
-    count = max(1, len(tokens) - words + 1)
-    least = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64)
-    odd = (np.arange(1, SKETCH + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
-    hashed = partial(xxhash.xxh64_intdigest, seed=seed)
     if not tokens:
-        return 0, [0] * BANDS, bytes(SKETCH)
+        return np.zeros(0, np.uint64)
+    hashed, count, parts = partial(xxhash.xxh64_intdigest, seed=seed), max(1, len(tokens) - words + 1), []
     for i in range(0, count, 1 << 15):
         part = tokens[i : min(i + (1 << 15), count) + words - 1]
-        shingles = map(b" ".join, zip(*[part[k:] for k in range(words)])) if len(tokens) >= words else [b" ".join(tokens)]
-        values = np.fromiter(map(hashed, shingles), np.uint64)
-        for k in range(SKETCH):
-            least[k] = min(least[k], (values * odd[k]).min())
-    mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
-    keys = [int(x) for x in (mixed[0 : 2 * BANDS : 2] * np.uint64(31) + mixed[1 : 2 * BANDS : 2] + np.arange(BANDS, dtype=np.uint64)).view(np.int64)]
-    return fingerprint(text, words, seed), keys, (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
+        found = map(b" ".join, zip(*[part[k:] for k in range(words)])) if len(tokens) >= words else [b" ".join(tokens)]
+        parts.append(np.unique(np.fromiter(map(hashed, found), np.uint64)))
+    return np.unique(np.concatenate(parts)) if len(parts) > 1 else parts[0]
 
 
-def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, budget: int = 20, most: int = 2000, row: str | None = None) -> DataFrame:
-    """(doc_id, component_id, kept) by a similarity of word shingles, where a few differing bits are too strict.
+def sketch(found: np.ndarray) -> tuple[int, list[int], bytes]:
+    """(fingerprint, band keys, SKETCH bytes) of a set of shingle hashes; an empty set has zeros.
 
-    Texts that share ``similarity`` of their shingles differ in up to about ``budget`` of the 64 bits, too many to deal fingerprints by equal blocks. So
-    documents meet in buckets by bands of two min-hashes (at 0.8 one of six bands agrees in 99.8 % of pairs); in a bucket the fingerprints' trie is joined with itself within ``budget``,
-    and pairs that the traversal finds link if ``similarity`` of their sketches' 128 min-hashes agree (standard error 0.035, so 0.02 is granted). Equal sketches are one
-    node; buckets over ``most`` nodes are shared out as pairs of salts; a task emits a spanning forest. Null, empty and blank texts are one group.
-    The graph's nodes are rows, named by the long column ``row``, which must be unique and the same at every reading and is returned too; without it rows
-    are numbered here. ``component_id`` is the smallest doc_id of a component (null if it has none); ``kept`` marks exactly one row of each, the first by
-    doc_id (null ids last) and then by row.
+    Min-hash k orders hashes by (hash ^ seed[k]) * odd[k], with random seeds and odd factors.
     """
+    if not len(found):
+        return 0, [0] * BANDS, bytes(SKETCH)
+    least, total = np.full(SKETCH, np.iinfo(np.uint64).max, np.uint64), np.zeros(BITS, np.int64)
+    for i in range(0, len(found), 1024):
+        part = found[i : i + 1024]
+        least = np.minimum(least, ((part[:, None] ^ SEEDS) * ODD).min(0))
+        total += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    mixed = (least ^ (least >> np.uint64(32))) * np.uint64(0xD6E8FEB86659FD93)
+    keys = [xxhash.xxh64_intdigest(mixed[k * BAND : (k + 1) * BAND].tobytes(), k) for k in range(BANDS)]
+    return int(np.packbits(2 * total > len(found), bitorder="little").view(np.uint64)[0]), np.array(keys, np.uint64).view(np.int64).tolist(), (mixed >> np.uint64(56)).astype(np.uint8).tobytes()
 
-    def start():
-        def work(texts):
-            made = [sketch(x, words) for x in texts]
-            return {"fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "bands": [m[1] for m in made], "sk": [m[2] for m in made]}
 
-        return work
+def jaccard(a: np.ndarray, b: np.ndarray) -> float:
+    """Shared part of two sorted sets, neither empty."""
+    small, large = (a, b) if len(a) <= len(b) else (b, a)
+    both = int((large[np.minimum(np.searchsorted(large, small), len(large) - 1)] == small).sum())
+    return both / (len(a) + len(b) - both)
 
-    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
-    prints = map_text(read, start, "fp long, bands array<long>, sk binary", ["doc_id", "row"] if row else ["doc_id"])
-    prints = materialize(prints if row else prints.withColumn("row", F.monotonically_increasing_id()))
-    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
-    nodes = materialize(prints.groupBy("fp", "sk").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.first("bands").alias("bands")))
-    dealt = nodes.select("rep", "fp", F.explode(F.array_distinct("bands")).alias("bucket"))
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1"))
-    shares = F.ceil(F.col("n") / most).cast("int")
-    own = dealt.join(sizes, "bucket").withColumn("s", shares).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s")).cast("int"))
-    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
-    tasks = own.select("rep", "fp", "bucket", F.explode(pairs).alias("t")).select(F.xxhash64("bucket", "t.i", "t.j").alias("task"), "fp", "rep")
-    tasks = tasks.join(nodes.select("rep", "sk"), "rep").select("task", "fp", "rep", "sk")
-    need = similarity - 0.02
-
-    def forest(task, fp, rep, sk) -> pa.RecordBatch:
-        first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
-        # equal fingerprints of a task lie side by side; the trie joins distinct ones, a run stands for its members
-        runs = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (task[1:] != task[:-1])])
-        i, j = trie_pairs(fp[runs].view(np.uint64), budget, np.searchsorted(runs, first))
-        size = np.diff(np.r_[runs, len(fp)])
-        inner = np.flatnonzero(size > 1)
-        i, j = np.r_[i, inner], np.r_[j, inner]
-        found_a, found_b = [], []
-        for at in range(0, len(i), 1 << 14):
-            a, b = i[at : at + (1 << 14)], j[at : at + (1 << 14)]
-            n = size[a] * size[b]
-            of = np.repeat(np.arange(len(a)), n)
-            k = np.arange(len(of)) - np.repeat(np.cumsum(n) - n, n)
-            x, y = runs[a[of]] + k // size[b[of]], runs[b[of]] + k % size[b[of]]
-            x, y = x[x != y], y[x != y]
-            near = (sk[x] == sk[y]).mean(1) >= need
-            found_a.append(x[near])
-            found_b.append(y[near])
-        a, b = (np.concatenate(v) if v else np.zeros(0, int) for v in (found_a, found_b))
-        root = union_min(len(fp), a, b)
-        child = np.flatnonzero(root != np.arange(len(fp)))
-        return pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root[child]])], names=["a", "b"])
+
+def similar_pairs(task: np.ndarray, fp: np.ndarray, sk: np.ndarray, budget: int, need: float, sets: list[np.ndarray] | None = None, similarity: float = 0.8) -> np.ndarray:
+    """The root of every row in the forest that links rows of the same task; rows come sorted by task and fingerprint (unsigned).
+
+    The trie of a task's distinct fingerprints is joined with itself; a run of equal ones stands for its members. Pairs within ``budget`` whose sketches agree in a
+    share of ``need`` link; with ``sets`` only if their sets share ``similarity``, which is counted exactly, unless they are connected already.
+    Pairs are expanded BATCH at a time.
+    """
+    first = np.flatnonzero(np.r_[True, task[1:] != task[:-1]])
+    runs = np.flatnonzero(np.r_[True, (fp[1:] != fp[:-1]) | (task[1:] != task[:-1])])
+    i, j = trie_pairs(fp[runs].view(np.uint64), budget, np.searchsorted(runs, first))
+    size = np.diff(np.r_[runs, len(fp)])
+    inner = np.flatnonzero(size > 1)
+    i, j = np.r_[i, inner], np.r_[j, inner]
+    upto = np.cumsum(size[i] * size[j])
+    root = np.arange(len(fp))
+    lengths = np.array([len(s) for s in sets]) if sets is not None else None
+    for at in range(0, int(upto[-1]) if len(upto) else 0, BATCH):
+        flat = np.arange(at, min(at + BATCH, int(upto[-1])))
+        of = np.searchsorted(upto, flat, "right")
+        k = flat - (upto[of] - size[i[of]] * size[j[of]])
+        x, y = runs[i[of]] + k // size[j[of]], runs[j[of]] + k % size[j[of]]
+        x, y = x[go := (x != y) & (root[x] != root[y])], y[go]
+        near = (sk[x] == sk[y]).mean(1) >= need
+        x, y = x[near], y[near]
+        if sets is None:
+            root = union_min(len(fp), np.r_[np.arange(len(fp)), x], np.r_[root, y])
+            continue
+        small, large = np.minimum(lengths[x], lengths[y]), np.maximum(lengths[x], lengths[y])
+        x, y = x[fits := small >= similarity * large - 1e-9], y[fits]
+        while len(x):  # one pair of every two components at a time: what they connect needs no further look
+            _, pick = np.unique(np.minimum(root[x], root[y]) * len(fp) + np.maximum(root[x], root[y]), return_index=True)
+            ok = [p for p in pick.tolist() if jaccard(sets[x[p]], sets[y[p]]) >= similarity - 1e-9]
+            left = np.ones(len(x), bool)
+            left[pick] = False
+            root = union_min(len(fp), np.r_[np.arange(len(fp)), x[ok]], np.r_[root, y[ok]])
+            left &= root[x] != root[y]
+            x, y = x[left], y[left]
+    return root
+
+
+def linked(tasks: DataFrame, budget: int, need: float, similarity: float = 0.8) -> DataFrame:
+    """Edges (a, b) of a spanning forest of every task's links, from rows (task, fp, rep, sk) and, for exact links, (set)."""
+    exact = "set" in tasks.columns
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Tasks are joined many at a time, whole ones only."""
         held: list[tuple] = []
+        sets: list[np.ndarray] = []
 
         def flush(last: bool) -> Iterator[pa.RecordBatch]:
             task, fp, rep, sk = (np.concatenate(x) for x in zip(*held))
             upto = len(task) if last else int(np.flatnonzero(np.r_[True, task[1:] != task[:-1]])[-1])
             held[:] = [] if last else [(task[upto:], fp[upto:], rep[upto:], sk[upto:])]
             if upto:
-                yield forest(task[:upto], fp[:upto], rep[:upto], sk[:upto])
+                root = similar_pairs(task[:upto], fp[:upto], sk[:upto], budget, need, sets[:upto] if exact else None, similarity)
+                del sets[:upto]
+                child = np.flatnonzero(root != np.arange(upto))
+                yield pa.RecordBatch.from_arrays([pa.array(rep[child]), pa.array(rep[root[child]])], names=["a", "b"])
 
+        weight = 0
         for batch in batches:
             sk = np.frombuffer(b"".join(batch.column(3).to_pylist()), np.uint8).reshape(-1, SKETCH)
             held.append((batch.column(0).to_numpy(), batch.column(1).to_numpy(), batch.column(2).to_numpy(), sk))
-            if sum(len(h[0]) for h in held) > PART // 4:
+            if exact:
+                sets += [np.frombuffer(x, np.uint64) for x in batch.column(4).to_pylist()]
+            weight += batch.nbytes
+            if weight > SHARE // 4:
                 yield from flush(False)
+                weight = 0
         if held:
             yield from flush(True)
 
-    links_ = tasks.repartition("task").sortWithinPartitions("task", F.expr("fp ^ (-9223372036854775807 - 1)")).mapInArrow(join, "a long, b long")
-    roots = materialize(components(links_).withColumnRenamed("node", "rep"))
-    of = materialize(nodes.join(roots, "rep", "left").select("fp", "sk", "first", F.coalesce("root", "rep").alias("root")))
+    columns = ["task", "fp", "rep", "sk", *(["set"] if exact else [])]
+    return tasks.select(columns).repartition("task").sortWithinPartitions("task", F.expr("fp ^ (-9223372036854775807 - 1)")).mapInArrow(join, "a long, b long")
+
+
+def shared_out(rows: DataFrame, group: str, sizes: DataFrame, most: int) -> DataFrame:
+    """Append ``task`` to rows: a group's number, or if it has more than ``most`` rows (or SHARE bytes) a row for every pair of shares that its own is in."""
+    shares = F.ceil(F.greatest(F.col("n") / most, F.col("bytes") / SHARE)).cast("int")
+    own = rows.join(sizes, group).withColumn("s", shares).withColumn("mine", F.pmod(F.xxhash64("rep"), F.col("s")).cast("int"))
+    pairs = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
+    return own.withColumn("t", F.explode(pairs)).withColumn("task", F.xxhash64(group, "t.i", "t.j"))
+
+
+def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id", words: int = 5, similarity: float = 0.8, budget: int = 24, most: int = 2000, row: str | None = None) -> DataFrame:
+    """(doc_id, component_id, kept) by the similarity (shared part) of two texts' sets of word shingles, where a few differing bits are too strict.
+
+    Texts that share ``similarity`` of their shingles differ in about 10 and up to about ``budget`` of the 64 bits, too many to deal fingerprints by equal blocks. So
+    documents meet in buckets by bands of three min-hashes (at 0.8 one of twelve bands agrees in 99.98 % of pairs); in a bucket the fingerprints' trie is
+    joined with itself within ``budget``, and what agrees in enough of 64 min-hashes (four standard errors below ``similarity``) makes a group of candidates.
+    Groups get their texts' shingle sets, and pairs link if they share ``similarity`` of them, counted exactly. Equal sets are one node; buckets and groups over ``most`` nodes are shared
+    out as pairs of salts; a task emits a spanning forest. Texts with less than ``words`` words have one shingle of all their words. Null, empty and blank texts are one group.
+    The graph's nodes are rows, named by the long column ``row``, which must be unique and the same at every reading and is returned too; without it rows
+    are numbered and written here. ``component_id`` is the smallest doc_id of a component (null if it has none); ``kept`` marks exactly one row of each, the first by
+    doc_id (null ids last) and then by row. Repeated rows are equal texts; an empty table gives an empty result; extra columns are not read.
+    """
+
+    def start():
+        def work(texts):
+            found = [shingles(x, words) for x in texts]
+            made = [sketch(x) for x in found]
+            return {
+                "fp": np.array([m[0] for m in made], np.uint64).view(np.int64), "bands": [m[1] for m in made], "sk": [m[2] for m in made],
+                "digest": [xxhash.xxh3_128_digest(x.tobytes()) for x in found], "bytes": [8 * len(x) for x in found],
+            }
+
+        return work
+
+    def whole():
+        return lambda texts: {"set": [shingles(x, words).tobytes() for x in texts]}
+
+    read = docs.select(F.col(doc_id).alias("doc_id"), F.col(text).alias("text"), *([F.col(row).alias("row")] if row else []))
+    read = read if row else materialize(read.withColumn("row", F.monotonically_increasing_id()))
+    prints = materialize(map_text(read, start, "fp long, bands array<long>, sk binary, digest binary, bytes long", ["doc_id", "row"]))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
+    nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.min(F.struct("fp", "sk", "bytes", "bands")).alias("x")).select("digest", "rep", "first", "x.*"))
+    dealt = nodes.select("rep", "fp", "sk", F.explode(F.array_distinct("bands")).alias("bucket"))
+    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("bytes")).filter("n > 1"))
+    need = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / SKETCH))
+    groups = materialize(components(linked(shared_out(dealt, "bucket", sizes, most), budget, need)).withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"))
+    few = materialize(nodes.select("rep", "fp", "sk", "bytes").join(groups, "rep"))
+    sets = materialize(map_text(read.select(F.col("row").alias("rep"), "text").join(few, "rep"), whole, "set binary", ["rep", "fp", "sk", "grp", "bytes"]))
+    sizes = materialize(sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
+    tasks = shared_out(sets.select("rep", "fp", "sk", "set", "grp"), "grp", sizes, most)
+    roots = materialize(components(linked(tasks, budget, need, similarity)).withColumnRenamed("node", "rep"))
+    of = materialize(nodes.join(roots, "rep", "left").select("digest", "first", F.coalesce("root", "rep").alias("root")))
     least = materialize(of.groupBy("root").agg(F.min("first").alias("least")))
-    final = materialize(of.join(least, "root").select("fp", "sk", "least"))
-    out = prints.select("doc_id", "row", "fp", "sk").join(final, ["fp", "sk"])
+    final = materialize(of.join(least, "root").select("digest", "least"))
+    out = prints.select("doc_id", "row", "digest").join(final, "digest")
     return out.select("doc_id", *([F.col("row").alias(row)] if row else []), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))

@@ -150,9 +150,34 @@ def test_odd_vectors(spark):
 
 def test_quantiser_is_balanced():
     x = embeddings.unit(vectors(n=2000).astype(float))
-    bits = embeddings.Quantiser(x).codes(x).view(np.uint64)
-    share = np.unpackbits(bits.view(np.uint8).reshape(-1, 8), axis=1).mean(0)
-    assert (np.abs(share - 0.5) < 0.2).all()
+    bits = embeddings.Quantiser(x, 144).codes(x)
+    assert bits.shape == (2000, 144) and (np.abs(bits.mean(0) - 0.5) < 0.2).all()
+
+
+def test_links_of_every_length_of_vectors(spark):
+    """Equal and near vectors of a length that few rows have link like others; different lengths don't."""
+    x, short = vectors(n=40), [[1.0, 2.0], [1.0, 2.0], [1.0, 2.01], [-1.0, 2.0]]
+    rows = [(k, [float(v) for v in x[k]], 1) for k in range(40)] + [(100 + k, v, 1) for k, v in enumerate(short)]
+    out = {r["vec_id"]: r for r in embeddings.near_duplicates(spark.createDataFrame(rows, "vec_id long, embedding array<double>, label int")).collect()}
+    assert [out[100 + k]["n_links"] for k in range(4)] == [2, 2, 2, 0] and [out[100 + k]["component_id"] for k in range(4)] == [100, 100, 100, 103]
+    assert [out[k]["n_links"] for k in range(40)] == slow_links(x, np.ones(40), 0.98).sum(1).tolist()
+
+
+def test_substrings_widen_with_the_table_and_keep_recall():
+    """Recall of codes alone, at a table's size now and at ten thousand times that."""
+    r = np.random.default_rng(8)
+    x = embeddings.unit(r.normal(size=(4000, 64)))
+    y = embeddings.unit(x + r.normal(size=x.shape) * 0.19 / 8)  # cosine about 0.98
+    near = (x * y).sum(1) >= 0.98
+    assert near.sum() > 1000
+    for most in (1000, 10_000_000):
+        width, tables, radius = embeddings.layout(most, 0.98)
+        q = embeddings.Quantiser(x, width * tables)
+        a, b = q.codes(x), q.codes(y)
+        meet = (a == b).reshape(-1, tables, width).all(2).any(1) & ((a != b).sum(1) <= radius)
+        assert meet[near].mean() > 0.99, (width, tables, radius)
+        chance = (a[:2000] == b[2000:]).reshape(-1, tables, width).all(2).mean()
+        assert chance < 4 / 2**width
 
 
 def jaccard(a, b, n=5):
@@ -177,14 +202,43 @@ def test_similar_documents(spark, odd, empty, most):
     rows += [(100 + k, " ".join(r.choices(vocabulary, k=150))) for k in range(20)]
     out = {x["doc_id"]: x for x in simhash.similar_documents(spark.createDataFrame(rows, "doc_id long, text string"), most=most).collect()}
     near = np.array([[jaccard(a, b) for _, b in rows] for _, a in rows])
-    sure = union_min(len(rows), *np.nonzero(near >= 0.9))
     ids = [k for k, _ in rows]
-    for k, root in enumerate(sure):
-        assert out[ids[k]]["component_id"] == out[ids[root]]["component_id"]
-    loose = union_min(len(rows), *np.nonzero(near >= 0.65))
-    for k in range(len(rows)):
-        assert loose[ids.index(out[ids[k]]["component_id"])] == loose[k]
+    for k, root in enumerate(union_min(len(rows), *np.nonzero(near >= 0.8))):
+        assert out[ids[k]]["component_id"] == ids[root]
     assert all(x["kept"] == (x["component_id"] == x["doc_id"]) for x in out.values())
     got = simhash.similar_documents(odd).collect()
     assert len(got) == 12 and simhash.similar_documents(empty).count() == 0
     assert {x["component_id"] for x in got if x["doc_id"] in (1, 2, 3)} == {1}
+
+
+def test_min_hashes_are_independent():
+    """The standard error of the agreement of two sketches is that of independent min-hashes, and it is not biased."""
+    r = np.random.default_rng(2)
+    got = []
+    for _ in range(600):
+        all_ = np.unique(r.integers(0, 1 << 64, 500, np.uint64))
+        a, b = all_[:450], all_[50:]
+        assert simhash.jaccard(a, b) == pytest.approx(0.8, abs=0.01)
+        x, y = (np.frombuffer(simhash.sketch(s)[2], np.uint8) for s in (a, b))
+        got.append((x == y).mean())
+    assert np.mean(got) == pytest.approx(0.8, abs=0.01) and np.std(got) < 0.06
+
+
+def test_a_large_run_of_equal_fingerprints(monkeypatch):
+    """Pairs of a run are looked at in parts; links are exact, and a pair below the similarity stays apart."""
+    monkeypatch.setattr(simhash, "BATCH", 1000)
+    r = np.random.default_rng(3)
+    base = [np.unique(r.integers(0, 1 << 64, 100, np.uint64)) for _ in range(3)]
+    sets = [np.unique(np.r_[base[k % 3][: 100 - k % 7], r.integers(0, 1 << 64, k % 4, np.uint64)]) for k in range(240)]
+    n = len(sets)
+    sk = np.zeros((n, simhash.SKETCH), np.uint8)
+    task, fp = np.array([1] * 200 + [2] * 40), np.zeros(n, np.int64)
+    root = simhash.similar_pairs(task, fp, sk, 24, 0.5, sets)
+    near = np.array([[task[a] == task[b] and simhash.jaccard(sets[a], sets[b]) >= 0.8 for b in range(n)] for a in range(n)])
+    assert (root == union_min(n, *np.nonzero(near))).all()
+
+
+def test_shingles_of_short_and_long_texts():
+    assert len(simhash.shingles(None)) == len(simhash.shingles(b" \n")) == 0 and len(simhash.shingles(b"a b")) == 1
+    long = " ".join(f"w{k % 50_000}" for k in range(100_000)).encode()
+    assert len(simhash.shingles(long)) == 50_000 and (np.diff(simhash.shingles(long).astype(object)) > 0).all()
