@@ -45,8 +45,8 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     except AnalysisException:
         docs = materialize(docs)
     rows = docs.select("*", F.xxhash64("_metadata.file_path", "_metadata.row_index").alias("__row"))
-    kept = simhash.similar_documents(rows, words=5, similarity=0.8, row="__row").filter("kept").select("__row")
-    return rows.join(materialize(kept), "__row", "left_semi").select(*docs.columns)
+    gone = simhash.similar_documents(rows, words=5, similarity=0.8, row="__row").filter("not kept").select("__row")
+    return rows.join(materialize(gone), "__row", "left_anti").select(*docs.columns)
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
