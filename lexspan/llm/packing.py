@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import random
+import re
 import zlib
+from array import array
 from bisect import bisect_left, insort
 from collections.abc import Iterator
 
@@ -34,31 +36,37 @@ class Encoder:
     """
 
     PART = r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+"
+    #: Letters that stay composed and whose lower case doesn't depend on their neighbours.
+    LATIN = r"[\x00-\u012f\u0131-\u024f]*"
 
-    def __init__(self, path: str, most: int = 400_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, most: int = 200_000, chunk: int = 1 << 20):
         import regex
         from tokenizers import Tokenizer
 
         self.tokenizer, self.most, self.chunk = Tokenizer.from_file(path), most, chunk
         self.tokenize = self.tokenizer.model.tokenize
-        self.split = regex.compile(self.PART).findall
+        self.split, self.latin = regex.compile(self.PART).findall, re.compile(self.LATIN).fullmatch
         self.letters = byte_letters()
         cache = worker_cache(f"encoder {path}")
-        self.words, self.parts = cache.setdefault("words", Words()), cache.setdefault("parts", {})
-        self.words.encode = self.word
+        self.words, self.parts = cache.setdefault("words", Known()), cache.setdefault("parts", Known())
+        self.words.encode, self.parts.encode = self.word, self.part
 
     def part(self, text: str) -> bytes:
-        """Ids of a part; only of lower-case Latin text, which stays as it is when normalised."""
-        if (ids := self.parts.get(text)) is None:
-            shown = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
-            self.parts[text] = ids = b"".join(t.id.to_bytes(4, "little") for t in self.tokenize(shown))
-        return ids
+        """Ids of a part of lower-case Latin text, which stays as it is when normalised."""
+        shown = text if text.isascii() and text.isprintable() else "".join(map(self.letters.__getitem__, text.encode()))
+        return array("I", [t.id for t in self.tokenize(shown)]).tobytes()
 
     def word(self, word: bytes) -> bytes:
         text = word.decode("utf-8", "replace")
-        if "<|" in text or not (text.isascii() or all(c < "\u0250" and c == c.lower() for c in text)):
-            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        return b"".join(map(self.part, self.split(text)))
+        if "<|" in text or not self.latin(text):
+            return array("I", self.tokenizer.encode(text, add_special_tokens=False).ids).tobytes()
+        text, known = text.lower(), self.parts
+        if text.isalpha():
+            return known[text]
+        last = text[-1]
+        if text[:-1].isalpha() and not last.isalnum() and not last.isspace():
+            return known[text[:-1]] + known[last]
+        return b"".join(map(known.__getitem__, self.split(text)))
 
     def encode(self, texts: list[bytes]) -> Iterator[bytes]:
         """The ids of every text; beside the caches, memory is bounded by the longest text."""
@@ -66,24 +74,30 @@ class Encoder:
         for text in texts:
             if met > self.chunk:
                 met = 0
-                if len(self.parts) > self.most // 4:
-                    self.parts.clear()
-                if len(self.words) > self.most:
-                    self.words.clear()
+                self.parts.age(self.most // 2)
+                self.words.age(self.most)
             met += len(text)
             found = text.lower().split() if b"<|" not in text else [w if b"<|" in w else w.lower() for w in text.split()]
             yield b"".join(map(self.words.__getitem__, found))
 
 
-class Words(dict):
-    """Ids by word; a word that isn't there is encoded."""
+class Known(dict):
+    """Ids by word or part; one that isn't there is encoded. What was met since the last time it grew old stays."""
 
-    encode = None
+    def __init__(self):
+        self.encode, self.old = None, {}
 
-    def __missing__(self, word: bytes) -> bytes:
-        self[word] = ids = self.encode(word)
+    def __missing__(self, word):
+        if (ids := self.old.get(word)) is None:
+            ids = self.encode(word)
+        self[word] = ids
         return ids
 
+    def age(self, most: int) -> None:
+        if len(self) > most:
+            self.old = dict(self)
+            self.clear()
+
 
 def cut(docs: DataFrame, path: str, carry: list[str], capacity: int = CAPACITY, end: int = 1, text: str = "text") -> DataFrame:
     """One row per piece: ``carry`` and (piece, start, length, ids_crc32).

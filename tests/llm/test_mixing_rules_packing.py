@@ -205,3 +205,15 @@ def test_special_tokens_are_found_before_lower_casing():
     encoder = packing.Encoder(queries.tokenizer_path())
     for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
         assert [*np.frombuffer(ids, "<u4"), 1] == slow_ids(text), text
+
+
+def test_ids_of_random_texts_equal_the_tokenizers():
+    import random
+
+    from tokenizers import Tokenizer
+
+    r, whole, encoder = random.Random(1), Tokenizer.from_file(queries.tokenizer_path()), packing.Encoder(queries.tokenizer_path(), most=50, chunk=100)
+    letters = [chr(c) for c in range(1, 0x250)] + list("abcdeABCDE '\n\t.,!?0123") * 20 + ["́", " ", "ẞ", "　", "日", "ﬁ", "Σ", "ς", "<|", "|>", "'s", "'LL", "<|endoftext|>", "<|STARTOFTEXT|>", "\U0001f642"] * 3
+    texts = ["".join(r.choice(letters) for _ in range(r.randint(0, 60))) for _ in range(8000)]
+    for text, ids in zip(texts, encoder.encode([t.encode() for t in texts])):
+        assert np.frombuffer(ids, "<u4").tolist() == whole.encode(text, add_special_tokens=False).ids, repr(text)
