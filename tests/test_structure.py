@@ -15,49 +15,59 @@ def random_text(r):
     return "\n".join(r.choice(KINDS).format(n=r.randint(1, 40), r=r.choice(["I", "II", "IV"]), w=" ".join(r.choices(WORDS, k=r.randint(1, 12)))) for _ in range(r.randint(1, 40)))
 
 
-@pytest.mark.parametrize("seed", range(150))
-def test_leaves_tile_the_text(seed):
-    r = random.Random(seed)
-    text, nodes = structure.outline(random_text(r), r.choice(["", "texto_consolidado"]))
-    leaves = sorted((n["char_start"], n["char_end"]) for n in nodes if n["leaf"])
-    assert not leaves and not text or leaves[0][0] == 0 and leaves[-1][1] == len(text)
-    assert all(a[1] == b[0] for a, b in zip(leaves, leaves[1:]))
-    ids = {n["node_id"] for n in nodes}
-    assert len(ids) == len(nodes) and all(n["parent_id"] is None or n["parent_id"] in ids for n in nodes)
-    assert all(n["char_start"] < n["char_end"] for n in nodes)
+def outlines(spark, texts):
+    """(text, nodes) of every (text, subtype), all at once."""
+    docs = spark.createDataFrame([(k, *t) for k, t in enumerate(texts)], "doc_id int, text string, subtype string")
+    rows = {r["doc_id"]: (r["text"], [n.asDict() for n in r["nodes"]]) for r in structure.structure(docs, subtype="subtype").collect()}
+    return [rows[k] for k in range(len(texts))]
 
 
-def outline_of(*rows, subtype=""):
-    return structure.outline("\n".join(rows), subtype)
+def test_leaves_tile_the_text(spark):
+    cases = []
+    for seed in range(150):
+        r = random.Random(seed)
+        cases.append((random_text(r), r.choice(["", "texto_consolidado"])))
+    for text, nodes in outlines(spark, cases):
+        leaves = sorted((n["char_start"], n["char_end"]) for n in nodes if n["leaf"])
+        assert not leaves and not text or leaves[0][0] == 0 and leaves[-1][1] == len(text)
+        assert all(a[1] == b[0] for a, b in zip(leaves, leaves[1:]))
+        ids = {n["node_id"] for n in nodes}
+        assert len(ids) == len(nodes) and all(n["parent_id"] is None or n["parent_id"] in ids for n in nodes)
+        assert all(n["char_start"] < n["char_end"] for n in nodes)
+
+
+@pytest.fixture
+def outline_of(spark):
+    return lambda *rows, subtype="": outlines(spark, [("\n".join(rows), subtype)])[0]
 
 
 def kinds(nodes):
     return [(n["type"], n["label"]) for n in nodes]
 
 
-def test_titles_and_parents():
+def test_titles_and_parents(outline_of):
     text, nodes = outline_of("Acordo X", "CAPÍTULO I", "Âmbito", "Cláusula 1.ª", "Área", "Aplica-se a", "todos.", "Cláusula 2.ª Vigência", "Dois anos.")
     assert kinds(nodes) == [("preamble", "PREAMBLE"), ("chapter", "CAPÍTULO I - Âmbito"), ("clause", "Cláusula 1.ª - Área"), ("clause", "Cláusula 2.ª - Vigência")]
     assert nodes[2]["parent_id"] == nodes[1]["node_id"] and "Aplica-se a todos.\n" in text
 
 
-def test_what_is_no_heading():
+def test_what_is_no_heading(outline_of):
     _, nodes = outline_of("Cláusula 1.ª - A", "Os valores são:", "Cláusula 44.ª, número 2 - Valor,", "Cláusula 28.ª - Deslocações - 16,55 €;", "nos termos do", "artigo 253.º do Código.", "Cláusula geral e transitória da lei.")
     assert [n["label"] for n in nodes if n["type"] in ("clause", "article")] == ["Cláusula 1.ª - A"]
 
 
-def test_body_on_the_heading_line():
+def test_body_on_the_heading_line(outline_of):
     text, nodes = outline_of("Artigo 7.º Serão ainda sujeitos ao teste todos os trabalhadores que o solicitem.", "Artigo 8.º Revogado.")
     assert [n["label"] for n in nodes] == ["Artigo 7.º", "Artigo 8.º"] and "Revogado.\n" in text
 
 
-def test_annex_parts_and_tables():
+def test_annex_parts_and_tables(outline_of):
     _, nodes = outline_of("ANEXO II", "\x02TABELA", "a | b", "c | d", "\x03TABELA", "ANEXO II-A", "Texto corrido da parte.", "ANEXO III", "Outro.")
     by = {n["label"]: n for n in nodes}
     assert by["ANEXO II-A - Texto corrido da parte."]["parent_id"] == by["ANEXO II"]["node_id"] and by["ANEXO III - Outro."]["parent_id"] is None
 
 
-def test_consolidated_part_signatures_and_paragraphs():
+def test_consolidated_part_signatures_and_paragraphs(outline_of):
     text, nodes = outline_of("Artigo 1.º", "Alteração", "1- Muda a", "cláusula.", "2- E outra.", "Pela Empresa, SA:", "Texto consolidado", "Cláusula 1.ª", "Âmbito", "Fica assim.")
     assert [n["origin"] for n in nodes if n["type"] == "clause"] == ["consolidated"]
     assert [n["label"] for n in nodes if n["type"] == "paragraph"] == ["1- Muda a cláusula.", "2- E outra."]
