@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from .plans import coding, names, records, texts
+from .plans import coding, names, outlines, records, runs, texts
 
 QUERIES: dict = {}
 ORACLE_SQL: dict = {}
-for _plan in (coding, texts, records, names):
+for _plan in (coding, texts, records, names, outlines, runs):
     QUERIES |= _plan.QUERIES
     ORACLE_SQL |= _plan.ORACLE_SQL

@@ -9,10 +9,16 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import lineage
-from .registry import GENERIC_WORDS, LEGAL_FORMS, LINK_WORDS
+from ..functions.text import acronym, lineage, numeric_order
+from .registry import GENERIC_WORDS, LEGAL_FORMS, LINK_WORDS, camel
 
-LONGEST = 20
+# Lengths that file names allow, and words that many names of a branch share, which are used last.
+LONGEST, LEAST_BASE, LONGEST_SUFFIX, LONGEST_OVERLAPPING_BASE, LONGEST_OVERLAP, STEM = 20, 6, 12, 8, 3, 6
+WEAK_WORDS = (
+    "comercial comerciais industrial industriais empresarial empresariais empresas empresa servicos servico regional regionais distrital distritais concelhia concelhias "
+    "geral gerais norte sul centro outros outras concelhos concelho regiao zona area sector setor actividade atividade actividades atividades democratico democratica "
+    "independente independentes livre livres"
+).split()
 
 
 def ambiguous(orgs: DataFrame) -> DataFrame:
@@ -27,69 +33,80 @@ def plain(text: str) -> str:
 
 
 def telling_words(name: str) -> list[str]:
-    """A name's words that tell it apart, in camel case: generic ones come last, link words and legal forms not at all."""
-    found = [w for w in re.split(r"[^A-Za-z0-9]+", plain(name)) if len(w) > 1 and w.lower() not in LINK_WORDS and w.lower() not in LEGAL_FORMS]
-    shaped = [w if w.isupper() else w[0].upper() + w[1:].lower() for w in found]
-    return list(dict.fromkeys([w for w in shaped if w.lower() not in GENERIC_WORDS] + [w for w in shaped if w.lower() in GENERIC_WORDS]))
+    """A name's words of three letters or more that tell it apart, capitalised; those that tell little come last, link words, legal forms and generic words not at all."""
+    skipped = {*LINK_WORDS, *LEGAL_FORMS, *GENERIC_WORDS}
+    found = dict.fromkeys(w.capitalize() for w in re.findall(r"\w{3,}", plain(name)) if w.lower() not in skipped)
+    return sorted(found, key=lambda w: w.lower() in WEAK_WORDS)
 
 
 def extended(base: str, word: str) -> str:
-    """Base and word within LONGEST characters; a word that begins with the base's end isn't repeated."""
-    over = next((n for n in range(min(len(base), len(word)), 2, -1) if base[-n:].lower() == word[:n].lower()), 0)
-    return (base + word[over:])[:LONGEST]
+    """Base and word within LONGEST characters. What the end of a short base shares with the word's beginning is written once; where both don't fit, the
+    base gives way, for the word is what tells two apart."""
+    shared = range(min(LONGEST_OVERLAP, len(base), len(word) - 1) if len(base) <= LONGEST_OVERLAPPING_BASE else 0, 0, -1)
+    word = word[next((n for n in shared if base.lower().endswith(word[:n].lower())), 0) :][:LONGEST_SUFFIX]
+    room = max(LEAST_BASE, LONGEST - len(word)) if len(base) + len(word) > LONGEST else len(base)
+    return (base[:room] + word)[:LONGEST]
 
 
 def ladder(base: str, name: str, municipality: str, code: str) -> list[str]:
-    """Candidates for an acronym: the base, with a telling word, with the seat, with further words, with the code, which is unique."""
-    words = telling_words(name)
-    steps = [base, *[extended(base, w) for w in words[:1]], *([extended(base, "".join(telling_words(municipality)[:1]))] if municipality else []), *[extended(base, w) for w in words[1:]]]
-    digits = re.sub(r"\D", "", code)
-    return list(dict.fromkeys([s for s in steps if s] + [base[: LONGEST - len(digits)] + digits]))
+    """Candidates for an acronym: the base, with the most telling word, with the seat, with the two most telling words, and with the code, which is unique."""
+    words, digits = telling_words(name), re.sub(r"\D", "", code)
+    seat = re.sub(r"[^A-Za-z0-9]", "", plain(municipality).strip().capitalize())
+    endings = [*words[:1], *([seat] if seat else []), *(["".join(words[:2])] if len(words) > 1 else [])]
+    return list(dict.fromkeys([base[:LONGEST], *(extended(base, e) for e in endings), base[: LONGEST - len(digits)] + digits]))
 
 
 def oldest_first(code: str) -> tuple:
     return tuple(int(x) if x.isdigit() else 0 for x in code.split("."))
 
 
+def stems(c: str):
+    """Prefixes of a name's stem, the shortest first."""
+    return F.transform(F.sequence(F.lit(1), F.least(F.length(c), F.lit(STEM))), lambda n: F.upper(F.left(F.col(c), n)))
+
+
 def assign(orgs: DataFrame, fixed: DataFrame | None = None) -> DataFrame:
     """(lineage, base, acronym) without duplicates in any case. ``orgs`` has (code, name, base, municipality, last_activity).
 
-    The generations of a lineage share an acronym; a lineage's claim is told by its latest generation. Fixed acronyms (lineage, base, acronym) never
-    change. A base that one lineage claims and nobody holds is settled natively. The rest, collisions alone, is one greedy pass: the oldest
-    lineage first, each up its ladder until a free step. Whether a step is free depends on all acronyms, so the pass sees the
-    collisions' lineages and, of all taken acronyms, those that begin like one of their bases.
+    The generations of a lineage share an acronym; a lineage's claim is told by its latest generation. Without a base the name's short form is claimed. Fixed acronyms
+    (lineage, base, acronym) of a claim never change. A base that one lineage claims and nobody holds is settled natively. The rest, collisions alone, is a greedy pass: the oldest
+    lineage first, each up its ladder until a free step. All steps of a ladder begin with the first STEM characters of its base, so the pass runs by
+    stem (a stem that begins with another one goes with it), beside the taken acronyms that begin so.
     """
-    claims = orgs.filter(F.coalesce("base", F.lit("")) != "").withColumn("lineage", lineage("code")).groupBy("lineage", "base").agg(F.max_by(F.struct("name", "municipality", "code"), F.struct(F.coalesce("last_activity", F.lit("")), "code")).alias("x")).select("lineage", "base", "x.*")
+    own = F.coalesce(F.nullif(acronym("base", LONGEST), F.lit("")), camel("name"))
+    newest = F.struct(F.coalesce("last_activity", F.lit("")), numeric_order("code"))
+    claims = orgs.withColumns({"lineage": lineage("code"), "base": own}).groupBy("lineage", "base").agg(F.max_by(F.struct("name", "municipality", "code"), newest).alias("x")).select("lineage", "base", "x.*", F.upper("base").alias("u"))
+    held = orgs.sparkSession.createDataFrame([], "lineage string, base string, acronym string")
     if fixed is not None:
-        held = fixed.select("lineage", "base", "acronym")
+        first = fixed.filter(F.coalesce("acronym", F.lit("")) != "").join(claims.select("lineage", "base"), ["lineage", "base"], "left_semi").groupBy(F.upper("acronym").alias("u"))
+        held = first.agg(F.min(F.struct(numeric_order("lineage"), "lineage", "base", "acronym")).alias("x")).select("x.lineage", "x.base", "x.acronym")
         claims = claims.join(held.select("lineage", "base"), ["lineage", "base"], "left_anti")
-    else:
-        held = orgs.sparkSession.createDataFrame([], "lineage string, base string, acronym string")
-    upper = claims.withColumn("u", F.upper("base"))
-    n = upper.groupBy("u").agg(F.count_distinct("lineage").alias("n"))
-    taken = held.select(F.upper("acronym").alias("u"), F.lit(True).alias("taken")).distinct()
-    marked = upper.join(n, "u").join(taken, "u", "left")
-    alone = marked.filter("n = 1 and taken is null")
-    settled = alone.select("lineage", "base", F.col("base").alias("acronym"))
-    rest = marked.filter("n > 1 or taken").select("lineage", "base", "name", "municipality", "code", F.lit(None).cast("string").alias("acronym"))
-    near = settled.unionByName(held).join(rest.select(F.left(F.upper("base"), F.lit(1)).alias("__h")).distinct(), F.left(F.upper("acronym"), F.lit(1)) == F.col("__h"), "left_semi")
-    both = rest.unionByName(near.select("lineage", "base", F.lit("").alias("name"), F.lit("").alias("municipality"), F.lit("").alias("code"), "acronym"))
+    taken = held.select(F.upper("acronym").alias("u"), F.lit(True).alias("taken"))
+    # a lineage may claim one base in two spellings: the first is settled, the other collides
+    n = claims.groupBy("u").agg(F.count_distinct("lineage").alias("n"), F.min(F.struct("lineage", "base")).alias("least"))
+    marked = claims.join(n, "u").join(taken, "u", "left").withColumn("alone", (F.col("n") == 1) & F.col("taken").isNull() & (F.struct("lineage", "base") == F.col("least")))
+    settled = marked.filter("alone").select("lineage", "base", F.left("base", F.lit(LONGEST)).alias("acronym"))
+    rest = marked.filter("not alone").select("lineage", "base", "name", "municipality", "code", F.lit(None).cast("string").alias("acronym"))
+    roots = rest.select(F.upper(F.left("base", F.lit(STEM))).alias("stem")).distinct()
+    by_root = lambda df, c: df.withColumn("stem", F.explode(stems(c))).join(roots, "stem").groupBy(*df.columns).agg(F.min(F.struct(F.length("stem"), "stem"))["stem"].alias("root"))
+    near = by_root(settled.unionByName(held), "acronym").select("lineage", "base", *[F.lit("").alias(c) for c in ("name", "municipality", "code")], "acronym", "root")
+    both = by_root(rest, "base").unionByName(near)
 
     def run(frame: pd.DataFrame) -> pd.DataFrame:
         used = {a.upper() for a in frame["acronym"].dropna()}
-        out = []
         todo = frame[frame["acronym"].isna()].fillna("")
-        for r in sorted(todo.itertuples(index=False), key=lambda r: (oldest_first(r.lineage), r.lineage, r.base)):
-            steps = ladder(r.base, r.name, r.municipality, r.code)
-            k, got = 2, next((s for s in steps if s.upper() not in used), None)
-            while got is None:
-                number = str(k)
-                candidate = r.base[: LONGEST - len(number)] + number
-                got, k = (candidate if candidate.upper() not in used else None), k + 1
+        out = []
+        for r in sorted(todo.itertuples(index=False), key=lambda r: (oldest_first(r.lineage), r.base)):
+            steps = iter(ladder(r.base, r.name, r.municipality, r.code))
+            got, k = next(steps), 1
+            while got.upper() in used:
+                got = next(steps, None)
+                if got is None:
+                    k += 1
+                    got = r.base[: LONGEST - 2] + str(k)
             used.add(got.upper())
             out.append((r.lineage, r.base, got))
         return pd.DataFrame(out, columns=["lineage", "base", "acronym"])
 
-    # acronyms that can collide begin with the same letter, so these are the groups
-    greedy = both.groupBy(F.left(F.upper(F.coalesce("acronym", "base")), F.lit(1))).applyInPandas(run, "lineage string, base string, acronym string")
+    greedy = both.groupBy("root").applyInPandas(run, "lineage string, base string, acronym string")
     return settled.unionByName(greedy).unionByName(held)

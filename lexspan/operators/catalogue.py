@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import col, type_key
 
 IDENTITY = ("year", "yearly_no", "issue_no", "type", "file", "url", "title")
 TEAM = ("state_team", "theme", "notes", "responsible", "date_team")
@@ -30,7 +30,7 @@ def split_chain(raw) -> tuple[Column, Column]:
 def relation(family: Column, structured: Column, unresolved: Column) -> tuple[Column, Column]:
     """(verb, targets): what an extension, accession, notice or agreement does to the documents it names."""
     targets = F.array_join(F.concat(structured, unresolved), "; ")
-    verb = F.when(family == "extension", "extends").when(family == "accession", "joins").when(family == "notice", "announces").otherwise("alters")
+    verb = F.when(family == "extension", "extends").when(family == "accession", "joins").when(family == "agreement", "alters").otherwise("mentions")
     return F.when(targets == "", "").otherwise(verb), targets
 
 
@@ -103,4 +103,68 @@ def tie_notices(orders: DataFrame, notices: DataFrame, target: str, date: str, n
     """Append ``notices`` to orders: ids of all notices with the same whole target, dated at or before the order (as text)."""
     from .lookup import earlier_matches
 
-    return earlier_matches(orders, notices, [target], date, notice_id)
+    return earlier_matches(orders, notices, [target], date, notice_id, whole=True)
+
+
+#: Folders of families, and those that scopes divide. Fixed values.
+FOLDERS = {"agreement": "convencoes", "extension": "portarias_extensao", "accession": "acordos_adesao"}
+UNKNOWN_FOLDER, ROOT_FOLDER, KNOWN_DIGITS = "por_classificar", "1_fontes/irct", ("2", "4")
+
+
+def base_columns(kind: Column, code, base_codes, order: Column) -> tuple[Column, Column, Column]:
+    """(base code, further ones, government order): of an agreement its own code, of others the first of the agreements that they name, in order, and the rest."""
+    own = F.regexp_replace(F.coalesce(col(code), F.lit("")), r"\D", "")
+    named = F.filter(F.split(F.coalesce(col(base_codes), F.lit("")), r"[;\s]+"), lambda c: c != "")
+    agreement = kind == "agreement"
+    return (
+        F.when(agreement, own).otherwise(F.coalesce(F.try_element_at(named, F.lit(1)), F.lit(""))),
+        F.when(agreement, "").otherwise(F.array_join(F.slice(named, 2, F.greatest(F.size(named), F.lit(1))), "; ")),
+        F.when(agreement, "").otherwise(F.coalesce(order, F.lit(""))),
+    )
+
+
+def project(items: DataFrame, candidates: list[str], public: str, state: str) -> DataFrame:
+    """The catalogue: one row of derived columns per index item, in one projection.
+
+    ``items`` has text columns (name, warnings, type, title, signatories, sectors, chain, file, url, code, base_codes, order_ref, in_force, date) and the numbers (year, issue_no, yearly_no);
+    a blank name has no file yet. The columns of people are blank; what they filled passes over in ``merge``.
+    """
+    from .admission import METADATA_FAMILIES, processable
+    from .registry import family, is_union, parties, scope
+
+    text = lambda c: F.coalesce(F.col(c), F.lit(""))
+    rows = items.withColumns({c: text(c) for c in ("name", "warnings", "type", "title", "signatories", "sectors", "chain", "file", "url", "code", "base_codes", "order_ref", "in_force", "date")})
+    names = parties("signatories", "title")
+    rows = rows.withColumns({"__employers": F.filter(names, lambda n: ~is_union(n)), "__unions": F.filter(names, is_union), "__family": F.coalesce(family("type"), F.lit(""))})
+    rows = rows.withColumn("__scope", scope(F.coalesce(F.try_element_at("__employers", F.lit(1)), F.col("title")), F.col("type"), public, state))
+    kind, place = F.col("__family"), F.col("__scope")
+    subjects, open_sectors = split_sectors("sectors", candidates)
+    good, bad = split_chain("chain")
+    verb, targets = relation(kind, good, bad)
+    first, last = page_range(F.regexp_replace("file", r"\.[^.]*$", ""))
+    base, further, order = base_columns(kind, "code", "base_codes", F.col("order_ref"))
+    can, metadata = processable(kind, place), kind.isin(*METADATA_FAMILIES)
+    folder = F.coalesce(*[F.when(kind == k, f) for k, f in FOLDERS.items()], F.lit(UNKNOWN_FOLDER))
+    folder = F.when(kind == "agreement", F.concat(folder, F.lit("/"), place)).otherwise(folder)
+    all_names = F.concat("__employers", "__unions")
+    out = {
+        "name": F.col("name"), "target": F.when((F.col("name") == "") | metadata, "").otherwise(F.concat(F.lit(ROOT_FOLDER + "/"), folder, F.lit("/"), F.col("name"), F.lit(".pdf"))), "file": F.col("file"),
+        "year": F.col("year"), "yearly_no": F.col("yearly_no"), "type": type_key("type"), "family": kind, "processable": F.when(can, "sim").otherwise("nao"), "scope": place, "code": F.col("code"),
+        "act": negotiation_act("code", KNOWN_DIGITS), "base_code": base, "further_codes": further, "order_ref": order, "issue_no": F.col("issue_no"), "issue_date": F.left("date", F.lit(10)),
+        "first_page": first, "last_page": last, "n_signatories": F.size(all_names), "signatories": F.array_join(all_names, "; "), "relation": verb, "relation_target": F.when(verb != "", F.array_join(good, "; ")).otherwise(""),
+        "structured": F.array_join(good, "; "), "unresolved": F.array_join(bad, "; "), "in_force": F.col("in_force"), "subjects": F.array_join(subjects, "; "), "open_sectors": F.array_join(open_sectors, "; "),
+        "url": F.col("url"), "title": F.col("title"), "state": F.when(metadata, "metadado").when(F.col("name") == "", "por_confirmar").when(can, "recolhido").otherwise("nao_processavel"), "warnings": F.col("warnings"),
+        **{c: F.lit("") for c in TEAM},
+    }
+    return rows.select(*[v.alias(k) for k, v in out.items()])
+
+
+def counts(catalogue: DataFrame) -> DataFrame:
+    """(what, value, n): documents by family and scope, those that may be processed, with warnings, with open sectors and without a name, and names that several have."""
+    named = catalogue.filter("name <> ''").groupBy("name").agg(F.count("*").alias("k")).filter("k > 1")
+    flag = lambda what, cond: catalogue.filter(cond).agg(F.count("*").alias("n")).select(F.lit(what).alias("what"), F.lit("").alias("value"), "n")
+    by = lambda c, blank: catalogue.groupBy(F.coalesce(F.nullif(c, F.lit("")), F.lit(blank)).alias("value")).agg(F.count("*").alias("n")).select(F.lit(c).alias("what"), "value", "n")
+    out = by("family", UNKNOWN_FOLDER).unionByName(by("scope", "")).unionByName(named.select(F.lit("collision").alias("what"), F.col("name").alias("value"), F.col("k").alias("n")))
+    for what, cond in (("processable", "processable = 'sim'"), ("warned", "warnings <> ''"), ("open sectors", "open_sectors <> ''"), ("unnamed", "name = ''")):
+        out = out.unionByName(flag(what, cond))
+    return out

@@ -22,6 +22,38 @@ def overlaps(a: Column, b: Column) -> Column:
     return (a != "") & (b != "") & (F.contains(b, a) | F.contains(a, b) | F.contains(long, head))
 
 
+def head(c: str) -> Column:
+    return F.left(c, F.greatest(F.lit(40), F.floor(F.length(c) / 3).cast("int")))
+
+
+def overlapping(items: DataFrame, item: str, a: str, rows: DataFrame, row: list[str], b: str, piece: int = 8) -> DataFrame:
+    """(item, row) of all texts that overlap, whichever is the shorter; texts are normalised, blank ones overlap with nothing.
+
+    An overlap means that the longer text holds the shorter one's head. Heads of rows meet the items by their first ``piece`` characters at all places of the items (shorter heads
+    by themselves); heads of items meet the rows by their rarest inner word, which the row must hold whole. Only items whose head has no inner word
+    meet by pieces at all places of the rows.
+    """
+    items, rows = items.select(item, a).filter(F.col(a) != ""), rows.select(*row, b).filter(F.col(b) != "")
+    places = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n)))
+    pieces = lambda df, c, sizes: df.withColumn("__k", F.explode(F.array_distinct(F.flatten(F.array(*[places(c, n) for n in sizes])))))
+    key = lambda c: F.left(head(c), F.lit(piece))
+    # the row is the shorter one
+    bodies = rows.select(b).distinct().withColumn("__k", key(b))
+    held = pieces(items.select(a).distinct(), a, range(1, piece + 1)).join(bodies, "__k").filter((F.length(b) <= F.length(a)) & F.contains(F.col(a), head(b))).select(a, b).distinct()
+    # the item is the shorter one
+    inner = items.select(a).distinct().withColumn("__w", F.split(head(a), " ")).withColumn("__w", F.slice("__w", 2, F.greatest(F.size("__w") - 2, F.lit(0))))
+    words = rows.select(b).distinct().select(b, F.explode(F.array_distinct(F.split(b, " "))).alias("__k"))
+    wanted = inner.select(a, F.explode(F.array_distinct("__w")).alias("__k"))
+    count = words.join(wanted.select("__k").distinct(), "__k").groupBy("__k").agg(F.count("*").alias("__n"))
+    rarest = wanted.join(count, "__k", "left").groupBy(a).agg(F.min_by("__k", F.struct(F.coalesce("__n", F.lit(0)), "__k")).alias("__k"))
+    bare = inner.filter(F.size("__w") == 0).select(a).withColumn("__k", key(a))
+    shorter = lambda pairs: pairs.filter((F.length(a) <= F.length(b)) & F.contains(F.col(b), head(a))).select(a, b)
+    found = held.unionByName(shorter(rarest.join(words, "__k")))
+    if not bare.isEmpty():
+        found = found.unionByName(shorter(pieces(rows.select(b).distinct(), b, range(1, piece + 1)).join(bare, "__k")))
+    return items.join(found.distinct(), a).join(rows, b).select(item, *row).distinct()
+
+
 def pair_states(predicted: DataFrame, gold: DataFrame) -> DataFrame:
     """(doc_id, code, in_predicted, in_gold, overlap): distinct pairs of either side; overlap if any texts of a pair overlap.
 
@@ -158,6 +190,27 @@ def order_ratio(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
     return pairs.select(*key, F.col(a).alias("__a"), F.col(b).alias("__b")).mapInPandas(run, schema)
 
 
+def rejoined_pages(pages: DataFrame, key: list[str], page: str, text: str = "text") -> DataFrame:
+    """Pages with a word that a page's end splits (a hyphen there, a lower-case beginning on the next page) written whole on the page where it starts."""
+    w = Window.partitionBy(*key).orderBy(page)
+    clean = F.regexp_replace(text, r"(?U)\s+$", "")
+    rows = pages.withColumn("__t", clean).withColumn("__open", F.col("__t").rlike("(-|\ufffe)$"))
+    head = F.regexp_extract(F.regexp_replace("__t", r"(?U)^\s+", ""), r"(?U)^[a-zà-ÿ]\w*", 0)
+    rows = rows.withColumn("__head", head).withColumn("__takes", F.coalesce(F.lag("__open").over(w), F.lit(False)) & (F.col("__head") != ""))
+    rest = F.when(F.col("__takes"), F.substr(F.regexp_replace("__t", r"(?U)^\s+", ""), F.length("__head") + 1)).otherwise(F.col("__t"))
+    given = F.lead(F.when(F.col("__takes"), F.col("__head"))).over(w)
+    # a page that is nothing but the end of a word has no open word of its own left
+    own_open = F.col("__open") & given.isNotNull()
+    out = F.when(own_open & (F.length(rest) > 0), F.concat(F.left(rest, F.length(rest) - 1), given)).otherwise(rest)
+    return rows.withColumn(text, out).drop("__t", "__open", "__head", "__takes")
+
+
+def longest_fragments(fragments: DataFrame, key: list[str], length: str, order: str, most: int = 12, least: int = 4) -> DataFrame:
+    """The ``most`` longest fragments (of ``least`` words or more) of each key, ties in their order."""
+    rank = F.row_number().over(Window.partitionBy(*key).orderBy(F.desc(length), order))
+    return fragments.filter(F.col(length) >= least).withColumn("rank", rank).filter(F.col("rank") <= most)
+
+
 def gate(now: DataFrame, golden: DataFrame, key: list[str], directions: dict[str, tuple[str, float]]) -> DataFrame:
     """(key, metric, before, now, state): REGRESSION, improved or same, by each metric's direction and tolerance.
 

@@ -189,6 +189,46 @@ def compose_name(prefix: Column, acronyms: Column, rest: Column, join: str = "-"
     return F.when(F.length(whole) <= longest, whole).when(room >= 3 * F.size(acronyms), cut)
 
 
+def short_prefix(year: Column, kind: Column, ordinal: Column, issue: Column) -> Column:
+    """The head of a name in the short scheme: year in two digits, the family's token, ordinal and issue."""
+    token = F.when(kind == "extension", "PE").when(kind == "notice", "AV").when(kind == "accession", "AA").otherwise("PR")
+    return F.concat_ws("_", F.lpad((F.coalesce(year, F.lit(0)) % 100).cast("string"), 2, "0"), token, F.format_string("%03d", ordinal), F.lit("BTE"), F.format_string("%02d", F.coalesce(issue, F.lit(0))))
+
+
+def short_name(prefix: Column, acronyms: Column, longest: int = LONGEST_NAME) -> Column:
+    """A name in the short scheme: the head and the sides' acronyms, which are cut evenly, to 4 characters at least, where the name is too long."""
+    whole = F.concat(prefix, F.array_join(F.transform(acronyms, lambda a: F.concat(F.lit("_"), a)), ""))
+    each = F.greatest(F.lit(4), F.floor((F.lit(longest) - F.length(prefix) - F.size(acronyms)) / F.size(acronyms)).cast("int"))
+    return F.when(F.length(whole) <= longest, whole).otherwise(F.concat(prefix, F.array_join(F.transform(acronyms, lambda a: F.concat(F.lit("_"), F.left(a, each))), "")))
+
+
+def long_prefix(year: Column, issue: Column, kind: Column, scope_: Column, doc_type: Column, number: Column, order: Column, code: Column) -> Column:
+    """The head of a name in the long scheme: agreements by scope, number, type and code; extensions by type, number, order and base code; accessions and
+    notices by type, number and base code. Null where a part that the scheme needs is missing: a known type, the order of an extension, the base code."""
+    head = F.concat(F.format_string("%04d", F.coalesce(year, F.lit(0))), F.lit("_BTE_"), F.format_string("%02d", F.coalesce(issue, F.lit(0))), F.lit("_"))
+    seq = F.format_string("_%03d", number)
+    ref = F.concat(F.format_string("_%04d", order["number"]), order["suffix"], F.format_string("-%04d", order["year"]))
+    code = F.nullif(code, F.lit(""))
+    own = F.concat(head, scope_, seq, F.lit("_"), doc_type, F.lit("_"), F.coalesce(code, F.lit("0")), F.lit("_"))
+    other = lambda middle, code: F.concat(head, doc_type, seq, middle, F.lit("_"), code, F.lit("_"))
+    return (
+        F.when(kind == "extension", F.when(doc_type.isin("PE", "PCT", "PRT"), other(ref, code))).when(kind == "accession", F.when(doc_type == "AA", other(F.lit(""), code)))
+        .when(kind == "notice", F.when(doc_type.isin("AVISO", "AV"), other(F.lit(""), F.coalesce(code, F.lit("0"))))).otherwise(own)
+    )
+
+
+#: Acronyms of the register that tell nobody apart. Fixed values.
+REFUSED_ACRONYMS = "IN PT SUL NORTE CGTP UGT SA LDA".split()
+
+
+def base_acronym(name, given) -> tuple[Column, Column]:
+    """(acronym, source): the register's, unless it is refused or has no 2 to 20 characters; else the one that the name gives; else its short form."""
+    clean, derived = acronym(given, 20), guessed_acronym(name)
+    own = F.coalesce(~F.upper(clean).isin(*REFUSED_ACRONYMS) & (F.length(clean) >= 2), F.lit(False))
+    told = F.coalesce(~F.upper(derived).isin(*REFUSED_ACRONYMS), F.lit(False))
+    return F.when(own, clean).when(told, derived).otherwise(camel(name)), F.when(own, "registry").when(told, "derived").otherwise("fallback")
+
+
 def scope(employer, kind, public: str, state: str) -> Column:
     """Scope of an agreement: APU by type or name, SPE by name, else PRI. The patterns are the caller's vocabulary."""
     plain = F.lower(strip_accents(employer))

@@ -100,14 +100,10 @@ def triage_bands(spark, sf_dir):
 
 
 def segment_overlap(spark, sf_dir):
-    """Benchmark items whose text overlaps a document line: the line holds the item, or the item's head."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", evaluation.plain_lower("text").alias("seg")).filter("seg <> ''")
-    # the window of an item that a longer line must hold: candidates meet on its first six words
-    words6 = lambda c: F.array_join(F.slice(F.split(c, " "), 1, 6), " ")
+    """Benchmark items and document lines that overlap: either holds the other, or the longer one holds the head of the shorter."""
+    items = table(spark, sf_dir, "benchmark").select("item_id", evaluation.plain_lower("text").alias("seg"))
     rows = doc_lines(spark, sf_dir).select("doc_id", "line_no", evaluation.plain_lower("line").alias("body"))
-    grams = rows.withColumn("w", F.split("body", " ")).withColumn("g", F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.size("w") - 5, F.lit(1))), lambda i: F.array_join(F.slice("w", i, F.lit(6)), " "))))).drop("w")
-    pairs = grams.join(items.withColumn("g", words6("seg")), "g").filter(F.length("body") >= F.length("seg")).filter(evaluation.overlaps(F.col("seg"), F.col("body")))
-    return pairs.select("item_id", "doc_id", "line_no").distinct()
+    return evaluation.overlapping(items, "item_id", "seg", rows, ["doc_id", "line_no"], "body")
 
 
 def uncovered_clauses(spark, sf_dir):
@@ -171,7 +167,7 @@ UNION ALL SELECT doc_id, arg_min('n' || line_no, line_no), min(char_start), max(
     "triage_bands": f"""{_PAIRS} SELECT p.code, CASE WHEN r."precision" >= 0.85 AND r.n_reference >= 2 THEN 'AUTO' ELSE 'REVIEW' END AS band, count(*) AS n FROM p LEFT JOIN r USING (code) GROUP BY ALL""",
     "segment_overlap": f"""WITH {_LINES}, b AS (SELECT doc_id, line_no, regexp_replace(regexp_replace(lower(line), '[\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS body FROM l),
 i AS (SELECT item_id, regexp_replace(regexp_replace(lower(text), '[\\s\\x0B]+', ' ', 'g'), '^ | $', '', 'g') AS seg FROM benchmark)
-SELECT DISTINCT item_id, doc_id, line_no FROM i JOIN b ON contains(body, left(seg, greatest(40, length(seg) // 3)::INTEGER)) WHERE seg <> '' AND length(body) >= length(seg)""",
+SELECT DISTINCT item_id, doc_id, line_no FROM i JOIN b ON seg <> '' AND body <> '' AND (contains(body, seg) OR contains(seg, body) OR CASE WHEN length(seg) <= length(body) THEN contains(body, left(seg, greatest(40, length(seg) // 3)::INTEGER)) ELSE contains(seg, left(body, greatest(40, length(body) // 3)::INTEGER)) END)""",
     "uncovered_clauses": f"{_CODED} SELECT l.doc_id, count(*) AS n_uncovered, CAST(sum(length(line)) AS BIGINT) AS n_chars FROM l WHERE line_no > 1 AND NOT contains(lower(line), 'license') AND NOT EXISTS (SELECT 1 FROM c WHERE c.doc_id = l.doc_id AND c.line_no = l.line_no) GROUP BY l.doc_id",
     "size_batches": """WITH RECURSIVE t AS (SELECT conv_id, turn, length(text) AS n, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations),
 f AS (SELECT conv_id, k, n AS size, 1 AS batch, n FROM t WHERE k = 1 UNION ALL SELECT t.conv_id, t.k, CASE WHEN f.size + t.n > 400 THEN t.n ELSE f.size + t.n END, CASE WHEN f.size + t.n > 400 THEN f.batch + 1 ELSE f.batch END, t.n FROM f JOIN t ON t.conv_id = f.conv_id AND t.k = f.k + 1)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import text as fx
-from ..operators import diff, lines, registry, sanity, structure
+from ..operators import diff, lines, registry, sanity
 from ..sources import files
 from .common import table
 
@@ -76,17 +76,6 @@ def secret_scan(spark, sf_dir):
     return sanity.secrets(table(spark, sf_dir, "documents"))
 
 
-def document_outline(spark, sf_dir):
-    """Outline of every document: nodes by type. Row by row in Python, so checked by the zero-loss law and not by SQL."""
-    nodes = structure.node_table(structure.structure(table(spark, sf_dir, "documents")))
-    return nodes.groupBy("type", "leaf").agg(F.count("*").alias("n"), F.sum(F.length("span")).alias("n_chars"))
-
-
-def outline_zero_loss(spark, sf_dir):
-    out = structure.structure(table(spark, sf_dir, "documents"))
-    return structure.zero_loss(structure.node_table(out), out)
-
-
 def unclosed_clauses(spark, sf_dir):
     """Documents as clauses: those that are empty or hold no closed sentence."""
     docs = table(spark, sf_dir, "documents")
@@ -107,13 +96,14 @@ def type_keys(spark, sf_dir):
 
 
 def paragraph_words(spark, sf_dir):
-    """Words that look read backwards, per document line: none in clean text."""
-    rows = table(spark, sf_dir, "documents").select("doc_id", F.explode(fx.words("text")).alias("word"))
+    """Words that look read backwards, per document; every third document is read backwards."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", F.when(F.col("doc_id") % 3 == 0, F.reverse("text")).otherwise(F.col("text")).alias("text"))
+    rows = docs.select("doc_id", F.explode(fx.words("text")).alias("word"))
     return rows.filter(fx.looks_reversed(F.col("word"))).groupBy("doc_id").agg(F.count("*").alias("n"))
 
 
 QUERIES = {f.__name__: f for f in (
-    party_sides, scope_case, order_references, doc_id_parsing, subtype_case, acronym_guess, file_years, long_lines, secret_scan, document_outline, outline_zero_loss, unclosed_clauses, confirmed_acronyms, type_keys,
+    party_sides, scope_case, order_references, doc_id_parsing, subtype_case, acronym_guess, file_years, long_lines, secret_scan, unclosed_clauses, confirmed_acronyms, type_keys,
     paragraph_words,
 )}
 
@@ -137,9 +127,17 @@ SELECT a, b, CASE WHEN a = '1.ª convenção' THEN 'primeira_convencao' WHEN a =
     "file_years": "SELECT ['3_BTE_2_ACIP', '26_PR_003_BTE_31_X', '2024_BTE_31_PRI_377_CCT_1_X', '25146_X', '2019 texto', 'antigo'][o_orderkey % 6 + 1] AS name, CAST([2025, 2026, 2024, 2025, 2019, NULL][o_orderkey % 6 + 1] AS INTEGER) AS year, count(*) AS n FROM orders GROUP BY ALL",
     "secret_scan": r"""WITH r(rule, p) AS (VALUES ('private key', '-----BEGIN [A-Z ]*PRIVATE KEY-----'), ('aws key', '\bAKIA[0-9A-Z]{16}\b'), ('github token', '\bgh[pousr]_[A-Za-z0-9]{36,}\b'), ('assigned secret', '(?i)\b(?:api[_-]?key|secret|token|password)\s*[=:]\s*[''"]?[A-Za-z0-9_\-]{16,}'))
 SELECT doc_id, rule, CAST(len(regexp_extract_all(text, p)) AS INTEGER) AS n FROM documents, r WHERE len(regexp_extract_all(text, p)) > 0""",
-    "outline_zero_loss": "SELECT doc_id FROM documents WHERE false",
+    "long_lines": r"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, generate_subscripts(string_split(text, chr(10)), 1) AS line_no FROM documents),
+n AS (SELECT *, lag(line) OVER w AS p, lead(line) OVER w AS q, string_split(line, ' | ') AS cells, string_split_regex(trim(line, E' \t\n\r\f\x0B'), '\s+') AS t FROM l WINDOW w AS (PARTITION BY doc_id ORDER BY line_no)),
+f AS (SELECT *, length(line) AS len, contains(line, ' | ') AS celled, len(list_filter(t, lambda x: regexp_matches(x, '\d'))) > 0.4 * len(t) AS numeric,
+  coalesce(contains(p, ' | ') AND len(string_split(p, ' | ')) = len(cells), false) OR coalesce(contains(q, ' | ') AND len(string_split(q, ' | ')) = len(cells), false) AS twin,
+  length(array_to_string(list_filter(cells, lambda c: len(string_split_regex(trim(c), '\s+')) < 10 OR len(list_filter(string_split_regex(trim(c), '\s+'), lambda x: regexp_matches(x, '\d'))) > 0.4 * len(string_split_regex(trim(c), '\s+'))), ' | ')) AS short FROM n WHERE length(line) > 600)
+SELECT doc_id, count(*) AS n, CAST(max(len) AS INTEGER) AS longest FROM f WHERE (celled OR numeric) AND NOT (celled AND (twin OR short <= 600)) GROUP BY doc_id""",
+    "unclosed_clauses": r"""WITH b AS (SELECT doc_id, text, regexp_replace(regexp_replace(regexp_replace(text, '^[^\n]*\n?', ''), '^[\s\x0B\x85\x{A0}\p{Z}]+', ''), '[\s\x0B\x85\x{A0}\p{Z}]+$', '') AS body FROM documents WHERE text IS NOT NULL),
+c AS (SELECT *, len(list_filter(string_split(body, chr(10)), lambda x: trim(x) <> '' AND regexp_matches(x, '(?:[.!?]|\d\.?\s?[ªº])[\s)\]»”"'']*$'))) > 0 AS closed FROM b)
+SELECT doc_id, CASE WHEN body = '' THEN 'empty' ELSE 'no closed sentence' END AS problem FROM c WHERE body = '' OR (NOT closed AND NOT regexp_matches(text, ' \| |\(\s*(?:\.\s*){3}\)|\(\s*…\s*\)|\[\s*(?:\.\s*){3}\]|[=×]'))""",
     "confirmed_acronyms": """WITH a AS (SELECT c_mktsegment || '/' || (c_nationkey % 4) AS entity, CASE WHEN c_nationkey = 3 THEN '' WHEN c_mktsegment = 'BUILDING' THEN 'B' || c_nationkey ELSE 'X' || left(c_mktsegment, 4) END AS x FROM customer), g AS (SELECT entity, min(x) AS m, count(DISTINCT x) AS n FROM a GROUP BY entity)
 SELECT entity, CASE WHEN m = '' THEN 'empty' WHEN n > 1 THEN 'contradiction' END AS error, CASE WHEN m <> '' AND n = 1 THEN m END AS acronym FROM g""",
     "type_keys": "SELECT ['cct - alt', '  Ae-Rect ', 'ACÓRDÃO  x', 'PE'][o_orderkey % 4 + 1] AS kind, ['CCT-ALT', 'AE-RECT', 'ACORDAO X', 'PE'][o_orderkey % 4 + 1] AS key, count(*) AS n FROM orders GROUP BY ALL",
-    "paragraph_words": r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(text, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS word FROM documents) x WHERE regexp_matches(word, '^[a-zà-ÿ]{3,}[A-ZÀ-Ý]$') GROUP BY doc_id",
+    "paragraph_words": r"SELECT doc_id, count(*) AS n FROM (SELECT doc_id, unnest(regexp_extract_all(CASE WHEN doc_id % 3 = 0 THEN reverse(text) ELSE text END, '[\p{L}\p{M}\p{Nd}\p{Pc}]+')) AS word FROM documents) x WHERE regexp_matches(word, '^[a-zà-ÿ]{3,}[A-ZÀ-Ý]$') GROUP BY doc_id",
 }

@@ -64,10 +64,10 @@ def base_resolution(spark, sf_dir):
 
 
 def notice_to_order(spark, sf_dir):
-    """Errors of a user as notices to their later purchases."""
+    """Errors of a user as notices to their later purchases: the last one and how many."""
     e = table(spark, sf_dir, "events").select("event_id", "user_id", F.date_format("ts", "yyyy-MM-dd HH:mm:ss.SSSSSS").alias("at"), "event_type")
-    out = catalogue.tie_notices(e.filter("event_type = 'purchase'").select("user_id", "at", "event_id"), e.filter("event_type = 'error'").select("user_id", "at", F.col("event_id").alias("nid")), "user_id", "at", "nid")
-    return out.select("event_id", F.array_join("notices", "; ").alias("notices"))
+    out = lookup.earlier_matches(e.filter("event_type = 'purchase'").select("user_id", "at", "event_id"), e.filter("event_type = 'error'").select("user_id", "at", F.col("event_id").alias("nid")), ["user_id"], "at", "nid")
+    return out.select("event_id", "latest", "n_notices")
 
 
 def _snapshots(spark, sf_dir):
@@ -280,7 +280,7 @@ r AS (SELECT key, y, t.d, (key + t.d) % 2000 AS num, ['CCT', 'AE', 'ACT'][(key +
 j AS (SELECT key, d, code FROM r LEFT JOIN u USING (num, y, kind)), g AS (SELECT key, max(code) FILTER (WHERE d = 1) AS a, max(code) FILTER (WHERE d = 7) AS b, CAST(count(*) FILTER (WHERE code IS NULL) AS INTEGER) AS unresolved FROM j GROUP BY key)
 SELECT key, CASE WHEN a IS NULL THEN coalesce(b, '') WHEN b IS NULL OR a = b THEN a ELSE a || '; ' || b END AS base_codes, unresolved FROM g""",
     "notice_to_order": f"""WITH e AS (SELECT event_id, user_id, {_DAY} AS at, event_type FROM events)
-SELECT p.event_id, coalesce(string_agg(CAST(n.event_id AS VARCHAR), '; ' ORDER BY n.at, CAST(n.event_id AS VARCHAR)), '') AS notices FROM e p LEFT JOIN e n ON n.event_type = 'error' AND n.user_id = p.user_id AND n.at <= p.at WHERE p.event_type = 'purchase' GROUP BY p.event_id""",
+SELECT p.event_id, last(CAST(n.event_id AS VARCHAR) ORDER BY n.at, CAST(n.event_id AS VARCHAR)) AS latest, count(n.event_id) AS n_notices FROM e p LEFT JOIN e n ON n.event_type = 'error' AND n.user_id = p.user_id AND n.at <= p.at WHERE p.event_type = 'purchase' GROUP BY p.event_id""",
     "catalog_merge": f"{_MERGE} SELECT year, type, name, notes, state, ref, {_WARN} AS warning FROM res",
     "catalog_orphans": f"{_MERGE} SELECT ref, name FROM res WHERE w = 'O'",
     "name_composition": """WITH p AS (SELECT o_orderkey, printf('%04d_BTE_%02d_PRI_%03d_CCT_%d_', year(o_orderdate), week(o_orderdate), o_orderkey % 1000, o_orderkey) AS pre, left(regexp_replace(c_name, '[^A-Za-z0-9]', '', 'g'), 20) AS a, left(regexp_replace(c_mktsegment, '[^A-Za-z0-9]', '', 'g'), 20) AS b, CASE WHEN o_custkey % 3 > 0 THEN '+' || (o_custkey % 3) ELSE '' END AS tail FROM orders JOIN customer ON c_custkey = o_custkey),

@@ -21,10 +21,11 @@ def segments_offsets(spark, sf_dir):
 
 
 def zero_loss(spark, sf_dir):
-    """Documents whose segments don't tile the text: none."""
-    got = segments_offsets(spark, sf_dir).withColumn("next", F.lead("char_start").over(Window.partitionBy("doc_id").orderBy("ord")))
-    got = got.join(table(spark, sf_dir, "documents").select("doc_id", F.length("text").alias("n")), "doc_id")
-    return got.filter(F.coalesce("next", "n") != F.col("char_end")).select("doc_id", "ord")
+    """Documents put together again from the slices of their segments, in order."""
+    got = segments_offsets(spark, sf_dir).join(table(spark, sf_dir, "documents").select("doc_id", "text"), "doc_id")
+    piece = F.substr(F.col("text"), F.col("char_start") + 1, F.col("char_end") - F.col("char_start"))
+    whole = F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("char_start", "char_end", piece.alias("piece")))), lambda x: x["piece"]), "")
+    return got.groupBy("doc_id").agg(F.count("*").alias("n_segments"), F.md5(whole).alias("md5"))
 
 
 def paragraph_bounds(spark, sf_dir):
@@ -45,16 +46,11 @@ def offset_remap(spark, sf_dir):
 
 
 def spacing_round_trip(spark, sf_dir):
-    """Lines whose remapped slice of the spaced text, without what was put in, differs from their slice of the text: none."""
+    """The slice of the spaced text that a line's moved offsets give: the line itself."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    points = spacing_points(spark, sf_dir)
-    wide = lines.spaced(docs, points, ["doc_id"]).select("doc_id", "text", "spaced")
+    wide = lines.spaced(docs, spacing_points(spark, sf_dir), ["doc_id"]).select("doc_id", "spaced")
     moved = offset_remap(spark, sf_dir).join(wide, "doc_id")
-    inner = points.groupBy("doc_id").agg(F.array_sort(F.collect_set("point")).alias("pts"))
-    moved = moved.join(inner, "doc_id", "left").withColumn("pts", F.coalesce("pts", F.expr("cast(array() as array<int>)")))
-    cut = lambda t, a, b: F.substr(F.col(t), F.col(a) + 1, F.col(b) - F.col(a))
-    added = F.size(F.filter("pts", lambda p: (p > F.col("char_start")) & (p < F.col("char_end"))))
-    return moved.filter((F.length(cut("spaced", "new_start", "new_end")) - added != F.length(cut("text", "char_start", "char_end"))) | (F.left(cut("spaced", "new_start", "new_end"), F.lit(1)) != F.left(cut("text", "char_start", "char_end"), F.lit(1)))).select("doc_id", "line_no")
+    return moved.select("doc_id", "line_no", F.md5(F.substr(F.col("spaced"), F.col("new_start") + 1, F.col("new_end") - F.col("new_start"))).alias("md5"))
 
 
 def furniture_lines(spark, sf_dir):
@@ -70,10 +66,11 @@ def without_furniture(spark, sf_dir):
 
 
 def versions(spark, sf_dir):
-    """Each document with the one before it of its language and source, as the reference text of an extraction."""
-    w = Window.partitionBy("lang", "source").orderBy("doc_id")
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text", F.lag("text").over(w).alias("ref"))
-    return docs.filter("ref is not null")
+    """Each document with the one before it of its language and source, as the reference text of an extraction. Ids are paired, texts join them."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "lang", "source", "text")
+    pairs = lookup.previous_of(docs.select("doc_id", "lang", "source"), ["lang", "source"], "doc_id").filter("previous is not null").select("doc_id", "previous")
+    texts = docs.select("doc_id", "text")
+    return pairs.join(texts, "doc_id").join(texts.select(F.col("doc_id").alias("previous"), F.col("text").alias("ref")), "previous").filter("ref is not null").select("doc_id", "text", "ref")
 
 
 def _sides(spark, sf_dir):
@@ -209,7 +206,7 @@ _CL = f"""{_VERS}, nw AS (SELECT doc_id, unnest(generate_series(0, len(string_sp
 
 ORACLE_SQL = {
     "segments_offsets": f"{_SEG} SELECT * FROM g",
-    "zero_loss": f"{_SEG} SELECT doc_id, ord FROM (SELECT g.*, length(text) AS n, lead(char_start) OVER (PARTITION BY doc_id ORDER BY ord) AS nx FROM g JOIN documents USING (doc_id)) x WHERE coalesce(nx, n) <> char_end",
+    "zero_loss": f"{_SEG} SELECT doc_id, count(*) AS n_segments, md5(any_value(text)) AS md5 FROM g JOIN documents USING (doc_id) GROUP BY doc_id",
     "paragraph_bounds": f"""{_L}, s AS (SELECT *, regexp_matches(line, '^(?:[A-ZÀ-Ý]\\S*[.,]|\\d+\\s*[-–—.)])') AS o FROM placed), t AS (SELECT *, CAST(sum(CASE WHEN o THEN 1 ELSE 0 END) OVER (PARTITION BY doc_id ORDER BY line_no) AS BIGINT) AS seq FROM s)
 SELECT doc_id, seq, left(trim(arg_min(CASE WHEN o THEN line ELSE '' END, line_no), ' '), 60) AS label, min(char_start) AS char_start, max(char_end) AS char_end FROM t WHERE seq > 0 GROUP BY doc_id, seq""",
     "table_blocks": f"""{_L}, c AS (SELECT doc_id, line_no, line_no - row_number() OVER (PARTITION BY doc_id ORDER BY line_no) AS run FROM placed WHERE contains(line, ' | ')),
@@ -217,7 +214,7 @@ r AS (SELECT doc_id, min(line_no) AS first_line, count(*) AS n_lines FROM c GROU
 SELECT doc_id, CAST(row_number() OVER (PARTITION BY doc_id ORDER BY first_line) AS INTEGER) AS block, first_line, n_lines FROM r""",
     "spacing_points": f"{_PTS} SELECT * FROM pts",
     "offset_remap": f"""{_PTS} SELECT doc_id, line_no, char_start, char_end, CAST(char_start + (SELECT count(*) FROM pts WHERE pts.doc_id = p.doc_id AND point <= char_start) AS INTEGER) AS new_start, CAST(char_end + (SELECT count(*) FROM pts WHERE pts.doc_id = p.doc_id AND point < char_end) AS INTEGER) AS new_end FROM placed p""",
-    "spacing_round_trip": "SELECT CAST(NULL AS BIGINT) AS doc_id, CAST(NULL AS INTEGER) AS line_no WHERE false",
+    "spacing_round_trip": f"{_L} SELECT p.doc_id, line_no, md5(substr(text, char_start + 1, char_end - char_start)) AS md5 FROM placed p JOIN documents d ON d.doc_id = p.doc_id",
     "furniture_lines": f"{_MARGIN} SELECT * FROM f",
     "without_furniture": f"{_MARGIN} SELECT source, count(*) AS n_lines, CAST(sum(length(m.line)) AS BIGINT) AS n_chars FROM m WHERE NOT (inm AND EXISTS (SELECT 1 FROM f WHERE f.source = m.source AND f.line = trim(m.line, ' '))) GROUP BY source",
     "word_multiset_diff": f"{_DIFF} SELECT doc_id, word, CAST(greatest(x - y, 0) AS BIGINT) AS missing, CAST(greatest(y - x, 0) AS BIGINT) AS extra FROM j WHERE x <> y",

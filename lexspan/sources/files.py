@@ -274,4 +274,4 @@ def version_folder(documents: DataFrame, folders: DataFrame) -> DataFrame:
     f = folders.select("folder", collapsed("folder").alias("key"), F.col("folder").alias("value"), F.col("folder").alias("ord")).filter("key <> ''")
     from ..operators.lookup import lookup
 
-    return lookup(d.withColumnRenamed("__d", "name"), "name", f.select("key", "value", "ord"), 6, longest=False).select("stem", F.col("value").alias("folder"))
+    return lookup(d.withColumnRenamed("__d", "name"), "name", f.select("key", "value", "ord"), 1, longest=False).select("stem", F.col("value").alias("folder"))

@@ -200,7 +200,7 @@ def test_acronyms_are_unique_and_stable(spark):
         assert first in (None, got)
         first = got
     by = {(a, b): c for a, b, c in first}
-    assert by[("1.402", "SITESE")] == "SITESE" and by[("5.10", "SNM")] == "SNM" and by[("14.23", "snm")].lower() == "snmmarinheiros"
+    assert by[("1.402", "SITESE")] == "SITESE" and by[("5.10", "SNM")] == "SNM" and by[("14.23", "snm")] == "snmarinheiros"
     fixed = spark.createDataFrame([("14.23", "snm", "SNM")], "lineage string, base string, acronym string")
     held = {(a, b): c for a, b, c in rows(acronyms.assign(spark.createDataFrame(orgs, t), fixed), "lineage", "base", "acronym")}
     assert held[("14.23", "snm")] == "SNM" and held[("5.10", "SNM")] != "SNM" and len({c.upper() for c in held.values()}) == len(held)
@@ -217,3 +217,73 @@ def test_geometry(spark):
     assert rows(geometry.without_hidden(page, hidden, ["page"]), "glyph_id") == [(1,), (2,), (4,)]
     cells = spark.createDataFrame([(1, 1, 2, "b "), (1, 1, 1, None), (1, 2, 1, ""), (1, 2, 2, None)], "t int, row_no int, column_no int, text string")
     assert rows(geometry.table_text(cells, ["t"]), "row_no", "line") == [(1, " | b")]
+
+
+ORG = "code string, name string, base string, municipality string, last_activity string"
+
+
+def assigned(spark, orgs, fixed=None):
+    held = None if fixed is None else spark.createDataFrame(fixed, "lineage string, base string, acronym string")
+    return {(a, b): c for a, b, c in rows(acronyms.assign(spark.createDataFrame([(*o, *("", "2020-01-01")[len(o) - 3 :]) for o in orgs], ORG), held), "lineage", "base", "acronym")}
+
+
+def test_acronym_cases(spark):
+    alone = [("1.1.0", "SINDICATO DOS PESCADORES DE SETUBAL", "SPS"), ("5.1.0", "ASSOCIACAO DOS ARMADORES DA PESCA", "ADAPLA")]
+    snm = [("1.402.1", "SINDICATO NACIONAL DOS MOTORISTAS", "SNM"), ("1.100.0", "SINDICATO NACIONAL DA MARINHA MERCANTE", "SNM")]
+    assert assigned(spark, alone) == {("1.1", "SPS"): "SPS", ("5.1", "ADAPLA"): "ADAPLA"}
+    assert assigned(spark, snm) == assigned(spark, snm[::-1]) == {("1.100", "SNM"): "SNM", ("1.402", "SNM"): "SNMotoristas"}
+    held = assigned(spark, snm, [("1.402", "SNM", "SNM")])
+    assert held[("1.402", "SNM")] == "SNM" and held[("1.100", "SNM")] == "SNMarinha"
+    assert set(assigned(spark, [("1.402.1", "SINDICATO DOS TRABALHADORES DE ESCRITORIO", "SITESE"), ("1.402.3", "SINDICATO DOS TRABALHADORES E TECNICOS", "SITESE")]).values()) == {"SITESE"}
+    case = assigned(spark, [("1.1.0", "ALGUMA COISA", "SNMotoristas"), ("2.1.0", "OUTRA COISA", "SNMOTORISTAS")])
+    assert len({c.upper() for c in case.values()}) == 2
+    many = assigned(spark, [(f"{i}.1.0", "ASSOCIACAO COMERCIAL DE ESPINHO", "ACE", "ESPINHO") for i in range(1, 40)])
+    assert len({c.upper() for c in many.values()}) == 39 and many[("1.1", "ACE")] == "ACE" and many[("2.1", "ACE")] == "ACEspinho"
+    long = assigned(spark, [("5.1.0", "ASSOCIACAO COMERCIAL DO CONCELHO DE GONDOMAR", "COMERCIALCONCELHO", "GONDOMAR"), ("5.2.0", "ASSOCIACAO COMERCIAL DO CONCELHO DE OEIRAS", "COMERCIALCONCELHO", "OEIRAS")])
+    assert long == {("5.1", "COMERCIALCONCELHO"): "COMERCIALCONCELHO", ("5.2", "COMERCIALCONCELHO"): "COMERCIALCONCEOeiras"[:14] + "Oeiras"}
+    # ladders of different bases that lead to the same word, in one pass
+    mixed = assigned(spark, [("1.1.0", "X", "SN"), ("2.1.0", "DOS MOTORISTAS", "SN"), ("3.1.0", "Y", "SNM"), ("4.1.0", "DOS MOTORISTAS", "SNM"), ("5.1.0", "Z", "SNMotoristas")])
+    assert len({c.upper() for c in mixed.values()}) == 5 and mixed[("5.1", "SNMotoristas")] == "SNMotoristas"
+    assert assigned(spark, [("7.1.0", "Empresa de Tecidos do Norte, SA", None)]) == {("7.1", "EmpresaTecidosNorte"): "EmpresaTecidosNorte"}
+
+
+def test_chains_of_any_depth(spark):
+    tree = spark.createDataFrame([(k, k - 1 if k > 1 else None, f"L{k}") for k in range(1, 20)] + [(50, 49, "lost parent"), (60, None, "alone")], "id int, up int, label string")
+    got = dict(rows(lookup.parents(tree, "id", "up", "label"), "id", "chain"))
+    assert got[19] == " > ".join(f"L{k}" for k in range(1, 19)) and got[1] == got[50] == got[60] == ""
+    below = rows(lookup.descendants(tree, "id", "up", tree.filter("id in (1, 17)").select("id")), "root", "node")
+    assert sorted(below) == sorted([("1", k) for k in range(2, 20)] + [("17", 18), ("17", 19)])
+    with pytest.raises(ValueError):
+        lookup.parents(spark.createDataFrame([(1, 2, "a"), (2, 1, "b")], "id int, up int, label string"), "id", "up", "label")
+
+
+def test_previous_of_a_hot_key(spark):
+    r = random.Random(4)
+    data = [(r.choice(["a", "a", "b", None]), n) for n in r.sample(range(1000), 200)]
+    got = {(x["k"], x["n"]): x["previous"] for x in lookup.previous_of(spark.createDataFrame(data, "k string, n int"), ["k"], "n", 64).collect()}
+    assert got == {(k, n): max((m for j, m in data if j == k and m < n), default=None) for k, n in data}
+
+
+def test_coverage_against_all_pairs(spark):
+    r = random.Random(6)
+    words = [f"w{k}" for k in range(30)] + ["the"] * 20
+    items = [(k, " ".join(r.choices(words, k=r.randint(0, 6)))) for k in range(40)]
+    docs = [(k, " ".join(r.choices(words, k=r.randint(0, 15)))) for k in range(60)]
+    split = F.filter(F.split("text", " "), lambda x: x != "")
+    got = {i: (d, s) for i, d, s in rows(lookup.best_coverage(spark.createDataFrame(items, "i int, text string"), ["i"], split, spark.createDataFrame(docs, "d int, text string"), ["d"], split, 0.5), "i", "d", "share")}
+    want = {}
+    for i, text in items:
+        own = set(text.split())
+        best = min(((-len(own & set(t.split())) / len(own), d) for d, t in docs), default=None) if own else None
+        if best and -best[0] >= 0.5:
+            want[i] = (best[1], -best[0])
+    assert got == want
+
+
+def test_short_keys_and_prefixes(spark):
+    names = spark.createDataFrame([("abcdefgh",), ("xy",), ("bcd",)], "name string")
+    keys = spark.createDataFrame([("cd", "v", 1), ("bcdefg", "w", 2), ("y", "z", 3), ("q", "n", 4), ("", "e", 5)], "key string, value string, ord int")
+    assert sorted(rows(lookup.contained_keys(names, "name", keys, 1), "name", "key")) == [("abcdefgh", "bcdefg"), ("abcdefgh", "cd"), ("bcd", "cd"), ("xy", "y")]
+    left = spark.createDataFrame([("aa_bb",), ("aa_bb_cc",), ("aa_bbx",), ("aa",)], "doc string")
+    right = spark.createDataFrame([("aa_bb", 1), ("aa", 2), ("aa_bb_cc_dd", 3)], "cut string, n int")
+    assert sorted(rows(lookup.prefix_lookup(left, "doc", right, "cut", "n", 2), "doc", "cut")) == [("aa", "aa"), ("aa_bb", "aa_bb"), ("aa_bb_cc", "aa_bb_cc_dd"), ("aa_bbx", "aa")]
