@@ -172,18 +172,22 @@ def matched(a: Sequence, b: Sequence, autojunk: bool = True) -> int:
 
 
 def order_ratio(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:
-    """(key, order_ratio, similarity): matched words in order over the reference's words (without junk heuristics), and difflib's ratio of the whole texts."""
+    """(key, order_ratio, similarity): matched words in order over the reference's words (without junk heuristics), and difflib's ratio of the whole texts, both without accents, case and
+    repeated white space."""
     schema = pairs.select(*key).schema.add("order_ratio", "double").add("similarity", "double")
 
     def run(frames):
         import re
 
+        from .diff import comparable
+
         for frame in frames:
             order, alike = [], []
             for x, y in zip(frame["__a"], frame["__b"]):
                 x, y = x or "", y or ""
                 u, v = re.findall(r"\w+", x), re.findall(r"\w+", y)
                 order.append(matched(u, v, autojunk=False) / len(u) if u and v else 1.0)
+                x, y = comparable(x), comparable(y)
                 alike.append(2.0 * matched(x, y) / (len(x) + len(y)) if x or y else 1.0)
             yield pd.concat([frame[key].reset_index(drop=True), pd.DataFrame({"order_ratio": order, "similarity": alike})], axis=1)
 

@@ -110,17 +110,17 @@ REGISTRY = "chave string, ano int, num_bte int, familia string, tipo string, pos
 
 
 def read_registry(spark: SparkSession, path: str) -> tuple[DataFrame, DataFrame]:
-    """(entries, rejected lines) of a JSONL registry: of lines with one key the last wins; broken ones, or without a key, are kept apart."""
+    """(entries, rejected lines) of a JSONL registry: of lines with one key the last wins (``line_no`` is its first); broken ones, or without a key, are kept apart."""
     lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id()).filter(F.trim("value") != "")
     parsed = lines.withColumn("r", F.from_json("value", REGISTRY + ", _corrupt string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_corrupt"}))
     bad = F.col("r").isNull() | F.col("r._corrupt").isNotNull() | (F.coalesce("r.chave", F.lit("")) == "")
-    good = parsed.filter(~bad).groupBy(F.col("r.chave").alias("key")).agg(F.max_by("r", "line_no").alias("r"))
-    return good.select("r.*").drop("_corrupt"), parsed.filter(bad).select("line_no", "value")
+    good = parsed.filter(~bad).groupBy(F.col("r.chave").alias("key")).agg(F.max_by("r", "line_no").alias("r"), F.min("line_no").alias("line_no"))
+    return good.select("r.*", "line_no").drop("_corrupt"), parsed.filter(bad).select("line_no", "value")
 
 
 def registry_types(entries: DataFrame) -> DataFrame:
-    """(doc_id, type): the first entry of each named document."""
-    return entries.filter("nomeacao.doc_id is not null").groupBy(F.col("nomeacao.doc_id").alias("doc_id")).agg(F.min_by("tipo", "chave").alias("type"))
+    """(doc_id, type): of each named document the entry whose key comes first in the file."""
+    return entries.filter("nomeacao.doc_id is not null").groupBy(F.col("nomeacao.doc_id").alias("doc_id")).agg(F.min_by("tipo", F.struct("line_no", "chave")).alias("type"))
 
 
 def read_vocabulary(spark: SparkSession, path: str, key: str, value: str, allowed: list[str] | None = None, least: int = 0, last: bool = False) -> DataFrame:

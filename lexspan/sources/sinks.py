@@ -26,7 +26,7 @@ def write_catalogue(rows: DataFrame, path: str, columns: list[str], order: list[
 
 def write_registry(entries: DataFrame, path: str, key: str = "chave") -> None:
     """JSON lines in order of the key; Spark commits all or nothing."""
-    entries.orderBy(key).write.mode("overwrite").json(path)
+    entries.drop("line_no").orderBy(key).write.mode("overwrite").json(path)
 
 
 def append_correspondence(rows: DataFrame, path: str) -> None:
