@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, LongType
 
-from .common import components, fetch, materialize, union_min
+from .common import components, discard, fetch, materialize, union_min
 
 #: Most vectors that a rotation is fitted on, chosen by hash; classes that share a substring on average; probability that a pair at the threshold is missed.
 MOST_FITTED, AVERAGE, MISSED = 20_000, 64, 0.001
@@ -141,7 +141,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, most: int = 150
     slim = coded.select("label", "len", "cls", F.posexplode("keys").alias("t", "v"))
     bucket = ["label", "len", "t", "v"]
     sizes = slim.groupBy(*bucket).agg(F.count("*").alias("size")).filter("size > 1").select(*bucket, F.ceil(F.col("size") / most).cast("int").alias("s"))
-    dealt = slim.join(materialize(sizes), bucket).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
+    shared = materialize(sizes)
+    dealt = slim.join(shared, bucket).withColumn("mine", F.pmod(F.xxhash64("cls"), F.col("s")).cast("int"))
     shares = F.transform(F.sequence(F.lit(0), F.col("s") - 1), lambda k: F.struct(F.least("mine", k).alias("i"), F.greatest("mine", k).alias("j")))
     dealt = dealt.select(*bucket, "cls", "mine", F.explode(shares).alias("p")).select(*bucket, "cls", "mine", "p.i", "p.j")
     full = dealt.join(coded.select("cls", "embedding", "n", "code", "keys"), "cls")
@@ -171,7 +172,8 @@ def near_duplicates(vectors: DataFrame, threshold: float = 0.98, most: int = 150
     of = classes.select("cls", "rep", "n", "label", "embedding").join(links, "cls", "left").join(roots, "cls", "left")
     of = materialize(of.select("label", "embedding", "rep", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"), F.coalesce("root", "cls").alias("root")))
     least = materialize(of.groupBy("root").agg(F.min("rep").alias("component_id")))
-    of = materialize(of.join(least, "root").select("label", "embedding", "n_links", "component_id"))
+    of, roots_of = materialize(of.join(least, "root").select("label", "embedding", "n_links", "component_id")), of
+    discard(classes, coded, shared, found, roots_of, least)
     good = rows.filter(ok).join(of, ["label", "embedding"]).select("vec_id", "n_links", F.when(F.col("vec_id").isNotNull(), F.col("component_id")).cast("long").alias("component_id"))
     bad = rows.filter(~ok).select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").cast("long").alias("component_id"))
     return good.unionByName(bad).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))

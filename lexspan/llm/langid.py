@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fetch, map_text, materialize, utf8, worker_cache
+from .common import discard, fetch, map_text, materialize, utf8, worker_cache
 
 LETTER = re.compile(rb"[A-Za-z]")
 SCHEMA = "lang_pred string, score double"
@@ -202,7 +202,9 @@ def fit(docs: DataFrame, text: str = "text", lang: str = "lang", longest: int =
         table = kept[[f"n{k}" for k in range(len(langs))]].fillna(0).to_numpy(float) + add
         return dict(zip(kept["unit"], np.log10(table / (np.array([totals.get(name, 0) for name in langs], float) + add * max(len(kept), 1)))))
 
-    return Model(langs, best(counts.withColumnRenamed("word", "unit"), sizes, least_word), best(grams, gram_sizes, least_gram), longest)
+    model = Model(langs, best(counts.withColumnRenamed("word", "unit"), sizes, least_word), best(grams, gram_sizes, least_gram), longest)
+    discard(counts, grams)
+    return model
 
 
 def predict(docs: DataFrame, model: Model, carry: list[str], text: str = "text") -> DataFrame:

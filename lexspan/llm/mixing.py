@@ -40,13 +40,30 @@ def uniform(*columns: Column) -> Column:
     return (bits.cast("double") + 0.5) / float(1 << 52)
 
 
+def extra(rows: DataFrame, goal: DataFrame) -> DataFrame:
+    """(s, scale, top, certain) of each source: inclusion probabilities are scale * sqrt(size) up to the size ``top``, and 1 beyond, where ``certain`` words lie.
+
+    The scale makes the expected words of all the source's documents its need. It follows from running sums over the different sizes of a
+    source, one row each, from the largest down: the first size whose probability stays below 1 settles it.
+    """
+    per = rows.filter("size > 0").groupBy(F.col("__s").alias("s"), "size").agg((F.count("*") * F.col("size")).alias("words"))
+    per = per.join(goal.filter("need > 0").select(F.col("source").alias("__g"), "need"), F.col("s").eqNullSafe(F.col("__g")))
+    down = Window.partitionBy("s").orderBy(F.desc("size"))
+    larger = F.coalesce(F.sum("words").over(down.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    scale = (F.col("need") - F.col("larger")) / F.sum(F.col("words") * F.sqrt("size")).over(down.rowsBetween(0, Window.unboundedFollowing))
+    per = per.withColumn("larger", larger).withColumn("scale", scale)
+    first = F.max(F.when(F.col("scale") * F.sqrt("size") < 1, F.struct("size", "scale", "larger")))
+    return per.groupBy("s").agg(first.alias("x")).select("s", F.col("x.scale").alias("scale"), F.col("x.size").alias("top"), F.col("x.larger").alias("certain"))
+
+
 def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float = 1.5, most: int = 2, carry: tuple[str, ...] = ("doc_id",), text: str = "text", source: str = "source") -> DataFrame:
     """Append (size, source_size, target, copies, taken) to ``carry`` for every row of ``docs``.
 
-    Size is the number of words (null text: 0). A document should be taken target / source_size times. The whole part is
-    allocated as certain copies; the fraction is its inclusion probability p in a Pareto order sample: documents are
-    ranked by the odds of their random number divided by the odds of p, and the first ones in that order are taken
-    until the words of the source's target are met as nearly as its last document allows, a fixed size in words. The random number
+    Size is the number of words (null text: 0). A source's words should be taken target / source_size times. The whole part is
+    allocated to all its documents as certain copies. Of the rest every document has an inclusion probability p of its own that grows with the root of its
+    size, so that repeats go to documents more than to fragments, and such that the expected words are the source's need; where p would pass 1 the copy is certain too. The others
+    are a Pareto order sample: they are ranked by the odds of their random number divided by the odds of p, and the first ones in that order are taken
+    until the need is met as nearly as the last document allows, a fixed size in words. The random number
     comes from doc_id and text, so reruns agree and the rank of one document doesn't depend on others.
 
     The last document is found without sorting a source: sizes are summed in STEPS places of the order, then
@@ -61,13 +78,17 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float = 1.
     rows = materialize(rows)
     goal = materialize(targets(rows.select(F.col("__s").alias("source"), "size"), weights, total, float(most)))
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
-    p = F.col("ratio") - F.floor("ratio")
-    goal = goal.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("p", p).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size"))
+    goal = goal.withColumn("ratio", ratio).withColumn("whole", F.floor("ratio").cast("long")).withColumn("need", F.col("target") - F.col("whole") * F.col("source_size")).filter("source_size > 0 or ratio = 0")
+    rest = extra(rows, goal)
+    goal = goal.withColumnRenamed("source", "__s1").join(rest.withColumnRenamed("s", "__s2"), F.col("__s1").eqNullSafe(F.col("__s2")), "left")
+    goal = materialize(goal.select("__s1", "source_size", "target", "whole", "scale", "top", (F.col("need") - F.coalesce("certain", F.lit(0))).alias("need")))
     # one row per source, a table of checked size: broadcast only where Spark's own threshold allows
-    ranked = rows.join(goal.withColumnRenamed("source", "__s2"), F.col("__s").eqNullSafe(F.col("__s2")))
-    # rank by [u / (1 - u)] / [p / (1 - p)], turned into (0, 1) without changing the order, for equal places
+    ranked = rows.join(goal, F.col("__s").eqNullSafe(F.col("__s1")))
+    p = F.when((F.col("size") > 0) & (F.col("size") <= F.col("top")), F.col("scale") * F.sqrt("size"))
+    ranked = ranked.withColumn("p", p).withColumn("__sure", F.coalesce(F.col("size") > F.col("top"), F.lit(False)))
+    # the rank, turned into (0, 1) without changing the order
     odds = F.when(F.col("p") > 0, (F.col("__u") / (1 - F.col("__u"))) / (F.col("p") / (1 - F.col("p"))))
-    ranked = ranked.withColumn("__q", odds).withColumn("__x", F.col("__q") * F.col("p") / (1 - F.col("p") + F.col("__q") * F.col("p")))
+    ranked = ranked.withColumn("__q", odds).withColumn("__x", F.col("__q") / (1 + F.col("__q")))
     ranked = ranked.withColumn("__one", F.least(F.floor(F.col("__x") * STEPS), F.lit(STEPS - 1))).withColumn("__two", F.least(F.floor((F.col("__x") * STEPS - F.col("__one")) * STEPS), F.lit(STEPS - 1)))
     sums = materialize(ranked.filter("p > 0").groupBy(F.col("__s").alias("s"), F.col("__one").alias("one"), F.col("__two").alias("two")).agg(F.sum("size").alias("words"), F.max("need").alias("need")))
     # where each source's running sum meets its need: one place on the first level, then on the second
@@ -83,8 +104,8 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), total: float = 1.
     ahead = (F.col("__one") < F.col("c1")) | ((F.col("__one") == F.col("c1")) & (F.col("__two") < F.col("c2")))
     there = (F.col("__one") == F.col("c1")) & (F.col("__two") == F.col("c2"))
     out = [*[F.col(f"`{c}`") for c in held], "size", "source_size", "target"]
-    settled = placed.filter(~F.coalesce(there, F.lit(False)) | F.col("p").isNull() | (F.col("p") <= 0))
-    settled = settled.select(*out, (F.col("whole") + F.when(F.col("p") > 0, F.when(F.col("c1").isNull(), 1).when(ahead, 1).otherwise(0)).otherwise(0)).alias("copies"))
+    settled = placed.filter(~F.coalesce(there & (F.col("p") > 0), F.lit(False)))
+    settled = settled.select(*out, (F.col("whole") + F.when(F.col("__sure"), 1).when(F.col("p") > 0, F.when(F.col("c1").isNull(), 1).when(ahead, 1).otherwise(0)).otherwise(0)).alias("copies"))
     # a millionth of a source: its documents in order, up to the one whose inclusion is nearest to the need
     last = Window.partitionBy("__s").orderBy("__q", "size").rowsBetween(Window.unboundedPreceding, 0)
     final = placed.filter(F.coalesce(there, F.lit(False)) & (F.col("p") > 0)).withColumn("__upto", F.col("b2") + F.sum("size").over(last))

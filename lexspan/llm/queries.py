@@ -96,14 +96,25 @@ WITH d AS (
 ), r AS (
   SELECT *, CASE WHEN source_size > 0 THEN target / source_size ELSE 0.0::DOUBLE END AS ratio FROM g
 ), n AS (
-  SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, ratio - floor(ratio) AS p, target - CAST(floor(ratio) AS BIGINT) * source_size AS need FROM r
+  SELECT *, CAST(floor(ratio) AS BIGINT) AS whole, target - CAST(floor(ratio) AS BIGINT) * source_size AS need FROM r
+), z AS (
+  SELECT source, size, count(*) * size AS words FROM d WHERE size > 0 GROUP BY source, size
+), y AS (
+  SELECT z.*, n.need, CAST(coalesce(sum(words) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS BIGINT) AS larger,
+    sum(words * sqrt(size)) OVER (PARTITION BY z.source ORDER BY size DESC ROWS BETWEEN CURRENT ROW AND UNBOUNDED FOLLOWING) AS below
+  FROM z JOIN n ON z.source IS NOT DISTINCT FROM n.source WHERE n.need > 0
+), x AS (
+  SELECT source, max(size) AS top, arg_max((need - larger) / below, size) AS scale, arg_max(larger, size) AS certain FROM y WHERE (need - larger) / below * sqrt(size) < 1 GROUP BY source
+), m AS (
+  SELECT n.source, source_size, target, whole, top, scale, need - coalesce(certain, 0) AS need FROM n LEFT JOIN x ON n.source IS NOT DISTINCT FROM x.source
 ), j AS (
-  SELECT d.doc_id, d.source, d.size, n.source_size, n.target, n.whole, n.p, n.need,
-    CASE WHEN n.p > 0 THEN (d.u / (1 - d.u)) / (n.p / (1 - n.p)) END AS q
-  FROM d JOIN n ON d.source IS NOT DISTINCT FROM n.source
+  SELECT d.doc_id, d.source, d.size, d.u, m.source_size, m.target, m.whole, m.need, coalesce(d.size > m.top, false) AS sure, CASE WHEN d.size > 0 AND d.size <= m.top THEN m.scale * sqrt(d.size) END AS p
+  FROM d JOIN m ON d.source IS NOT DISTINCT FROM m.source
+), q AS (
+  SELECT *, CASE WHEN p > 0 THEN (u / (1 - u)) / (p / (1 - p)) END AS q FROM j
 ), c AS (
-  SELECT *, sum(size) OVER (PARTITION BY source ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS upto FROM j
+  SELECT *, sum(CASE WHEN p > 0 THEN size ELSE 0 END) OVER (PARTITION BY source, p > 0 ORDER BY q, size ROWS UNBOUNDED PRECEDING) AS upto FROM q
 )
-SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN p > 0 AND upto - size / 2.0::DOUBLE <= need THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
+SELECT doc_id, size, source_size, target, CAST((whole + CASE WHEN sure OR (p > 0 AND upto - size / 2.0::DOUBLE <= need) THEN 1 ELSE 0 END) * size AS BIGINT) AS taken FROM c
 """,
 }

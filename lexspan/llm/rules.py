@@ -97,13 +97,13 @@ def decision_list(rules: list[Rule]) -> Column:
     return out
 
 
-def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places: int = 32, most_rules: int = 8, most_conditions: int = 3, precision: float = 0.9, support: int = 5) -> list[Rule]:
+def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places: int = 32, most_rules: int | None = None, most_conditions: int = 3, precision: float = 0.9, support: int = 5) -> list[Rule]:
     """Rules for label 0, learned by sequential covering from ``counted`` (doc_id and COUNTS) and all of ``labels``.
 
     Two thirds of the labelled rows, by hash of doc_id, grow a rule: the condition with the largest information gain is added until only
     label 0 is covered or ``most_conditions`` are used. The other third prunes it: conditions fall off the end while
     (p - n) / (p + n) doesn't fall. A rule that doesn't keep ``precision`` is dropped, and the next begins with another feature. One that keeps ``precision`` on at least ``support`` rows of either part is emitted, what it covers is taken
-    away, and the next is grown. Rows that fail the base rule aren't used, for the list isn't asked about them.
+    away, and the next is grown, until none is found (or there are ``most_rules``). Rows that fail the base rule aren't used, for the list isn't asked about them.
 
     Every step is one aggregation of binned features over all labelled rows; the driver sees at most
     places * features * 4 counts. Rows with null or contradicting labels are left out; without usable labels the list is empty.
@@ -144,7 +144,7 @@ def learn(counted: DataFrame, labels: DataFrame, label: str = "quality", places:
 
     rules: list[Rule] = []
     left, refused = binned, set()
-    while len(rules) < most_rules and len(refused) < len(FEATURES):
+    while (most_rules is None or len(rules) < most_rules) and len(refused) < len(FEATURES):
         conditions: list[Condition] = []
         rows, found = left, counts(left)
         trail = [total(found, False)]  # on the pruning part, after each condition

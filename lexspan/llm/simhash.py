@@ -11,7 +11,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import components, map_text, materialize, union_min
+from .common import components, discard, map_text, materialize, union_min
 
 BITS, BLOCKS = 64, 4
 #: Rows that a task joins at a time.
@@ -203,6 +203,7 @@ def near_duplicates(docs: DataFrame, text: str = "text", doc_id: str = "doc_id",
     of = materialize(of)
     least = materialize(of.groupBy("root").agg(F.min("rep").alias("component_id")))
     final = materialize(of.join(least, "root").select("fp", "component_id"))
+    discard(points, roots, of, least)
     out = prints.join(final, "fp", "left")
     return out.select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(False)).alias("kept"))
 
@@ -368,9 +369,9 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "row")
     nodes = materialize(prints.groupBy("digest").agg(F.min("row").alias("rep"), F.min(first).alias("first"), F.min(F.struct("fp", "sk", "bytes", "bands")).alias("x")).select("digest", "rep", "first", "x.*"))
     dealt = nodes.select("rep", "fp", "sk", F.explode(F.array_distinct("bands")).alias("bucket"))
-    sizes = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("bytes")).filter("n > 1"))
+    near = materialize(dealt.groupBy("bucket").agg(F.count("*").alias("n"), F.lit(0).cast("long").alias("bytes")).filter("n > 1"))
     need = similarity - 4 * float(np.sqrt(similarity * (1 - similarity) / SKETCH))
-    groups = materialize(components(linked(shared_out(dealt, "bucket", sizes, most), budget, need)).withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"))
+    groups = materialize(components(linked(shared_out(dealt, "bucket", near, most), budget, need)).withColumnRenamed("node", "rep").withColumnRenamed("root", "grp"))
     few = materialize(nodes.select("rep", "fp", "sk", "bytes").join(groups, "rep"))
     sets = materialize(map_text(read.select(F.col("row").alias("rep"), "text").join(few, "rep"), whole, "set binary", ["rep", "fp", "sk", "grp", "bytes"]))
     sizes = materialize(sets.groupBy("grp").agg(F.count("*").alias("n"), F.sum("bytes").alias("bytes")))
@@ -379,5 +380,6 @@ def similar_documents(docs: DataFrame, text: str = "text", doc_id: str = "doc_id
     of = materialize(nodes.join(roots, "rep", "left").select("digest", "first", F.coalesce("root", "rep").alias("root")))
     least = materialize(of.groupBy("root").agg(F.min("first").alias("least")))
     final = materialize(of.join(least, "root").select("digest", "least"))
+    discard(nodes, near, groups, few, sets, sizes, roots, of, least, *([] if row else [read]))
     out = prints.select("doc_id", "row", "digest").join(final, "digest")
     return out.select("doc_id", *([F.col("row").alias(row)] if row else []), F.col("least.doc_id").alias("component_id"), (F.col("row") == F.col("least.row")).alias("kept"))

@@ -57,6 +57,31 @@ def test_mix_meets_targets_and_repeats(spark):
         assert abs(r["t"] - r["g"]) <= 20
 
 
+def test_inclusion_probabilities_are_unequal_and_meet_the_need(spark):
+    """Expected words are the need; longer documents are likelier; what would pass 1 is certain."""
+    sizes = [1] * 50 + [10] * 30 + [400] * 5 + [5000]
+    rows = spark.createDataFrame([("s", n) for n in sizes], "__s string, size long")
+    for share in (0.05, 0.3, 0.6, 0.95):
+        need = share * sum(sizes)
+        goal = spark.createDataFrame([("s", need), ("other", 0.0)], "source string, need double")
+        r = mixing.extra(rows, goal).first()
+        p = [1.0 if n > r["top"] else r["scale"] * n**0.5 for n in sizes]
+        assert sum(x * n for x, n in zip(p, sizes)) == pytest.approx(need) and max(p) <= 1 and p[0] < p[60] < p[-1]
+        assert r["certain"] == sum(n for n in sizes if n > r["top"])
+
+
+def test_pareto_sample_follows_its_probabilities(spark):
+    """Over many sets of random numbers documents are taken about as often as their probabilities say."""
+    sizes, taken, rounds = [5, 5, 5, 20, 20, 60, 60, 200], None, 150
+    docs = spark.createDataFrame([(k, " ".join(["w"] * n), f"r{i}") for i in range(rounds) for k, n in enumerate(sizes)], "doc_id long, text string, source string")
+    docs = docs.withColumn("doc_id", F.xxhash64("doc_id", "source")).withColumn("source", F.col("source"))
+    out = mixing.mix(docs, weights=(1,), total=1.4).groupBy("size").agg(F.avg(F.col("copies") - 1).alias("p")).collect()
+    taken = {r["size"]: r["p"] for r in out}
+    r = mixing.extra(spark.createDataFrame([("s", n) for n in sizes], "__s string, size long"), spark.createDataFrame([("s", 0.4 * sum(sizes))], "source string, need double")).first()
+    for n in set(sizes):
+        assert abs(taken[n] - (1.0 if n > r["top"] else r["scale"] * n**0.5)) < 0.15
+
+
 def test_mix_of_nothing(spark, empty):
     assert mixing.mix(empty).count() == 0
     blank = spark.createDataFrame([(1, None, None), (2, "", "s")], "doc_id long, text string, source string")
