@@ -19,7 +19,10 @@ LEAST_QUALITY = 0.3
 
 
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose language is known; the model is learned from the rows of this stage's input that have one."""
+    """Documents whose language is known; the model is learned from the rows of this stage's input that have one.
+
+    Null and empty texts, and texts without a letter, go; ties between languages go to the first by code point; an empty table stays empty.
+    """
     session(spark)
     model = langid.fit(docs.filter(fold("doc_id", 4) != 2))
     judged = langid.predict(docs.withColumns({"__lang": F.col("lang"), "__body": F.col("text")}), model, ["__body", *docs.columns])
@@ -27,7 +30,10 @@ def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the quality classifier, learned on labelled rows of this stage's input, predicts as good."""
+    """Documents that the quality classifier, learned on labelled rows of this stage's input, predicts as good.
+
+    Null and empty texts have a score too; repeated rows are judged alike; an empty table stays empty.
+    """
     session(spark)
     labels = table(spark, sf_dir, "labels").filter(fold("doc_id", 5) != 0)
     model = quality.fit(docs, labels, "quality")
@@ -50,14 +56,20 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The mix: every document as often as it is taken."""
+    """The mix: every document as often as it is taken.
+
+    Documents without a word weigh nothing and are taken as often as their source's whole copies say; rows that tie in the order are taken by size; an empty table stays empty.
+    """
     session(spark)
     taken = mixing.mix(docs, carry=tuple(docs.columns))
     return taken.withColumn("__copy", F.explode(F.sequence(F.lit(1), F.greatest("copies", F.lit(1))))).filter("copies > 0").select(*docs.columns)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of at most 4096 tokens with their sequence and place."""
+    """Pieces of at most 4096 tokens with their sequence and place.
+
+    A null or empty text is the end token alone; pieces of equal length are ordered by a hash of their row; an empty table gives an empty result.
+    """
     session(spark)
     return packing.best_fit_packing(docs, tokenizer_path())
 
