@@ -10,6 +10,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.text import fold_text
+
 #: Similarity from which bodies are equal, the same clause renumbered, and the same number is believed. Fixed values.
 EQUAL, RENUMBERED, SAME_NUMBER, SAME_TITLE = 0.995, 0.75, 0.5, 0.8
 SCHEMA = "new_label string, old_label string, class string, similarity double, renumbered boolean, diff string"
@@ -36,6 +38,23 @@ def body(text: str) -> str:
     return rest if mark else text
 
 
+def most_alike(text: str, others: dict[int, str], least: float) -> tuple[int, float] | None:
+    """The most similar of the others and its ratio, the first of equals, if it reaches ``least``.
+
+    Lengths bound a ratio from above, and so do counts of letters: others are tried from the highest bound down, until none can win.
+    """
+    bound = {j: 2 * min(len(o), len(text)) / (len(o) + len(text)) if o or text else 1.0 for j, o in others.items()}
+    none = -len(others) - max(others, default=0) - 1
+    best = (least, none)
+    for j in sorted(bound, key=lambda j: (-bound[j], j)):
+        if bound[j] < best[0]:
+            break
+        pair = difflib.SequenceMatcher(None, others[j], text)
+        if pair.quick_ratio() >= best[0]:
+            best = max(best, (pair.ratio(), -j))
+    return None if best[1] == none else (-best[1], best[0])
+
+
 def match_clauses(new: list[tuple], old: list[tuple]) -> list[tuple]:
     """Rows of SCHEMA for two lists of clauses (label, key, title, text) in order.
 
@@ -43,51 +62,46 @@ def match_clauses(new: list[tuple], old: list[tuple]) -> list[tuple]:
     is left takes, in order, the free old clause that is most alike, from RENUMBERED on; the first of equals. Then new ones are new
     and old ones removed.
     """
-    free, rows, waiting = dict(enumerate(old)), {}, []
+    plain = {j: comparable(body(o[3])) for j, o in enumerate(old)}
+    by_key: dict[str, list[int]] = {}
+    for j, o in enumerate(old):
+        by_key.setdefault(o[1], []).append(j)
 
-    def record(k: int, j: int, moved: bool) -> None:
-        a, b = body(free[j][3]), body(new[k][3])
-        alike = similarity(a, b)
+    def matched(label: str, text: str, j: int, moved: bool) -> tuple:
+        alike = difflib.SequenceMatcher(None, plain.pop(j), comparable(body(text))).ratio()
         same = alike >= EQUAL
-        rows[k] = (new[k][0], free.pop(j)[0], "=" if same else "alteracao", round(alike, 3), moved, "" if same else line_diff(a, b))
-
-    order = []
-    for k, (_, key, title, text) in enumerate(new):
-        j = next((j for j, o in free.items() if key and o[1] == key), None)
-        if j is not None and (similarity(body(free[j][3]), body(text)) >= SAME_NUMBER or (title and similarity(title, free[j][2]) >= SAME_TITLE)):
-            record(k, j, False)
-            order.append(k)
-        else:
-            waiting.append(k)
-    for k in waiting:
-        text = body(new[k][3])
-        # an upper bound on the ratio, from lengths alone, spares most comparisons
-        best, top = None, 0.0
-        for j, o in free.items():
-            a, b = comparable(body(o[3])), comparable(text)
-            if 2 * min(len(a), len(b)) <= top * (len(a) + len(b)):
-                continue
-            ratio = difflib.SequenceMatcher(None, a, b).ratio()
-            if ratio > top:
-                best, top = j, ratio
-        if best is not None and top >= RENUMBERED:
-            record(k, best, True)
+        return (label, old[j][0], "=" if same else "alteracao", round(alike, 3), moved, "" if same else line_diff(body(old[j][3]), body(text)))
+
+    rows, waiting = [], []
+    for label, key, title, text in new:
+        queue = by_key.get(key) if key else None
+        j = queue[0] if queue else None
+        if j is not None and (difflib.SequenceMatcher(None, plain[j], comparable(body(text))).ratio() >= SAME_NUMBER or title and similarity(title, old[j][2]) >= SAME_TITLE):
+            rows.append(matched(label, text, queue.pop(0), False))
         else:
-            rows[k] = (new[k][0], None, "nova", 0.0, False, text.strip()[:600])
-        order.append(k)
-    return [rows[k] for k in order] + [(None, o[0], "removida", 0.0, False, body(o[3]).strip()[:600]) for o in free.values()]
+            waiting.append((label, text))
+    for label, text in waiting:
+        found = most_alike(comparable(body(text)), plain, RENUMBERED)
+        rows.append(matched(label, text, found[0], True) if found else (label, None, "nova", 0.0, False, body(text).strip()[:600]))
+    return rows + [(None, old[j][0], "removida", 0.0, False, body(old[j][3]).strip()[:600]) for j in sorted(plain)]
 
 
 def compare_versions(new: DataFrame, old: DataFrame, pair: list[str]) -> DataFrame:
     """Clause by clause classes for pairs of versions: (pair, SCHEMA).
 
-    ``new`` and ``old`` have (pair, ord, label, key, title, text). A match takes a clause from those that follow, so a pair is matched in
-    one task; pairs are independent. A pair holds the clauses of two documents.
+    ``new`` and ``old`` have (pair, ord, label, key, title, text). Clauses whose number occurs once in either version and whose bodies are equal are matched natively: nothing
+    else could take them. Of the rest a match takes a clause from those that follow, so a pair's changed clauses are matched in one task; pairs are independent.
     """
+    once = lambda df: df.withColumn("__n", F.when(F.col("key").isNotNull(), F.count("*").over(Window.partitionBy(*pair, "key"))))
+    cut = F.regexp_replace("text", r"^[^\n]*\n", "")
+    print_ = lambda df, side: df.filter("__n = 1").select(*pair, "key", F.col("label").alias(side), F.sha2(fold_text(cut), 256).alias("__h"))
+    new, old = once(new), once(old)
+    equal = print_(new, "new_label").join(print_(old, "old_label"), [*pair, "key", "__h"]).drop("__h")
+    exact = equal.select(*pair, "new_label", "old_label", F.lit("=").alias("class"), F.lit(1.0).alias("similarity"), F.lit(False).alias("renumbered"), F.lit("").alias("diff"))
     fields = new.select(*pair).schema
     for f in SCHEMA.split(", "):
         fields = fields.add(*f.split(" "))
-    sides = new.withColumn("__side", F.lit(1)).unionByName(old.withColumn("__side", F.lit(0)))
+    sides = new.withColumn("__side", F.lit(1)).unionByName(old.withColumn("__side", F.lit(0))).drop("__n").join(equal.select(*pair, "key"), [*pair, "key"], "left_anti")
 
     def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
         frame = frame.sort_values("ord", kind="stable")
@@ -97,7 +111,7 @@ def compare_versions(new: DataFrame, old: DataFrame, pair: list[str]) -> DataFra
             out.insert(0, name, value)
         return out
 
-    return sides.groupBy(*pair).applyInPandas(run, fields)
+    return exact.unionByName(sides.groupBy(*pair).applyInPandas(run, fields))
 
 
 def comparison_clauses(nodes: DataFrame) -> DataFrame:

@@ -102,10 +102,14 @@ def ordinals(rows: DataFrame, part: list[str], assigned: str, order: list[str])
     return have.unionByName(new)
 
 
-def earlier_names(rows: DataFrame, key: list[str], order: list[str], name: str) -> DataFrame:
-    """Append ``earlier``: names of all rows of the key before this one, joined by ``; ``."""
+def earlier_names(rows: DataFrame, key: list[str], order: list[str], name: str, whole: bool = False) -> DataFrame:
+    """Append (previous, n_earlier): of the rows of the key before this one the last one's name, and how many there are.
+
+    With ``whole`` all their names are gathered too, as ``earlier``, joined by ``; ``: that grows with the square of a key's rows and is for keys known to be small.
+    """
     before = Window.partitionBy(*key).orderBy(*order).rowsBetween(Window.unboundedPreceding, -1)
-    return rows.withColumn("earlier", F.array_join(F.collect_list(name).over(before), "; "))
+    out = rows.withColumn("previous", F.lag(name).over(Window.partitionBy(*key).orderBy(*order))).withColumn("n_earlier", F.count(F.lit(1)).over(before))
+    return out.withColumn("earlier", F.array_join(F.collect_list(name).over(before), "; ")) if whole else out
 
 
 def chain_refs(chain) -> Column:

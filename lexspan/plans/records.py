@@ -148,7 +148,7 @@ def prefix_boundary_join(spark, sf_dir):
 
 def earlier_names(spark, sf_dir):
     o = table(spark, sf_dir, "orders").select("o_custkey", "o_orderdate", "o_orderkey", F.concat(F.lit("o"), F.col("o_orderkey")).alias("name"))
-    return registry.earlier_names(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "name").select("o_orderkey", "earlier")
+    return registry.earlier_names(o, ["o_custkey"], ["o_orderdate", "o_orderkey"], "name").select("o_orderkey", "previous", "n_earlier")
 
 
 def number_jumps(spark, sf_dir):
@@ -300,7 +300,7 @@ SELECT p_partkey, array_to_string(list_filter(parts, lambda x: NOT regexp_matche
     "prefix_boundary_join": """WITH c AS (SELECT '2025_BTE_31_PRI_000_' || lpad(CAST(c_custkey AS VARCHAR), 6, '0') || '_' || c_mktsegment AS doc, CAST(24 + c_custkey % 12 AS INTEGER) AS n, c_custkey FROM customer), r AS (SELECT left(doc, n) AS cut, c_custkey FROM c),
 j AS (SELECT doc, cut, row_number() OVER (PARTITION BY doc ORDER BY length(cut) DESC, r.c_custkey) AS k FROM c JOIN r ON starts_with(doc, cut) AND (length(doc) = length(cut) OR substr(doc, length(cut) + 1, 1) = '_'))
 SELECT c.doc, j.cut FROM c LEFT JOIN j ON j.doc = c.doc AND j.k = 1""",
-    "earlier_names": "SELECT o_orderkey, coalesce(string_agg('o' || o_orderkey, '; ') OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), '') AS earlier FROM orders",
+    "earlier_names": "SELECT o_orderkey, lag('o' || o_orderkey) OVER w AS previous, row_number() OVER w - 1 AS n_earlier FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)",
     "number_jumps": "SELECT l_orderkey, CAST(sum(CASE WHEN b IS NOT NULL AND num <> b + 1 THEN 1 ELSE 0 END) AS BIGINT) AS jumps FROM (SELECT l_orderkey, l_partkey % 4 AS num, lag(l_partkey % 4) OVER (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey) AS b FROM lineitem) x GROUP BY l_orderkey",
     "forward_fill": "SELECT conv_id, turn, last_value(CASE WHEN role = 'user' THEN turn END IGNORE NULLS) OVER (PARTITION BY conv_id ORDER BY turn ROWS UNBOUNDED PRECEDING) AS last_user FROM conversations",
     "context_chain": """SELECT 'r' || r_regionkey AS id, '' AS chain FROM region UNION ALL SELECT 'n' || n_nationkey, r_name FROM nation JOIN region ON r_regionkey = n_regionkey
