@@ -108,7 +108,8 @@ def column_bands(spark, sf_dir):
 
 
 def gap_runs(spark, sf_dir):
-    return geometry.gap_runs_on(glyphs(spark, sf_dir).withColumn("x0", F.col("x0") + F.col("glyph_id") / 16).withColumn("x1", F.col("x0") + 1), PAGE, F.lit(120.0))
+    out = geometry.gap_runs_on(glyphs(spark, sf_dir).withColumn("x0", F.col("x0") + F.col("glyph_id") / 16).withColumn("x1", F.col("x0") + 1), PAGE, F.lit(120.0))
+    return out.select("page", F.coalesce("runs_on", F.lit(False)).alias("runs_on"))
 
 
 def turned_areas(spark, sf_dir):
@@ -285,7 +286,7 @@ WHERE a.area < o.area AND greatest(least(a.x1, o.x1) - greatest(a.x0, o.x0), 0)
     "column_bands": f"""WITH {_G}, s AS (SELECT page, glyph_id, x0, top * 10 + glyph_id AS top, x0 < 120 AND x0 + CASE WHEN font = 0 THEN 200 ELSE 5 END > 120 AS "full" FROM g),
 t AS (SELECT *, lag("full") OVER w AS f, lag(top + 8) OVER w AS b FROM s WINDOW w AS (PARTITION BY page ORDER BY top, x0)) SELECT page, glyph_id, "full", CAST(sum(CASE WHEN f <> "full" OR top - b >= 24 THEN 1 ELSE 0 END) OVER (PARTITION BY page ORDER BY top, x0) AS BIGINT) AS band FROM t""",
     "gap_runs": f"""WITH {_G}, s AS (SELECT page, x0 + glyph_id / 16.0::DOUBLE AS x0 FROM g), t AS (SELECT page, x0, lag(x0 + 1) OVER (PARTITION BY page ORDER BY x0) AS p FROM s), u AS (SELECT page, x0 - p AS gap, p <= 120 AND x0 >= 120 AS over_ FROM t WHERE p IS NOT NULL)
-SELECT page, max(gap) FILTER (WHERE over_) <= 1.2::DOUBLE * coalesce(max(gap) FILTER (WHERE NOT over_), 0) AS runs_on FROM u GROUP BY page""",
+SELECT page, coalesce(max(gap) FILTER (WHERE over_) <= 1.2::DOUBLE * coalesce(max(gap) FILTER (WHERE NOT over_), 0), false) AS runs_on FROM u GROUP BY page""",
     "turned_areas": f"WITH {_G} SELECT page, count(*) FILTER (WHERE direction <> 'upright') * 2 > count(*) AS turned FROM g GROUP BY page",
     "reading_keys": f"WITH {_G} SELECT page, glyph_id, CAST(row_number() OVER (PARTITION BY page ORDER BY direction = 'half', CASE WHEN direction = 'half' THEN -bottom ELSE top END, CASE WHEN direction = 'half' THEN -x1 ELSE x0 END, glyph_id) AS INTEGER) AS place FROM g",
     "item_order": f"""WITH {_G}, s AS (SELECT page AS doc, glyph_id AS item_no, CASE WHEN glyph_id % 3 > 0 THEN font END AS p, CASE WHEN x0 > 120 THEN 1 ELSE 0 END AS c, top FROM g),
