@@ -190,3 +190,67 @@ def test_ties_go_to_the_first_language(spark):
     docs = spark.createDataFrame([(1, "same words", "b"), (2, "same words", "a")], "doc_id long, text string, lang string")
     out = langid.predict(docs, langid.fit(docs), ["doc_id"]).collect()
     assert {(r["lang_pred"], round(r["score"], 6)) for r in out} == {("a", 0.5)}
+
+
+def test_ftrl_matches_its_definition():
+    """Plain dictionaries, one coordinate after the other, against the arrays."""
+    import math
+
+    r = np.random.default_rng(4)
+    model, z, n, bias = toxicity.Ftrl(l1=0.5), {}, {}, 1 << toxicity.SPACE_BITS
+
+    def weight(i):
+        a, l1 = z.get(i, 0.0), 0.0 if i == bias else model.l1
+        if i != bias and abs(a) <= l1:
+            return 0.0
+        return -(a - math.copysign(l1, a) * (a != 0)) / ((model.beta + math.sqrt(n.get(i, 0.0))) / model.alpha + model.l2)
+
+    for k in range(60):
+        x, y = r.choice(40, r.integers(0, 8), replace=False), float(r.integers(0, 2))
+        model.learn(x, y)
+        at = [*x.tolist(), bias]
+        w = {i: weight(i) for i in at}
+        g = (1 / (1 + math.exp(-sum(w.values()))) - y) * (model.weight if y else 1)
+        for i in at:
+            before = n.get(i, 0.0)
+            z[i] = z.get(i, 0.0) + g - (math.sqrt(before + g * g) - math.sqrt(before)) / model.alpha * w[i]
+            n[i] = before + g * g
+    every = model.weights(np.arange(41))
+    assert np.allclose(every, [weight(i) for i in range(41)], rtol=1e-12) and (every == 0).any() and (every != 0).any()
+    assert model.weights(np.array([bias]))[0] == pytest.approx(weight(bias))
+
+
+def test_the_first_step_follows_the_numeric_gradient():
+    """Adam's first step is the rate against the sign of the gradient, here taken by differences of the loss."""
+    r = np.random.default_rng(6)
+    x, y = r.normal(size=(10, 5)), np.array([0, 1] * 5)
+    fitted, start = quality.Network(5, hidden=4), quality.Network(5, hidden=4)
+    fitted.fit(x, y, epochs=1, rate=0.01)
+    start.mean, start.scale = x.mean(0), x.std(0)
+    order = np.random.default_rng(5).permutation(10)[2:]
+
+    def loss():
+        logits = start.logits(x[order])
+        return np.logaddexp(0, np.where(y[order] > 0, -1, 1) * logits).mean() + 5e-5 * sum((w * w).sum() for w in (start.w[0], start.w[2]))
+
+    for layer in range(4):
+        for at in np.ndindex(start.w[layer].shape):
+            held = start.w[layer][at]
+            start.w[layer][at] = held + 1e-5
+            up = loss()
+            start.w[layer][at] = held - 1e-5
+            slope = (up - loss()) / 2e-5
+            start.w[layer][at] = held
+            if abs(slope) > 1e-4:
+                assert fitted.w[layer][at] == pytest.approx(held - 0.01 * np.sign(slope), abs=1e-5)
+
+
+def test_equal_texts_and_scores_at_the_threshold(spark, corpus):
+    docs, labels = corpus
+    rows = spark.createDataFrame([(k, t) for k, t in enumerate(["th er on", "th er on", None, "", "idiot scum th"])], "doc_id long, text string")
+    for classifier, model in ((quality, quality.fit(docs, labels, "quality")), (toxicity, toxicity.fit(docs, labels, "toxic"))):
+        score = {r["doc_id"]: r["score"] for r in classifier.classify(rows, model, ["doc_id"]).collect()}
+        assert score[0] == pytest.approx(score[1], rel=1e-9) and score[2] == pytest.approx(score[3], rel=1e-9)
+    # a text without features scores the bias alone: a tie with the threshold is predicted
+    at = {r["doc_id"]: r["predicted"] for r in toxicity.classify(rows, model, ["doc_id"], threshold=score[2]).collect()}
+    assert at[2] == at[3] == 1 and at == {k: int(s >= score[2]) for k, s in score.items()}
