@@ -22,6 +22,11 @@ def col(c) -> Column:
     return F.col(c) if isinstance(c, str) else c
 
 
+def bind(value: Column, body) -> Column:
+    """``body`` of a value that is worked out once, however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_accents(c) -> Column:
     """Accents off: precomposed Latin letters by table, then loose combining marks."""
     return F.regexp_replace(F.translate(col(c), ACCENTED, PLAIN), MARKS, "")

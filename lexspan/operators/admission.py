@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.text import col
+from ..functions.text import bind, col
 from ..sources.files import doc_id_parts
 from .registry import DOWNLOADED, family
 
@@ -24,8 +24,8 @@ def lookup(values: dict[str, str], key: Column) -> Column:
 
 def name_family(name) -> Column:
     """The family that a file name declares in any of its schemes: by its type, or by the short scheme's token; null if it fits none."""
-    parts = doc_id_parts(col(name))
-    return F.when(parts["scheme"] == "short", lookup(SHORT_FAMILIES, parts["type"])).otherwise(family(parts["type"]))
+    parts = F.struct(doc_id_parts(col(name))["scheme"].alias("scheme"), doc_id_parts(col(name))["type"].alias("type"))
+    return bind(parts, lambda p: F.when(p["scheme"] == "short", lookup(SHORT_FAMILIES, p["type"])).otherwise(family(p["type"])))
 
 
 def suspected_family(name) -> Column:
@@ -37,7 +37,7 @@ def refused(files: DataFrame, name: str = "name") -> DataFrame:
     """(name, reason) of files that a thematic run must not take: whole issues, and families other than agreements. A run with any of them is refused."""
     stem = F.regexp_replace(name, r"(?i)\.pdf$", "")
     kind = F.coalesce(name_family(stem), suspected_family(stem))
-    reason = F.when(F.col(name).rlike(WHOLE_ISSUE), "whole issue").when(~kind.isin(*PROCESSED_FAMILIES), kind)
+    reason = F.when(F.col(name).rlike(WHOLE_ISSUE), "whole issue").otherwise(bind(kind, lambda k: F.when(~k.isin(*PROCESSED_FAMILIES), k)))
     return files.select(F.col(name).alias("name"), reason.alias("reason")).filter("reason is not null")
 
 

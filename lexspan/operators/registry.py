@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.text import acronym, col, messy_int, strip_accents, type_key
+from ..functions.text import acronym, bind, col, messy_int, strip_accents, type_key
 
 #: Document families by prefix of the type, the first that fits. Fixed values, in order of precedence.
 FAMILY_PREFIXES = [
@@ -23,10 +23,7 @@ LONGEST_NAME = 63
 def family(kind, prefixes: list[tuple[str, str]] = FAMILY_PREFIXES) -> Column:
     """The family of a document type: the first prefix that fits, null if none does."""
     plain = F.regexp_replace(F.upper(strip_accents(kind)), "[^A-Z0-9]", "")
-    out = F.when(F.lit(False), F.lit(None).cast("string"))
-    for prefix, name in prefixes:
-        out = out.when(F.startswith(plain, F.lit(prefix)), name)
-    return out
+    return bind(plain, lambda p: F.coalesce(*[F.when(F.startswith(p, F.lit(prefix)), name) for prefix, name in prefixes]))
 
 
 def path_part(url, place: int) -> Column:
