@@ -39,7 +39,7 @@ class Encoder:
     #: Letters that stay composed and whose lower case doesn't depend on their neighbours.
     LATIN = r"[\x00-\u012f\u0131-\u024f]*"
 
-    def __init__(self, path: str, most: int = 200_000, chunk: int = 1 << 20):
+    def __init__(self, path: str, most: int = 300_000, chunk: int = 1 << 20):
         import regex
         from tokenizers import Tokenizer
 
