@@ -9,7 +9,6 @@ from ..functions import text as fx
 from ..operators import geometry, lines, sanity, upkeep
 from .common import table
 
-P, S, L = F.col("l_partkey"), F.col("l_suppkey"), F.col("l_linenumber")
 PAGE = ["page"]
 
 
@@ -20,15 +19,15 @@ def _number():
 def glyphs(spark, sf_dir):
     """Line items as glyphs of their order's page."""
     rows = table(spark, sf_dir, "lineitem").withColumn("glyph_id", _number())
-    x0, top = (P % 300 - 20).cast("double"), (L * 7 + P % 5).cast("double")
-    return rows.select(F.col("l_orderkey").alias("page"), "glyph_id", F.when(S % 4 == 0, " ").otherwise(F.chr(97 + S % 26)).alias("text"), x0.alias("x0"), top.alias("top"), (x0 + 1 + S % 8).alias("x1"), (top + 8).alias("bottom"), (S % 3).cast("int").alias("font"), F.when(P % 3 == 0, "upright").when(P % 3 == 1, "left").otherwise("half").alias("direction"))
+    x0, top = (F.col("l_partkey") % 300 - 20).cast("double"), (F.col("l_linenumber") * 7 + F.col("l_partkey") % 5).cast("double")
+    return rows.select(F.col("l_orderkey").alias("page"), "glyph_id", F.when(F.col("l_suppkey") % 4 == 0, " ").otherwise(F.chr(97 + F.col("l_suppkey") % 26)).alias("text"), x0.alias("x0"), top.alias("top"), (x0 + 1 + F.col("l_suppkey") % 8).alias("x1"), (top + 8).alias("bottom"), (F.col("l_suppkey") % 3).cast("int").alias("font"), F.when(F.col("l_partkey") % 3 == 0, "upright").when(F.col("l_partkey") % 3 == 1, "left").otherwise("half").alias("direction"))
 
 
 def boxes(spark, sf_dir):
     """Line items as boxes."""
     rows = table(spark, sf_dir, "lineitem").withColumn("box_id", _number())
-    x0, top = (P % 50).cast("double"), (S % 20).cast("double")
-    return rows.select(F.col("l_orderkey").alias("page"), "box_id", x0.alias("x0"), top.alias("top"), (x0 + 5 + P % 37).alias("x1"), (top + 4 + S % 31).alias("bottom"))
+    x0, top = (F.col("l_partkey") % 50).cast("double"), (F.col("l_suppkey") % 20).cast("double")
+    return rows.select(F.col("l_orderkey").alias("page"), "box_id", x0.alias("x0"), top.alias("top"), (x0 + 5 + F.col("l_partkey") % 37).alias("x1"), (top + 4 + F.col("l_suppkey") % 31).alias("bottom"))
 
 
 def visible_glyphs(spark, sf_dir):
@@ -60,14 +59,14 @@ def line_tolerances(spark, sf_dir):
 
 def column_pages(spark, sf_dir):
     """Suppliers as pages of words in two columns; some have words across the middle."""
-    x0 = (P % 2 * 300 + P % 100).cast("double")
-    words = table(spark, sf_dir, "lineitem").select(S.alias("page"), x0.alias("x0"), (x0 + F.when((S % 3 == 0) & (P % 2 == 0), 250).otherwise(40)).alias("x1"))
+    x0 = (F.col("l_partkey") % 2 * 300 + F.col("l_partkey") % 100).cast("double")
+    words = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + F.when((F.col("l_suppkey") % 3 == 0) & (F.col("l_partkey") % 2 == 0), 250).otherwise(40)).alias("x1"))
     return geometry.two_columns(words, PAGE, F.lit(500.0))
 
 
 def box_columns(spark, sf_dir):
-    x0 = (P % 2 * 300 + P % 100).cast("double")
-    b = table(spark, sf_dir, "lineitem").select(S.alias("page"), x0.alias("x0"), (x0 + F.when((S % 3 == 0) & (P % 8 == 0), 250).otherwise(40)).alias("x1"))
+    x0 = (F.col("l_partkey") % 2 * 300 + F.col("l_partkey") % 100).cast("double")
+    b = table(spark, sf_dir, "lineitem").select(F.col("l_suppkey").alias("page"), x0.alias("x0"), (x0 + F.when((F.col("l_suppkey") % 3 == 0) & (F.col("l_partkey") % 8 == 0), 250).otherwise(40)).alias("x1"))
     return geometry.columns_of_boxes(b, PAGE, F.lit(500.0))
 
 
@@ -167,14 +166,14 @@ LINES = ["Boletim do Trabalho e Emprego, n.º 31, 22/8/2026", "22 agosto 2026",
 
 def furniture_forms(spark, sf_dir):
     """Lines made of furniture forms and numbers: which are furniture, which leave a residue, and what stays of them."""
-    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in LINES]), (P % len(LINES) + 1).cast("int")), F.when(S % 5 == 0, " ").otherwise(""))
+    line = F.concat(F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.col("l_partkey") % len(LINES) + 1).cast("int")), F.when(F.col("l_suppkey") % 5 == 0, " ").otherwise(""))
     rows = table(spark, sf_dir, "lineitem").groupBy(line.alias("line")).agg(F.count("*").alias("n"))
     return rows.select("line", sanity.is_furniture("line").alias("furniture"), sanity.margin_furniture("line").alias("margin"), sanity.has_residue("line").alias("residue"), F.trim(sanity.without_header_prefix("line")).alias("rest"), "n")
 
 
 def clean_pages(spark, sf_dir):
     """Pages of such lines, cleaned: lines kept by page."""
-    line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (P % len(LINES) + 1).cast("int"))
+    line = F.element_at(F.array(*[F.lit(x) for x in LINES]), (F.col("l_partkey") % len(LINES) + 1).cast("int"))
     rows = table(spark, sf_dir, "lineitem").select(F.col("l_orderkey").alias("page"), _number().alias("line_no"), line.alias("line"))
     return sanity.clean_page(rows, PAGE).groupBy("page").agg(F.count_if(~F.col("removed")).alias("kept"), F.count("*").alias("n"))
 

@@ -8,8 +8,6 @@ from ..functions import text as fx
 from ..operators import admission, catalogue, evaluation, registry
 from .common import table
 
-KEY = F.col("o_orderkey")
-
 
 def _pick(key, values: list):
     return F.element_at(F.array(*[F.lit(v) for v in values]), (key % len(values) + 1).cast("int"))
@@ -21,11 +19,11 @@ def _sql_pick(key: str, values: list) -> str:
 
 def _names(spark, sf_dir):
     """Orders as file names in three schemes, in none, and as whole issues."""
-    seq = F.format_string("%03d", KEY % 1000)
+    seq = F.format_string("%03d", F.col("o_orderkey") % 1000)
     name = (
-        F.when(KEY % 7 == 0, F.concat(F.lit("2026_BTE_31_PRI_"), seq, F.lit("_CCT-ALT_27251_A-B"))).when(KEY % 7 == 1, F.concat(F.lit("2026_BTE_31_PE_"), seq, F.lit("_0452A-2025_27251_A-B")))
-        .when(KEY % 7 == 2, F.concat(F.lit("2026_BTE_31_AA_"), seq, F.lit("_27251_A"))).when(KEY % 7 == 3, F.concat(F.lit("26_"), _pick(F.col("o_custkey"), ["PR", "PE", "AV", "AA", "ZZ"]), F.lit("_"), seq, F.lit("_BTE_31_A_B")))
-        .when(KEY % 7 == 4, F.concat(F.lit("2026_001_BTE_01_"), _pick(F.col("o_custkey"), ["PE", "PCT", "AA", "XX"]), F.lit("_"), seq)).when(KEY % 7 == 5, F.concat(F.lit("bte"), F.col("o_custkey"), F.lit("_2021"))).otherwise(F.concat(F.lit("texto "), seq))
+        F.when(F.col("o_orderkey") % 7 == 0, F.concat(F.lit("2026_BTE_31_PRI_"), seq, F.lit("_CCT-ALT_27251_A-B"))).when(F.col("o_orderkey") % 7 == 1, F.concat(F.lit("2026_BTE_31_PE_"), seq, F.lit("_0452A-2025_27251_A-B")))
+        .when(F.col("o_orderkey") % 7 == 2, F.concat(F.lit("2026_BTE_31_AA_"), seq, F.lit("_27251_A"))).when(F.col("o_orderkey") % 7 == 3, F.concat(F.lit("26_"), _pick(F.col("o_custkey"), ["PR", "PE", "AV", "AA", "ZZ"]), F.lit("_"), seq, F.lit("_BTE_31_A_B")))
+        .when(F.col("o_orderkey") % 7 == 4, F.concat(F.lit("2026_001_BTE_01_"), _pick(F.col("o_custkey"), ["PE", "PCT", "AA", "XX"]), F.lit("_"), seq)).when(F.col("o_orderkey") % 7 == 5, F.concat(F.lit("bte"), F.col("o_custkey"), F.lit("_2021"))).otherwise(F.concat(F.lit("texto "), seq))
     )
     return table(spark, sf_dir, "orders").select("o_orderkey", name.alias("name"))
 
@@ -40,30 +38,30 @@ def refused_files(spark, sf_dir):
 
 
 def resolved_subtypes(spark, sf_dir):
-    subtype, kind = admission.resolved_subtype("name", F.when(KEY % 5 == 0, "revisao_parcial").otherwise(""), F.when(KEY % 4 == 0, "AE-RECT").when(KEY % 4 == 1, "AE"))
+    subtype, kind = admission.resolved_subtype("name", F.when(F.col("o_orderkey") % 5 == 0, "revisao_parcial").otherwise(""), F.when(F.col("o_orderkey") % 4 == 0, "AE-RECT").when(F.col("o_orderkey") % 4 == 1, "AE"))
     return _names(spark, sf_dir).select("o_orderkey", subtype.alias("subtype"), kind.alias("type"))
 
 
 def entries_to_name(spark, sf_dir):
     o = table(spark, sf_dir, "orders")
-    entries = o.select(KEY.alias("key"), _pick(KEY, ["agreement", "extension", "notice", "accession"]).alias("family"), _pick(F.col("o_custkey"), ["descarregado", "falhado", "inalterado", "ignorado"]).alias("state"))
-    confirmed = o.filter("o_orderstatus <> 'P'").select(KEY.alias("key"))
+    entries = o.select(F.col("o_orderkey").alias("key"), _pick(F.col("o_orderkey"), ["agreement", "extension", "notice", "accession"]).alias("family"), _pick(F.col("o_custkey"), ["descarregado", "falhado", "inalterado", "ignorado"]).alias("state"))
+    confirmed = o.filter("o_orderstatus <> 'P'").select(F.col("o_orderkey").alias("key"))
     return admission.named_entries(entries, ["agreement", "notice", "accession"], confirmed).select("key")
 
 
 def long_names(spark, sf_dir):
     """Names in the long scheme; null where a part is missing or the name can't fit."""
-    kind, doc_type = _pick(KEY, ["agreement", "extension", "accession", "notice"]), _pick(KEY, ["CCT-ALT", "PE", "AA", "AVISO"])
-    order = F.struct((KEY % 500).cast("int").alias("number"), F.when(KEY % 3 == 0, "B").otherwise("").alias("suffix"), F.lit(2025).alias("year"))
-    code = F.when(F.col("o_custkey") % 4 == 0, "").otherwise(F.concat(F.lit("2"), F.format_string("%04d", KEY % 10000)))
-    head = registry.long_prefix(F.year("o_orderdate"), (KEY % 52).cast("int"), kind, F.lit("PRI"), doc_type, (KEY % 1000).cast("int"), order, code)
+    kind, doc_type = _pick(F.col("o_orderkey"), ["agreement", "extension", "accession", "notice"]), _pick(F.col("o_orderkey"), ["CCT-ALT", "PE", "AA", "AVISO"])
+    order = F.struct((F.col("o_orderkey") % 500).cast("int").alias("number"), F.when(F.col("o_orderkey") % 3 == 0, "B").otherwise("").alias("suffix"), F.lit(2025).alias("year"))
+    code = F.when(F.col("o_custkey") % 4 == 0, "").otherwise(F.concat(F.lit("2"), F.format_string("%04d", F.col("o_orderkey") % 10000)))
+    head = registry.long_prefix(F.year("o_orderdate"), (F.col("o_orderkey") % 52).cast("int"), kind, F.lit("PRI"), doc_type, (F.col("o_orderkey") % 1000).cast("int"), order, code)
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
     return o.select("o_orderkey", registry.compose_name(head, F.array(fx.acronym("c_name"), fx.acronym("c_mktsegment")), F.col("o_custkey") % 3).alias("name"))
 
 
 def short_names(spark, sf_dir):
-    kind = _pick(KEY, ["agreement", "extension", "accession", "notice"])
-    head = registry.short_prefix(F.year("o_orderdate"), kind, (KEY % 1000).cast("int"), (KEY % 52).cast("int"))
+    kind = _pick(F.col("o_orderkey"), ["agreement", "extension", "accession", "notice"])
+    head = registry.short_prefix(F.year("o_orderdate"), kind, (F.col("o_orderkey") % 1000).cast("int"), (F.col("o_orderkey") % 52).cast("int"))
     o = table(spark, sf_dir, "orders").join(table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_name", "c_mktsegment"), "o_custkey")
     return o.select("o_orderkey", registry.short_name(head, F.array(fx.acronym("c_name"), F.concat(fx.acronym("c_mktsegment"), F.lit("ABCDEFGHIJKLMNOPQRST"), fx.acronym("c_name")))).alias("name"))
 
@@ -80,11 +78,11 @@ def _items(spark, sf_dir):
     employer = F.when(c % 5 == 0, F.concat(F.lit("Câmara Municipal "), c)).when(c % 5 == 1, F.concat(F.lit("Empresa "), c, F.lit(", EM"))).otherwise(F.concat(F.lit("Empresa "), c, F.lit(", SA")))
     union = F.concat(F.lit("Sindicato "), "o_orderpriority")
     return table(spark, sf_dir, "orders").select(
-        F.when(KEY % 5 == 0, "").otherwise(F.concat(F.lit("doc_"), KEY)).alias("name"), F.when(c % 7 == 0, "check").alias("warnings"), _pick(KEY, ["CCT - ALT", "ae", "PE", "AVISO", "AA", "ST"]).alias("type"),
-        F.concat(F.lit("Acordo "), KEY).alias("title"), F.when(KEY % 4 == 0, union).otherwise(F.concat(employer, F.lit("; "), union)).alias("signatories"), F.when(KEY % 3 == 0, "Transportes; CAE 12; Transportes").otherwise("Comércio").alias("sectors"),
-        F.when(KEY % 2 == 0, F.concat(F.lit("CCT.20250708."), KEY % 400, F.lit("/2025; outra"))).alias("chain"), F.concat(F.lpad((KEY % 50).cast("string"), 4, "0"), F.lpad((KEY % 70).cast("string"), 4, "0"), F.lit(".pdf")).alias("file"), F.concat(F.lit("https://x/"), KEY).alias("url"),
-        F.when(KEY % 3 == 0, F.concat(F.lit("2"), F.lpad((KEY % 10000).cast("string"), 4, "0"))).when(KEY % 3 == 1, F.concat(F.lit("9"), F.lpad((KEY % 10000).cast("string"), 4, "0"))).otherwise("C-12").alias("code"), F.when(c % 2 == 0, "11111; 22222 33333").alias("base_codes"),
-        F.lit("452/2025").alias("order_ref"), F.lit(None).cast("string").alias("in_force"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"), F.year("o_orderdate").alias("year"), (KEY % 52).cast("int").alias("issue_no"), (KEY % 1000).cast("int").alias("yearly_no"),
+        F.when(F.col("o_orderkey") % 5 == 0, "").otherwise(F.concat(F.lit("doc_"), F.col("o_orderkey"))).alias("name"), F.when(c % 7 == 0, "check").alias("warnings"), _pick(F.col("o_orderkey"), ["CCT - ALT", "ae", "PE", "AVISO", "AA", "ST"]).alias("type"),
+        F.concat(F.lit("Acordo "), F.col("o_orderkey")).alias("title"), F.when(F.col("o_orderkey") % 4 == 0, union).otherwise(F.concat(employer, F.lit("; "), union)).alias("signatories"), F.when(F.col("o_orderkey") % 3 == 0, "Transportes; CAE 12; Transportes").otherwise("Comércio").alias("sectors"),
+        F.when(F.col("o_orderkey") % 2 == 0, F.concat(F.lit("CCT.20250708."), F.col("o_orderkey") % 400, F.lit("/2025; outra"))).alias("chain"), F.concat(F.lpad((F.col("o_orderkey") % 50).cast("string"), 4, "0"), F.lpad((F.col("o_orderkey") % 70).cast("string"), 4, "0"), F.lit(".pdf")).alias("file"), F.concat(F.lit("https://x/"), F.col("o_orderkey")).alias("url"),
+        F.when(F.col("o_orderkey") % 3 == 0, F.concat(F.lit("2"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))).when(F.col("o_orderkey") % 3 == 1, F.concat(F.lit("9"), F.lpad((F.col("o_orderkey") % 10000).cast("string"), 4, "0"))).otherwise("C-12").alias("code"), F.when(c % 2 == 0, "11111; 22222 33333").alias("base_codes"),
+        F.lit("452/2025").alias("order_ref"), F.lit(None).cast("string").alias("in_force"), F.date_format("o_orderdate", "yyyy-MM-dd HH:mm:ss").alias("date"), F.year("o_orderdate").alias("year"), (F.col("o_orderkey") % 52).cast("int").alias("issue_no"), (F.col("o_orderkey") % 1000).cast("int").alias("yearly_no"),
     )
 
 
@@ -151,7 +149,7 @@ def longest_fragments(spark, sf_dir):
 
 
 def label_types(spark, sf_dir):
-    label = F.concat(_pick(KEY, ["", "Anexo\\", "Texto\\"]), _pick(F.col("o_custkey"), ["PREÂMBULO", "Cláusula 1.ª", "Artigo 2.º - X", "Capítulo I", "Secção II", "Anexo A", "Nota", " Clausula 3"]), F.col("o_orderstatus"))
+    label = F.concat(_pick(F.col("o_orderkey"), ["", "Anexo\\", "Texto\\"]), _pick(F.col("o_custkey"), ["PREÂMBULO", "Cláusula 1.ª", "Artigo 2.º - X", "Capítulo I", "Secção II", "Anexo A", "Nota", " Clausula 3"]), F.col("o_orderstatus"))
     rows = table(spark, sf_dir, "orders").groupBy(label.alias("label")).agg(F.count("*").alias("n"))
     return rows.select("label", admission.label_type("label").alias("type"), "n")
 
