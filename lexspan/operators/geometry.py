@@ -9,6 +9,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 CELL = 16.0
+#: Boxes of a page that all its glyphs are compared with.
+FEW = 16
 
 
 def near_cells(*at: Column, size: float = CELL) -> Column:
@@ -68,11 +70,19 @@ def two_columns(words: DataFrame, page: list[str], width: Column, least: int = 4
 
 
 def inside(points: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
-    """(page, glyph_id, box_id): glyphs whose centre lies in a box, by an equi-join on grid cells."""
+    """(page, glyph_id, box_id): glyphs whose centre lies in a box.
+
+    Pages of up to FEW boxes meet their glyphs by page. Only on pages with more do both sides meet on grid cells: a box has a row for every cell there, so that side is
+    never broadcast, whatever its size is estimated at.
+    """
     x, y = (F.col("x0") + F.col("x1")) / 2, (F.col("top") + F.col("bottom")) / 2
-    p = points.select(*page, "glyph_id", x.alias("__x"), y.alias("__y")).withColumn("__c", F.struct(F.floor(F.col("__x") / CELL).alias("cx"), F.floor(F.col("__y") / CELL).alias("cy")))
-    b = boxes.select(*page, "box_id", "x0", "top", "x1", "bottom").withColumn("__c", F.explode(cells(F.col("x0"), F.col("top"), F.col("x1"), F.col("bottom"))))
-    return p.join(b, [*page, "__c"]).filter((F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")) & (F.col("__y") >= F.col("top")) & (F.col("__y") < F.col("bottom"))).select(*page, "glyph_id", "box_id").distinct()
+    p = points.select(*page, "glyph_id", x.alias("__x"), y.alias("__y"))
+    b = boxes.select(*page, "box_id", "x0", "top", "x1", "bottom").withColumn("__n", F.count("*").over(Window.partitionBy(*page)))
+    few, many = b.filter(F.col("__n") <= FEW), b.filter(F.col("__n") > FEW)
+    dense = p.join(many.select(*page).distinct(), page, "left_semi").withColumn("__c", F.struct(F.floor(F.col("__x") / CELL).alias("cx"), F.floor(F.col("__y") / CELL).alias("cy")))
+    placed = many.withColumn("__c", F.explode(cells(F.col("x0"), F.col("top"), F.col("x1"), F.col("bottom"))))
+    held = lambda pairs: pairs.filter((F.col("__x") >= F.col("x0")) & (F.col("__x") < F.col("x1")) & (F.col("__y") >= F.col("top")) & (F.col("__y") < F.col("bottom"))).select(*page, "glyph_id", "box_id").distinct()
+    return held(p.join(few, page)).unionByName(held(dense.hint("merge").join(placed.hint("merge"), [*page, "__c"])))
 
 
 def outside(points: DataFrame, boxes: DataFrame, page: list[str]) -> DataFrame:
