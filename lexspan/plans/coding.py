@@ -99,10 +99,15 @@ def triage_bands(spark, sf_dir):
     return coding.triage(notes, fit).groupBy("code", "band").agg(F.count("*").alias("n"))
 
 
+def _lowered(c):
+    """As the query's SQL has it: letter by letter lower case, runs of ASCII white space to one space, none at the ends."""
+    return F.regexp_replace(F.regexp_replace(F.lower(F.translate(F.col(c), "İΣ", "iσ")), r"[\s\x0B]+", " "), r"^ | \z", "")
+
+
 def segment_overlap(spark, sf_dir):
     """Benchmark items and document lines that overlap: either holds the other, or the longer one holds the head of the shorter."""
-    items = table(spark, sf_dir, "benchmark").select("item_id", evaluation.plain_lower("text").alias("seg"))
-    rows = doc_lines(spark, sf_dir).select("doc_id", "line_no", evaluation.plain_lower("line").alias("body"))
+    items = table(spark, sf_dir, "benchmark").select("item_id", _lowered("text").alias("seg"))
+    rows = doc_lines(spark, sf_dir).select("doc_id", "line_no", _lowered("line").alias("body"))
     return evaluation.overlapping(items, "item_id", "seg", rows, ["doc_id", "line_no"], "body")
 
 

@@ -1,8 +1,9 @@
 """What larger tables need: nothing is multiplied before it is dealt out, and both ways of a join give the same rows."""
 
-from pyspark.sql import functions as F
+import duckdb
 
 from lexspan.operators import geometry
+from lexspan.plans import coding
 
 
 def test_boxes_are_not_dealt_by_cell_where_a_page_has_few(spark):
@@ -26,3 +27,14 @@ def test_boxes_are_not_dealt_by_cell_where_a_page_has_few(spark):
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", before)
     assert "SortMergeJoin" in plan and sum("BroadcastHashJoin" in x and "__c" in x for x in plan.split("\n")) == 0
+
+
+def test_segment_overlap_follows_its_sql_on_odd_white_space_and_letters(spark, tmp_path):
+    texts = ["a b\u00a0c d", "a b c d", "word \u0085", "word", "\u2003x y", "x y", "İstanbul two three", "istanbul two three", "ΟΔΟΣ five six", "οδοσ five six", "tab\tand\x0bvt", "tab and vt", "", " "]
+    spark.createDataFrame(list(enumerate(texts)), "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").write.parquet(str(tmp_path / "documents.parquet"))
+    con = duckdb.connect()
+    for name in ("benchmark", "documents"):
+        con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
+    got = sorted(map(tuple, coding.segment_overlap(spark, str(tmp_path)).collect()))
+    assert got == sorted(con.execute(coding.ORACLE_SQL["segment_overlap"]).fetchall()) and len(got) > 10
