@@ -13,7 +13,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import discard, fetch, map_text, materialize, utf8, worker_cache
+from .common import discard, fetch, map_text, materialize, trim_memory, utf8, worker_cache
 
 LETTER = re.compile(rb"[A-Za-z]")
 SCHEMA = "lang_pred string, score double"
@@ -26,6 +26,12 @@ def has_letter(text: bytes | None) -> bool:
     return bool(text) and (LETTER.search(text) is not None or any(map(str.isalpha, text.decode("utf-8", "ignore"))))
 
 
+def clear_workers() -> None:
+    """Counting begins with empty caches: what another operator, or an earlier model, left in this worker is given back first."""
+    worker_cache("langid").clear()
+    trim_memory()
+
+
 def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", flush: int = 200_000) -> DataFrame:
     """(lang, word, n) over whole texts: A-Z lower-cased words counted per task, then summed by one shuffle.
 
@@ -33,6 +39,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", flush:
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_workers()
         seen: dict[str, Counter] = {}
         unbroken = 0
 
@@ -51,6 +58,7 @@ def word_counts(docs: DataFrame, text: str = "text", lang: str = "lang", flush:
                 yield from emit()
                 unbroken = 0
         yield from emit()
+        trim_memory()
 
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).filter("lang is not null and text is not null")
     return rows.mapInArrow(run, "lang string, word string, n long").groupBy("lang", "word").agg(F.sum("n").alias("n"))
@@ -150,6 +158,7 @@ def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFra
     """(lang, unit, n): all character n-grams up to ``longest`` of whole marked words, weighted by the words' counts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        clear_workers()
         seen: dict[str, dict[str, int]] = {}
 
         def emit() -> Iterator[pa.RecordBatch]:
@@ -172,6 +181,7 @@ def gram_counts(words: DataFrame, longest: int, flush: int = 300_000) -> DataFra
             if sum(map(len, seen.values())) > flush:
                 yield from emit()
         yield from emit()
+        trim_memory()
 
     return words.select("lang", "word", "n").mapInArrow(run, "lang string, unit string, n long").groupBy("lang", "unit").agg(F.sum("n").alias("n"))
 
