@@ -5,26 +5,58 @@ from __future__ import annotations
 import difflib
 import re
 import unicodedata
+from collections import Counter
+from collections.abc import Iterator
+from operator import itemgetter
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from ..functions.text import fold_text
+from .evaluation import matched, places_of
 
 #: Similarity from which bodies are equal, the same clause renumbered, and the same number is believed. Fixed values.
 EQUAL, RENUMBERED, SAME_NUMBER, SAME_TITLE = 0.995, 0.75, 0.5, 0.8
 SCHEMA = "new_label string, old_label string, class string, similarity double, renumbered boolean, diff string"
 
 
+class Unmarked(dict):
+    """For str.translate: combining marks go."""
+
+    def __missing__(self, code: int) -> int | None:
+        self[code] = None if unicodedata.category(chr(code)) == "Mn" else code
+        return self[code]
+
+
+UNMARKED = Unmarked()
+
+
 def comparable(text: str) -> str:
     """Accents off, lower case, white space squeezed."""
-    plain = "".join(c for c in unicodedata.normalize("NFD", text) if unicodedata.category(c) != "Mn")
+    plain = text if text.isascii() else unicodedata.normalize("NFD", text).translate(UNMARKED)
     return re.sub(r"\s+", " ", plain.lower()).strip()
 
 
+def share(n: int, size: int) -> float:
+    return 2.0 * n / size if size else 1.0
+
+
+def ratio(a: str, b: str, least: float = 0.0, places: dict | None = None) -> float:
+    """difflib's ratio, or -1 if it is lower than ``least``."""
+    size = len(a) + len(b)
+    need = int(least * size / 2)
+    while need and share(need - 1, size) >= least:
+        need -= 1
+    while share(need, size) < least:
+        need += 1
+    n = matched(a, b, need=need, places=places)
+    return share(n, size) if n >= 0 else -1.0
+
+
 def similarity(a: str, b: str) -> float:
-    return difflib.SequenceMatcher(None, comparable(a), comparable(b)).ratio()
+    return ratio(comparable(a), comparable(b))
 
 
 def line_diff(a: str, b: str) -> str:
@@ -38,20 +70,26 @@ def body(text: str) -> str:
     return rest if mark else text
 
 
-def most_alike(text: str, others: dict[int, str], least: float) -> tuple[int, float] | None:
+def most_alike(text: str, others: dict[int, str], least: float, letters: dict[int, Counter] | None = None) -> tuple[int, float] | None:
     """The most similar of the others and its ratio, the first of equals, if it reaches ``least``.
 
-    Lengths bound a ratio from above, and so do counts of letters: others are tried from the highest bound down, until none can win.
+    Lengths bound a ratio from above, and so do counts of letters: others are tried from the highest bound down, until none can win. ``letters`` keeps the others' counts.
     """
-    bound = {j: 2 * min(len(o), len(text)) / (len(o) + len(text)) if o or text else 1.0 for j, o in others.items()}
+    letters = {} if letters is None else letters
+    bound = {j: share(min(len(o), len(text)), len(o) + len(text)) for j, o in others.items()}
     none = -len(others) - max(others, default=0) - 1
     best = (least, none)
+    own = places = None
     for j in sorted(bound, key=lambda j: (-bound[j], j)):
         if bound[j] < best[0]:
             break
-        pair = difflib.SequenceMatcher(None, others[j], text)
-        if pair.quick_ratio() >= best[0]:
-            best = max(best, (pair.ratio(), -j))
+        if j not in letters:
+            letters[j] = Counter(others[j])
+        own, other = own or Counter(text), letters[j]
+        few, many = (own, other) if len(own) < len(other) else (other, own)
+        if share(sum([min(n, many[c]) for c, n in few.items() if c in many]), len(others[j]) + len(text)) >= best[0]:
+            places = places_of(text) if places is None else places
+            best = max(best, (ratio(others[j], text, best[0], places), -j))
     return None if best[1] == none else (-best[1], best[0])
 
 
@@ -67,22 +105,25 @@ def match_clauses(new: list[tuple], old: list[tuple]) -> list[tuple]:
     for j, o in enumerate(old):
         by_key.setdefault(o[1], []).append(j)
 
-    def matched(label: str, text: str, j: int, moved: bool) -> tuple:
-        alike = difflib.SequenceMatcher(None, plain.pop(j), comparable(body(text))).ratio()
+    def pair(label: str, text: str, j: int, moved: bool, alike: float) -> tuple:
+        del plain[j]
         same = alike >= EQUAL
         return (label, old[j][0], "=" if same else "alteracao", round(alike, 3), moved, "" if same else line_diff(body(old[j][3]), body(text)))
 
-    rows, waiting = [], []
+    rows, waiting, letters = [], [], {}
     for label, key, title, text in new:
-        queue = by_key.get(key) if key else None
+        queue, own = by_key.get(key) if key else None, comparable(body(text))
         j = queue[0] if queue else None
-        if j is not None and (difflib.SequenceMatcher(None, plain[j], comparable(body(text))).ratio() >= SAME_NUMBER or title and similarity(title, old[j][2]) >= SAME_TITLE):
-            rows.append(matched(label, text, queue.pop(0), False))
+        alike = ratio(plain[j], own, SAME_NUMBER) if j is not None else -1.0
+        if j is not None and alike < 0 and title and similarity(title, old[j][2]) >= SAME_TITLE:
+            alike = ratio(plain[j], own)
+        if alike >= 0:
+            rows.append(pair(label, text, queue.pop(0), False, alike))
         else:
-            waiting.append((label, text))
-    for label, text in waiting:
-        found = most_alike(comparable(body(text)), plain, RENUMBERED)
-        rows.append(matched(label, text, found[0], True) if found else (label, None, "nova", 0.0, False, body(text).strip()[:600]))
+            waiting.append((label, text, own))
+    for label, text, own in waiting:
+        found = most_alike(own, plain, RENUMBERED, letters)
+        rows.append(pair(label, text, found[0], True, found[1]) if found else (label, None, "nova", 0.0, False, body(text).strip()[:600]))
     return rows + [(None, old[j][0], "removida", 0.0, False, body(old[j][3]).strip()[:600]) for j in sorted(plain)]
 
 
@@ -103,15 +144,19 @@ def compare_versions(new: DataFrame, old: DataFrame, pair: list[str]) -> DataFra
         fields = fields.add(*f.split(" "))
     sides = new.withColumn("__side", F.lit(1)).unionByName(old.withColumn("__side", F.lit(0))).drop("__n").join(equal.select(*pair, "key"), [*pair, "key"], "left_anti")
 
-    def run(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values("ord", kind="stable")
-        part = lambda s: [tuple(None if x is None else x for x in r) for r in frame.loc[frame["__side"] == s, ["label", "key", "title", "text"]].itertuples(index=False)]
-        out = pd.DataFrame(match_clauses(part(1), part(0)), columns=[f.split(" ")[0] for f in SCHEMA.split(", ")])
-        for name, value in reversed(list(zip(pair, key))):
-            out.insert(0, name, value)
-        return out
+    held = sides.groupBy(*pair).agg(F.collect_list(F.struct("ord", "__side", "label", "key", "title", "text")).alias("__c"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        types = to_arrow_schema(fields)
+        for batch in batches:
+            for k in range(batch.num_rows):  # a pair at a time, so that memory follows its clauses
+                *key, clauses = (c[k].as_py() for c in batch.columns)
+                clauses.sort(key=itemgetter("ord"))
+                part = lambda side: [(c["label"], c["key"], c["title"], c["text"]) for c in clauses if c["__side"] == side]
+                found = [(*key, *r) for r in match_clauses(part(1), part(0))]
+                yield pa.RecordBatch.from_arrays([pa.array(c, f.type) for c, f in zip(zip(*found), types)], schema=types)
 
-    return exact.unionByName(sides.groupBy(*pair).applyInPandas(run, fields))
+    return exact.unionByName(held.select(*pair, "__c").mapInArrow(run, fields))
 
 
 def comparison_clauses(nodes: DataFrame) -> DataFrame:

@@ -131,23 +131,33 @@ def top_words(differences: DataFrame, key: list[str], what: str, most: int = 25)
     return differences.filter(F.col(what) > 0).withColumn("rank", rank).filter(F.col("rank") <= most).select(*key, "rank", "word", what)
 
 
-def matched(a: Sequence, b: Sequence, autojunk: bool = True) -> int:
-    """Elements in difflib's matching blocks of a and b: the sum of their sizes, without building them.
-
-    The same blocks as ``SequenceMatcher(None, a, b, autojunk)``. Only places of a that can start a match are looked at, and of b only
-    those in range, which spares most steps where the frequent elements are junk. Memory follows the lengths, not their product.
-    """
-    if a == b:
-        return len(a)
+def places_of(b: Sequence, autojunk: bool = True) -> dict:
+    """The places of b's elements that can start a match."""
     places: dict = {}
     for j, x in enumerate(b):
         places.setdefault(x, []).append(j)
     if autojunk and len(b) >= 200:
         places = {x: js for x, js in places.items() if len(js) <= len(b) // 100 + 1}
+    return places
+
+
+def matched(a: Sequence, b: Sequence, autojunk: bool = True, need: int = 0, places: dict | None = None) -> int:
+    """Elements in difflib's matching blocks of a and b: the sum of their sizes, without building them; -1 if they are fewer than ``need``.
+
+    The same blocks as ``SequenceMatcher(None, a, b, autojunk)``. Only places of a that can start a match are looked at, and of b only
+    those in range, which spares most steps where the frequent elements are junk. Memory follows the lengths, not their product.
+    What the stretches that are still open can hold bounds the sum, so a pair that can't reach ``need`` ends early. ``places`` are those of b, if known.
+    """
+    if a == b:
+        return len(a) if len(a) >= need else -1
+    places = places_of(b, autojunk) if places is None else places
     at = [i for i, x in enumerate(a) if x in places]
-    total, todo = 0, [(0, len(a), 0, len(b))]
+    total, todo, open_ = 0, [(0, len(a), 0, len(b))], min(len(a), len(b))
     while todo:
+        if total + open_ < need:
+            return -1
         alo, ahi, blo, bhi = todo.pop()
+        open_ -= min(ahi - alo, bhi - blo)
         i, j, size, before, run = alo, blo, 0, -2, {}
         for k in range(bisect_left(at, alo), bisect_left(at, ahi)):
             now, js, new = at[k], places[a[at[k]]], {}
@@ -166,9 +176,11 @@ def matched(a: Sequence, b: Sequence, autojunk: bool = True) -> int:
             total += size
             if alo < i and blo < j:
                 todo.append((alo, i, blo, j))
+                open_ += min(i - alo, j - blo)
             if i + size < ahi and j + size < bhi:
                 todo.append((i + size, ahi, j + size, bhi))
-    return total
+                open_ += min(ahi - i, bhi - j) - size
+    return total if total >= need else -1
 
 
 def order_ratio(pairs: DataFrame, key: list[str], a: str, b: str) -> DataFrame:

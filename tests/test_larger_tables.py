@@ -1,8 +1,11 @@
 """What larger tables need: nothing is multiplied before it is dealt out, and both ways of a join give the same rows."""
 
+import difflib
+import random
+
 import duckdb
 
-from lexspan.operators import geometry
+from lexspan.operators import diff, evaluation, geometry
 from lexspan.plans import coding
 
 
@@ -38,3 +41,27 @@ def test_segment_overlap_follows_its_sql_on_odd_white_space_and_letters(spark, t
         con.execute(f"CREATE VIEW {name} AS SELECT * FROM read_parquet('{tmp_path}/{name}.parquet/*.parquet')")
     got = sorted(map(tuple, coding.segment_overlap(spark, str(tmp_path)).collect()))
     assert got == sorted(con.execute(coding.ORACLE_SQL["segment_overlap"]).fetchall()) and len(got) > 10
+
+
+def test_ratios_end_early_and_are_difflibs_where_they_reach(spark):
+    r = random.Random(3)
+    for k in range(300):
+        a = "".join(r.choice("abcd efgh") for _ in range(r.choice([0, 5, 40, 190, 230])))
+        b = "".join(c if r.random() < r.choice([0.5, 0.9, 1.0]) else r.choice("abcdxyz") for c in a)
+        want = difflib.SequenceMatcher(None, a, b).ratio()
+        for least in (0.0, want, 0.5, 0.75):
+            assert diff.ratio(a, b, least) == (want if want >= least else -1.0)
+    far = "x" + "ab" * 80, "ab" * 10 + "y" * 140
+    assert evaluation.matched(*far, need=150) == -1
+
+
+def test_a_pair_of_versions_is_one_row_to_python(spark):
+    """Not a group call for each pair, which took longer than most pairs' matching."""
+    rows = [(p, k, f"c{k}", f"k{k}" if k % 3 else None, "", f"c{k}\nsome words {k * 7} of clause {k} in {p}") for p in range(5) for k in range(6)]
+    new = spark.createDataFrame(rows, "p long, ord int, label string, key string, title string, text string")
+    old = spark.createDataFrame([(p, k, c, key, t, x.replace("words 14", "other things 99")) for p, k, c, key, t, x in rows if p != 4], new.schema)
+    out = diff.compare_versions(new, old, ["p"])
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
+    want = [(p, *m) for p in range(5) for m in diff.match_clauses([x[2:] for x in rows if x[0] == p], [x[2:5] + (x[5].replace("words 14", "other things 99"),) for x in rows if x[0] == p and p != 4])]
+    assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
