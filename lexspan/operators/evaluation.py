@@ -115,13 +115,17 @@ def page_loss(pages: DataFrame, extracted: DataFrame, key: list[str], page: str,
     """(key, page, n_words, lost, loss): pages take the words that they find in the text, in page order; what isn't left is lost.
 
     The r-th occurrence of a word on a document's pages is found if the text has it r times. A page has its occurrences counted first, so
-    the window orders (word, page) rows, not words.
+    the window orders (word, page) rows, not words. Whole texts are dealt by document once, and become words only after that: all that follows stays where it is.
     """
-    per = pages.select(*key, page, F.explode(words(text)).alias("word")).groupBy(*key, page, "word").agg(F.count("*").alias("n"))
-    have = word_counts(extracted, key, text).withColumnRenamed("n", "__have")
-    before = F.coalesce(F.sum("n").over(Window.partitionBy(*key, "word").orderBy(page).rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
-    found = F.greatest(F.least(F.col("n"), F.coalesce("__have", F.lit(0)) - F.col("__before")), F.lit(0))
-    out = per.withColumn("__before", before).join(have, [*key, "word"], "left").withColumn("__found", found)
+    known = extracted.filter(" and ".join(f"`{k}` is not null" for k in key)).select(*key, F.lit(None).cast(pages.schema[page].dataType).alias(page), F.col(text).alias("__t"), F.lit(True).alias("__whole"))
+    both = pages.select(*key, page, F.col(text).alias("__t"), F.lit(False).alias("__whole")).unionByName(known).repartition(*key)
+    per = both.select(*key, page, "__whole", F.explode(words("__t")).alias("word")).groupBy(*key, page, "__whole", "word").agg(F.count("*").alias("n"))
+    # the text's own count comes first
+    before = Window.partitionBy(*key, "word").orderBy(F.desc("__whole"), page).rowsBetween(Window.unboundedPreceding, -1)
+    upto = lambda whole: F.coalesce(F.sum(F.when(F.col("__whole") == whole, F.col("n"))).over(before), F.lit(0))
+    counted = per.withColumns({"__have": upto(True), "__before": upto(False)}).filter(~F.col("__whole"))
+    found = F.greatest(F.least(F.col("n"), F.col("__have") - F.col("__before")), F.lit(0))
+    out = counted.withColumn("__found", found)
     return out.groupBy(*key, page).agg(F.sum("n").alias("n_words"), F.sum(F.col("n") - F.col("__found")).alias("lost")).withColumn("loss", F.col("lost") / F.col("n_words"))
 
 

@@ -65,3 +65,12 @@ def test_a_pair_of_versions_is_one_row_to_python(spark):
     assert "MapInArrow" in plan and "FlatMapGroupsInPandas" not in plan
     want = [(p, *m) for p in range(5) for m in diff.match_clauses([x[2:] for x in rows if x[0] == p], [x[2:5] + (x[5].replace("words 14", "other things 99"),) for x in rows if x[0] == p and p != 4])]
     assert sorted(map(str, (tuple(r) for r in out.collect()))) == sorted(map(str, want))
+
+
+def test_page_loss_deals_texts_not_words(spark):
+    pages = spark.createDataFrame([(1, 0, "a a b"), (1, 1, "a c"), (2, 0, "x"), (None, 0, "n"), (3, 0, None)], "d long, page int, text string")
+    text = spark.createDataFrame([(1, "a c a"), (None, "n"), (2, None), (4, "z")], "d long, text string")
+    out = evaluation.page_loss(pages, text, ["d"], "page")
+    dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
+    assert len(dealt) == 1 and "word" not in dealt[0]
+    assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, 0, 3, 1, 1 / 3), (1, 1, 2, 1, 0.5), (2, 0, 1, 1, 1.0), (None, 0, 1, 1, 1.0)]))
