@@ -16,18 +16,16 @@ def agreements(spark, sf_dir):
     clause = F.array_join(F.array(
         F.concat(F.lit("Cláusula "), "n", F.lit(".ª")), F.concat(F.lit("Objeto "), "l_partkey"), F.concat(F.lit("1- Aplica-se a "), F.col("l_quantity").cast("int"), F.lit(" casos.")), F.concat(F.lit("2- Vale em "), "l_suppkey", F.lit(".")),
     ), "\n")
-    clauses = items.withColumn("n", n).groupBy("l_orderkey").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("n", clause.alias("c")))), lambda x: F.concat(x["c"], F.lit("\n"))), "").alias("clauses"))
+    clauses = items.withColumn("n", n).groupBy("l_orderkey").agg(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("n", clause.alias("c")))), lambda x: F.concat(x["c"], F.lit("\n"))), "").alias("clauses"))
     text = F.concat(F.lit("Acordo "), "o_orderkey", F.lit("\nCAPÍTULO I\nDisposições\n"), F.coalesce("clauses", F.lit("")), F.lit("ANEXO I\nValores "), "o_custkey", F.lit("\nO valor é de "), "o_custkey", F.lit(".\nPela Empresa "), "o_orderkey", F.lit(":"))
-    return o.join(clauses, F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
+    # either side grows with the orders: both are dealt by them, so the outlines that follow are as many tasks
+    return o.join(clauses.hint("merge"), F.col("o_orderkey") == F.col("l_orderkey"), "left").select(F.col("o_orderkey").alias("doc_id"), text.alias("text"))
 
 
 def document_outline(spark, sf_dir):
     """Every node of the agreements' outlines with its parent's label and its length."""
-    out = structure.structure(agreements(spark, sf_dir))
-    labels = F.map_from_entries(F.transform("nodes", lambda n: F.struct(n["node_id"], n["label"])))
-    rows = out.select("doc_id", labels.alias("labels"), F.explode("nodes").alias("n"))
-    parent = F.coalesce(F.when(F.col("n.parent_id").isNotNull(), F.try_element_at("labels", "n.parent_id")), F.lit(""))
-    return rows.select("doc_id", "n.type", "n.label", parent.alias("parent"), (F.col("n.char_end") - F.col("n.char_start")).alias("n_chars"), "n.leaf")
+    rows = structure.node_rows(agreements(spark, sf_dir))
+    return rows.select("doc_id", "type", "label", "parent", (F.col("char_end") - F.col("char_start")).alias("n_chars"), "leaf")
 
 
 def outline_zero_loss(spark, sf_dir):

@@ -74,3 +74,15 @@ def test_page_loss_deals_texts_not_words(spark):
     dealt = [x for x in out._jdf.queryExecution().executedPlan().toString().split("\n") if "Exchange" in x]
     assert len(dealt) == 1 and "word" not in dealt[0]
     assert sorted(map(str, map(tuple, out.collect()))) == sorted(map(str, [(1, 0, 3, 1, 1 / 3), (1, 1, 2, 1, 0.5), (2, 0, 1, 1, 1.0), (None, 0, 1, 1, 1.0)]))
+
+
+def test_an_outline_is_one_row_from_end_to_end(spark):
+    from lexspan.operators import structure
+
+    docs = spark.createDataFrame([(1, "Acordo\nCAPÍTULO I\nÂmbito\nCláusula 1.ª\nÁrea\n1- Um.\nPela Empresa:"), (1, "Texto."), (None, None)], "doc_id int, text string")
+    plan = structure.structure(docs)._jdf.queryExecution().executedPlan().toString()
+    assert not any(x in plan for x in ("Exchange", "Window", "Sort", "Generate")), plan
+    got = [(r["doc_id"], r["type"], r["label"], r["parent"]) for r in structure.node_rows(docs).collect()]
+    assert got == [(1, "preamble", "PREAMBLE", ""), (1, "chapter", "CAPÍTULO I - Âmbito", ""), (1, "clause", "Cláusula 1.ª - Área", "CAPÍTULO I - Âmbito"), (1, "block", "SIGNATURES", ""), (1, "paragraph", "1- Um.", "Cláusula 1.ª - Área"), (1, "preamble", "PREAMBLE", "")]
+    spans = [r["spans"] for r in structure.leaf_spans(docs).collect()]
+    assert ["".join(x) for x in spans] == [r["text"] for r in structure.structure(docs).collect()] and [len(x) for x in spans] == [4, 1, 0]
