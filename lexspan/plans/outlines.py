@@ -30,9 +30,8 @@ def document_outline(spark, sf_dir):
 
 def outline_zero_loss(spark, sf_dir):
     """Agreements put together again from the spans of their leaves."""
-    nodes = structure.node_table(structure.structure(agreements(spark, sf_dir)))
-    spans = F.array_sort(F.collect_list(F.struct("char_start", "span")))
-    return nodes.filter("leaf").groupBy("doc_id").agg(F.count("*").alias("n_leaves"), F.md5(F.array_join(F.transform(spans, lambda s: s["span"]), "")).alias("md5"))
+    spans = structure.leaf_spans(agreements(spark, sf_dir)).filter(F.size("spans") > 0)
+    return spans.select("doc_id", F.size("spans").cast("bigint").alias("n_leaves"), F.md5(F.array_join("spans", "")).alias("md5"))
 
 
 QUERIES = {f.__name__: f for f in (document_outline, outline_zero_loss)}
