@@ -5,6 +5,7 @@ from __future__ import annotations
 from bisect import bisect_left
 from collections.abc import Sequence
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from ..functions.text import plain_lower, words
 
 #: Verdict thresholds. Fixed values.
 COVERAGE_OK, COVERAGE_FAIL, EXCESS_OK, ORDER_OK, REVERSED_FAIL = 0.995, 0.97, 0.005, 0.97, 5
+#: Pairs of equal places from which on, and up to which, they are held as arrays (16 bytes each, some more while they are made); others are looked for stretch by stretch.
+FEW_PAIRS, MANY_PAIRS = 500, 2_000_000
 
 
 def overlaps(a: Column, b: Column) -> Column:
@@ -145,33 +148,71 @@ def places_of(b: Sequence, autojunk: bool = True) -> dict:
     return places
 
 
+def longest(a: Sequence, at: list[int], places: dict, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+    """Where the longest run of equal elements of a stretch begins in a and in b, and its size; of equal ones the first."""
+    i, j, size, before, run = alo, blo, 0, -2, {}
+    for k in range(bisect_left(at, alo), bisect_left(at, ahi)):
+        now, js, new = at[k], places[a[at[k]]], {}
+        if now != before + 1:
+            run = {}
+        for y in js[bisect_left(js, blo) : bisect_left(js, bhi)]:
+            n = new[y] = run.get(y - 1, 0) + 1
+            if n > size:
+                i, j, size = now - n + 1, y - n + 1, n
+        before, run = now, new
+    return i, j, size
+
+
+class Runs:
+    """Pairs of equal places of two sequences, in order, with the length of the run of pairs that each ends; a stretch's bounds cut runs where they begin."""
+
+    def __init__(self, a: Sequence, at: list[int], places: dict):
+        arrays = {x: np.array(places[x], np.int32) for x in {a[i] for i in at}}
+        js = [arrays[a[i]] for i in at]
+        counts = np.array([len(x) for x in js])
+        self.at, self.first = at, [0, *np.cumsum(counts).tolist()]
+        self.i, self.j = np.repeat(np.array(at, np.int32), counts), np.concatenate(js)
+        diagonal = self.j - self.i
+        order = np.argsort(diagonal, kind="stable")
+        i, d = self.i[order], diagonal[order]
+        start = np.ones(len(i), bool)
+        start[1:] = (d[1:] != d[:-1]) | (i[1:] != i[:-1] + 1)
+        places_ = np.arange(len(i), dtype=np.int32)
+        self.n = np.empty(len(i), np.int32)
+        self.n[order] = places_ - np.maximum.accumulate(np.where(start, places_, 0)) + 1
+
+    def longest(self, alo: int, ahi: int, blo: int, bhi: int) -> tuple[int, int, int]:
+        lo, hi = self.first[bisect_left(self.at, alo)], self.first[bisect_left(self.at, ahi)]
+        if lo == hi:
+            return alo, blo, 0
+        i, j = self.i[lo:hi], self.j[lo:hi]
+        n = np.minimum(np.minimum(self.n[lo:hi], i - (alo - 1)), j - (blo - 1))
+        n[j >= bhi] = 0
+        k = int(n.argmax())
+        size = int(n[k])
+        return (int(i[k]) - size + 1, int(j[k]) - size + 1, size) if size > 0 else (alo, blo, 0)
+
+
 def matched(a: Sequence, b: Sequence, autojunk: bool = True, need: int = 0, places: dict | None = None) -> int:
     """Elements in difflib's matching blocks of a and b: the sum of their sizes, without building them; -1 if they are fewer than ``need``.
 
     The same blocks as ``SequenceMatcher(None, a, b, autojunk)``. Only places of a that can start a match are looked at, and of b only
     those in range, which spares most steps where the frequent elements are junk. Memory follows the lengths, not their product.
     What the stretches that are still open can hold bounds the sum, so a pair that can't reach ``need`` ends early. ``places`` are those of b, if known.
+    Where equal places are neither few nor too many to hold, ``Runs`` has them counted once for all stretches.
     """
     if a == b:
         return len(a) if len(a) >= need else -1
     places = places_of(b, autojunk) if places is None else places
     at = [i for i, x in enumerate(a) if x in places]
+    runs = Runs(a, at, places) if FEW_PAIRS <= sum(len(places[a[i]]) for i in at) <= MANY_PAIRS else None
     total, todo, open_ = 0, [(0, len(a), 0, len(b))], min(len(a), len(b))
     while todo:
         if total + open_ < need:
             return -1
         alo, ahi, blo, bhi = todo.pop()
         open_ -= min(ahi - alo, bhi - blo)
-        i, j, size, before, run = alo, blo, 0, -2, {}
-        for k in range(bisect_left(at, alo), bisect_left(at, ahi)):
-            now, js, new = at[k], places[a[at[k]]], {}
-            if now != before + 1:
-                run = {}
-            for y in js if blo == 0 and bhi == len(b) else js[bisect_left(js, blo) : bisect_left(js, bhi)]:
-                n = new[y] = run.get(y - 1, 0) + 1
-                if n > size:
-                    i, j, size = now - n + 1, y - n + 1, n
-            before, run = now, new
+        i, j, size = runs.longest(alo, ahi, blo, bhi) if runs else longest(a, at, places, alo, ahi, blo, bhi)
         while i > alo and j > blo and a[i - 1] == b[j - 1]:
             i, j, size = i - 1, j - 1, size + 1
         while i + size < ahi and j + size < bhi and a[i + size] == b[j + size]:

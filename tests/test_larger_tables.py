@@ -86,3 +86,22 @@ def test_an_outline_is_one_row_from_end_to_end(spark):
     assert got == [(1, "preamble", "PREAMBLE", ""), (1, "chapter", "CAPÍTULO I - Âmbito", ""), (1, "clause", "Cláusula 1.ª - Área", "CAPÍTULO I - Âmbito"), (1, "block", "SIGNATURES", ""), (1, "paragraph", "1- Um.", "Cláusula 1.ª - Área"), (1, "preamble", "PREAMBLE", "")]
     spans = [r["spans"] for r in structure.leaf_spans(docs).collect()]
     assert ["".join(x) for x in spans] == [r["text"] for r in structure.structure(docs).collect()] and [len(x) for x in spans] == [4, 1, 0]
+
+
+def test_matching_blocks_by_runs_that_are_counted_once(spark, tmp_path, monkeypatch):
+    from lexspan.plans import texts
+
+    r = random.Random(5)
+    monkeypatch.setattr(evaluation, "FEW_PAIRS", 1)
+    for k in range(150):
+        letters = r.choice(["ab", "abcdefgh", "abcdefghijklmnopqrstuvwxyz0123456789"])
+        a = "".join(r.choices(letters, k=r.choice([0, 3, 40, 250])))
+        b = a[: len(a) // 3] + "".join(r.choices(letters, k=r.choice([0, 5, 210]))) + a[len(a) // 2 :]
+        for junk in (True, False):
+            want = sum(x.size for x in difflib.SequenceMatcher(None, a, b, junk).get_matching_blocks())
+            assert evaluation.matched(a, b, junk) == want
+            assert evaluation.matched(a, b, junk, need=want + 1) == -1
+            monkeypatch.setattr(evaluation, "MANY_PAIRS", 0 if k % 2 else 2_000_000)  # the way for more pairs than are held
+    spark.createDataFrame([(k, "en", "web", f"text {k} of a source") for k in range(50)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    plan = texts.order_ratio(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("SortMergeJoin") >= 2 and "MapInPandas" in plan
