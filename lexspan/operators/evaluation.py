@@ -34,27 +34,29 @@ def overlapping(items: DataFrame, item: str, a: str, rows: DataFrame, row: list[
 
     An overlap means that the longer text holds the shorter one's head. Heads of rows meet the items by their first ``piece`` characters at all places of the items (shorter heads
     by themselves); heads of items meet the rows by their rarest inner word, which the row must hold whole. Only items whose head has no inner word
-    meet by pieces at all places of the rows.
+    meet by pieces at all places of the rows. Words and pieces of rows are dealt as hashes with the hash of their row, never with its text; the rows' own texts are dealt once for either way, and decide.
     """
     items, rows = items.select(item, a).filter(F.col(a) != ""), rows.select(*row, b).filter(F.col(b) != "")
     places = lambda c, n: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c) - (n - 1), F.lit(1))), lambda i: F.substr(F.col(c), i, F.lit(n)))
     pieces = lambda df, c, sizes: df.withColumn("__k", F.explode(F.array_distinct(F.flatten(F.array(*[places(c, n) for n in sizes])))))
     key = lambda c: F.left(head(c), F.lit(piece))
-    # the row is the shorter one
-    bodies = rows.select(b).distinct().withColumn("__k", key(b))
-    held = pieces(items.select(a).distinct(), a, range(1, piece + 1)).join(bodies, "__k").filter((F.length(b) <= F.length(a)) & F.contains(F.col(a), head(b))).select(a, b).distinct()
+    # the row is the shorter one: none that is longer than all items is dealt
+    size = F.broadcast(items.agg(F.max(F.length(a)).alias("__l")))
+    heads = rows.crossJoin(size).filter(F.length(b) <= F.col("__l")).drop("__l").withColumn("__k", key(b))
+    held = pieces(items.select(a).distinct(), a, range(1, piece + 1)).join(heads, "__k").filter((F.length(b) <= F.length(a)) & F.contains(F.col(a), head(b))).select(a, *row)
     # the item is the shorter one
+    hashes = lambda ws: F.explode(F.array_distinct(F.transform(ws, lambda w: F.xxhash64(w)))).alias("__k")
     inner = items.select(a).distinct().withColumn("__w", F.split(head(a), " ")).withColumn("__w", F.slice("__w", 2, F.greatest(F.size("__w") - 2, F.lit(0))))
-    words = rows.select(b).distinct().select(b, F.explode(F.array_distinct(F.split(b, " "))).alias("__k"))
-    wanted = inner.select(a, F.explode(F.array_distinct("__w")).alias("__k"))
-    count = words.join(wanted.select("__k").distinct(), "__k").groupBy("__k").agg(F.count("*").alias("__n"))
+    words = rows.select(F.xxhash64(b).alias("__h"), hashes(F.split(b, " ")))
+    wanted = inner.select(a, hashes(F.col("__w")))
+    count = words.groupBy("__k").agg(F.count("*").alias("__n")).join(wanted.select("__k").distinct(), "__k")
     rarest = wanted.join(count, "__k", "left").groupBy(a).agg(F.min_by("__k", F.struct(F.coalesce("__n", F.lit(0)), "__k")).alias("__k"))
-    bare = inner.filter(F.size("__w") == 0).select(a).withColumn("__k", key(a))
-    shorter = lambda pairs: pairs.filter((F.length(a) <= F.length(b)) & F.contains(F.col(b), head(a))).select(a, b)
-    found = held.unionByName(shorter(rarest.join(words, "__k")))
+    near = rarest.join(words, "__k").select(a, "__h")
+    bare = inner.filter(F.size("__w") == 0).select(a).withColumn("__k", F.xxhash64(key(a)))
     if not bare.isEmpty():
-        found = found.unionByName(shorter(pieces(rows.select(b).distinct(), b, range(1, piece + 1)).join(bare, "__k")))
-    return items.join(found.distinct(), a).join(rows, b).select(item, *row).distinct()
+        near = near.unionByName(rows.select(F.xxhash64(b).alias("__h"), hashes(F.flatten(F.array(*[places(b, n) for n in range(1, piece + 1)])))).join(bare, "__k").select(a, "__h"))
+    shorter = near.distinct().join(rows.withColumn("__h", F.xxhash64(b)), "__h").filter((F.length(a) <= F.length(b)) & F.contains(F.col(b), head(a))).select(a, *row)
+    return items.join(held.unionByName(shorter), a).select(item, *row).distinct()
 
 
 def pair_states(predicted: DataFrame, gold: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 import difflib
 import random
+import re
 
 import duckdb
 
@@ -105,3 +106,18 @@ def test_matching_blocks_by_runs_that_are_counted_once(spark, tmp_path, monkeypa
     spark.createDataFrame([(k, "en", "web", f"text {k} of a source") for k in range(50)], "doc_id long, lang string, source string, text string").write.parquet(f"{tmp_path}/documents.parquet")
     plan = texts.order_ratio(spark, str(tmp_path))._jdf.queryExecution().sparkPlan().toString()
     assert plan.count("SortMergeJoin") >= 2 and "MapInPandas" in plan
+
+
+def test_overlapping_deals_words_without_their_lines(spark):
+    lines = [(k, f"{'line' if k % 3 else 'x'} number {k % 7} of some text that is long enough to overlap {k % 4}"[: 10 + 4 * (k % 20)]) for k in range(120)] + [(200, ""), (201, "x")]
+    texts = ["x number 1 of some text that is long enough to overlap", "xnumber", "of some", "a line number 2 of some text that is long enough to overlap 2 and more", "x", "", "nothing here at all"]
+    items, rows = spark.createDataFrame(list(enumerate(texts)), "item int, seg string"), spark.createDataFrame(lines, "row int, body string")
+    found = evaluation.overlapping(items, "item", "seg", rows, ["row"], "body")
+    start = lambda t: t[: max(40, len(t) // 3)]
+    meet = lambda x, y: bool(x and y) and (x in y or y in x or start(min(x, y, key=len)) in max(y, x, key=len))
+    want = sorted((i, k) for i, x in enumerate(texts) for k, y in lines if meet(x, y))
+    assert sorted(map(tuple, found.collect())) == want and len(want) > 50
+    plan = found._jdf.queryExecution().sparkPlan().toString().split("\n")
+    # whatever makes words of a line leaves the line behind at once
+    above = [plan[k - 1] for k, x in enumerate(plan) if "Generate explode" in x and "[body#" in x]
+    assert all("Project [" in x and not re.search(r"[\[ ]body#", x) for x in above), above
